@@ -1,6 +1,6 @@
 """All registered queries and their SQL."""
 
-from colloquy.catalog import align, text
+from colloquy.catalog import align, documents, signal, text, voices
 from colloquy.catalog.registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "align", "text"]
+__all__ = ["ORACLES", "QUERIES", "align", "documents", "signal", "text", "voices"]

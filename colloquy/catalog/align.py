@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from colloquy.catalog.base_sql import floored
 from colloquy.catalog.registry import DIGITS, query
+from colloquy.functions.vectors import decibels
 from colloquy.operators import align, sides
 from colloquy.operators import turns as turn_ops
 from colloquy.operators.library import meeting_stats
@@ -218,16 +219,18 @@ sided AS (
 
 @query(
     "word_side_energy",
-    """SELECT meeting_id, word_idx, round(mic, 12) AS microphone_energy,
-              round(sys, 12) AS system_energy FROM word_energy""",
+    """SELECT meeting_id, word_idx,
+              round(10 * log10(greatest(mic, CAST(1e-12 AS DOUBLE))), 6) AS microphone_db,
+              round(10 * log10(greatest(sys, CAST(1e-12 AS DOUBLE))), 6) AS system_db
+       FROM word_energy""",
     ENERGY,
 )
 def _(t):
     return sides.word_side_energy(words_only(t), t.frames, EVENT_FRAME).select(
         "meeting_id",
         "word_idx",
-        F.round("microphone_energy", 12).alias("microphone_energy"),
-        F.round("system_energy", 12).alias("system_energy"),
+        F.round(decibels(F.col("microphone_energy")), DIGITS).alias("microphone_db"),
+        F.round(decibels(F.col("system_energy")), DIGITS).alias("system_db"),
     )
 
 

@@ -108,7 +108,7 @@ def _(t):
 FOUND = f"""
 found AS (
   SELECT meeting_id, turn_id, is_edited, unnest(list_filter(range(len(f)),
-           lambda i: substr(f, i + 1, {len(QUERY)}) = '{folded(QUERY)}')) AS at
+           lambda i: substr(f, i + 1, {len(QUERY)}) = '{folded(QUERY)}')) AS off
   FROM (SELECT *, strip_accents(lower(text)) AS f FROM turns)
 ),
 ranges AS (
@@ -117,16 +117,16 @@ ranges AS (
                   OVER (PARTITION BY turn_id ORDER BY pos) AS BIGINT) AS upto FROM timed_words)
 ),
 placed AS (
-  SELECT f.meeting_id, f.turn_id, f.at, min(r.pos) AS word_idx
+  SELECT f.meeting_id, f.turn_id, f.off, min(r.pos) AS word_idx
   FROM found f LEFT JOIN ranges r ON f.turn_id = r.turn_id
-   AND r.lo <= f.at AND f.at + {len(QUERY)} <= r.hi
+   AND r.lo <= f.off AND f.off + {len(QUERY)} <= r.hi
   GROUP BY ALL
 )"""
 
 
 @query(
     "find_matches",
-    f"SELECT meeting_id, turn_id, at AS \"offset\", CAST({len(QUERY)} AS BIGINT) AS length FROM found",
+    f"SELECT meeting_id, turn_id, off AS \"offset\", CAST({len(QUERY)} AS BIGINT) AS length FROM found",
     FOUND,
 )
 def _(t):
@@ -140,7 +140,7 @@ def _(t):
 
 @query(
     "match_in_word",
-    'SELECT meeting_id, turn_id, at AS "offset", word_idx FROM placed',
+    'SELECT meeting_id, turn_id, off AS "offset", word_idx FROM placed',
     FOUND,
 )
 def _(t):
@@ -164,8 +164,8 @@ def _(t):
 
 @query(
     "ordered_lookup_range",
-    """SELECT p.meeting_id, p.turn_id, p.at AS "offset" FROM found p
-       JOIN turns t ON p.turn_id = t.turn_id WHERE p.at + 40 <= len(t.text)""",
+    """SELECT p.meeting_id, p.turn_id, p.off AS "offset" FROM found p
+       JOIN turns t ON p.turn_id = t.turn_id WHERE p.off + 40 <= len(t.text)""",
     FOUND,
 )
 def _(t):
@@ -484,8 +484,8 @@ def _(t):
 @query(
     "edit_split_at_time",
     """SELECT meeting_id, turn_id, min(pos) AS k FROM (
-         SELECT w.*, (t.start + t."end") / 2 AS at FROM timed_words w JOIN turns t ON w.turn_id = t.turn_id)
-       WHERE at < "end" GROUP BY ALL HAVING min(pos) > 0""",
+         SELECT w.*, (t.start + t."end") / 2 AS middle FROM timed_words w JOIN turns t ON w.turn_id = t.turn_id)
+       WHERE middle < "end" GROUP BY ALL HAVING min(pos) > 0""",
 )
 def _(t):
     middle = (F.col("start") + F.col("end")) / 2

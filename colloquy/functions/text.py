@@ -50,6 +50,11 @@ def fold_literal(query: str) -> str:
     return query.replace("İ", "I").lower().translate(str.maketrans(_ACCENTED, _PLAIN))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def is_tight(word: Column) -> Column:
     return F.substring(word, 1, 1).isin(TIGHT_CHARACTERS)
 
@@ -165,7 +170,7 @@ def timecode_padded(seconds: Column) -> Column:
 
 
 def timecode_subtitle(seconds: Column, separator: str) -> Column:
-    ms = F.greatest(F.lit(0), F.round(seconds * 1000).cast("long"))
+    ms = F.greatest(F.lit(0).cast("long"), F.round(seconds * 1000).cast("long"))
     total = _whole(ms / 1000)
     return F.format_string(
         "%02d:%02d:%02d" + separator + "%03d",
@@ -189,14 +194,21 @@ def sanitize_name(title: Column, fallback: str = NAME_FALLBACK) -> Column:
     name = F.regexp_replace(title, r"[\p{Cc}\p{Cf}]", "")
     name = trimmed(F.translate(name, "/:", "--"))
     name = F.regexp_replace(name, r"^[.\s]+", "")
-    # The longest prefix within the byte limit; at most NAME_BYTES characters
-    # can fit, so only that many prefixes are weighed.
+    return let(
+        let(name, lambda n: trimmed(_within_bytes(n))),
+        lambda cut: F.when(cut == "", F.lit(fallback)).otherwise(cut),
+    )
+
+
+def _within_bytes(name: Column) -> Column:
+    """The longest prefix within the byte limit.
+
+    At most NAME_BYTES characters can fit, so only that many prefixes are weighed.
+    """
     lengths = F.sequence(F.lit(NAME_BYTES), F.lit(1), F.lit(-1))
     fitting = F.filter(
         lengths, lambda n: F.octet_length(F.substring(name, F.lit(1), n)) <= NAME_BYTES
     )
-    cut = F.when(F.octet_length(name) <= NAME_BYTES, name).otherwise(
+    return F.when(F.octet_length(name) <= NAME_BYTES, name).otherwise(
         F.substring(name, F.lit(1), F.get(fitting, F.lit(0)))
     )
-    cut = F.regexp_replace(cut, r"^[\s]+|[\s]+$", "")
-    return F.when(cut == "", F.lit(fallback)).otherwise(cut)

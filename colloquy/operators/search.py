@@ -105,21 +105,28 @@ def replace_all(turns: DataFrame, query: str, replacement: str) -> DataFrame:
         )
         return F.filter(changed, lambda w: w["word"] != "")
 
-    def apply(acc: Column, at: Column) -> Column:
-        word = _enclosing(word_ranges(acc["words"]), at, size)
-        words = rewritten(acc["words"], word, at)
+    def with_word(acc: Column, at: Column, word: Column) -> Column:
         fits = at + size <= F.length(acc["text"])
         in_word = fits & word.isNotNull()
         across = fits & word.isNull()
-        return F.struct(
-            F.when(in_word, tx.joined_text(tx.word_texts(words)))
-            .when(across, _overwrite(acc["text"], at, size, replacement))
-            .otherwise(acc["text"])
-            .alias("text"),
-            F.when(in_word, words).when(~across, acc["words"]).alias("words"),
-            (acc["is_edited"] | across).alias("is_edited"),
-            (acc["kept"] + in_word.cast("int")).alias("kept"),
-            (acc["dropped"] + across.cast("int")).alias("dropped"),
+        return tx.let(
+            F.when(in_word, rewritten(acc["words"], word, at)),
+            lambda words: F.struct(
+                F.when(in_word, tx.joined_text(tx.word_texts(words)))
+                .when(across, _overwrite(acc["text"], at, size, replacement))
+                .otherwise(acc["text"])
+                .alias("text"),
+                F.when(in_word, words).when(~across, acc["words"]).alias("words"),
+                (acc["is_edited"] | across).alias("is_edited"),
+                (acc["kept"] + in_word.cast("int")).alias("kept"),
+                (acc["dropped"] + across.cast("int")).alias("dropped"),
+            ),
+        )
+
+    def apply(acc: Column, at: Column) -> Column:
+        return tx.let(
+            _enclosing(word_ranges(acc["words"]), at, size),
+            lambda word: with_word(acc, at, word),
         )
 
     found = turns.withColumn("_at", F.reverse(tx.match_offsets(F.col("text"), query)))

@@ -142,7 +142,8 @@ def quietest_near(
     )
     offsets = F.array(*[F.lit(o) for o in range(0, window, QUIET_STEP)])
     peaks = (
-        searched.withColumn("idx", F.col("begin") + F.explode(offsets))
+        searched.withColumn("_offset", F.explode(offsets))
+        .withColumn("idx", F.col("begin") + F.col("_offset"))
         .join(samples.select("meeting_id", "idx", "value"), ["meeting_id", "idx"])
         .groupBy("meeting_id", "cut_idx", "begin")
         .agg(F.max(F.abs("value")).alias("peak"))

@@ -186,8 +186,15 @@ def merge_clusters(speakers: DataFrame, source: str, target: str) -> DataFrame:
     joined = speakers.join(from_side.join(pair, "meeting_id", "left_semi"), "meeting_id", "left")
     keeps = F.col("_absorbed").isNotNull() & (F.col("speaker_id") == target)
     same_side = F.col("side").eqNullSafe(F.col("_side"))
-    as_double = F.transform("embedding", lambda x: x.cast("double"))
-    return joined.where(F.col("_absorbed").isNull() | (F.col("speaker_id") != source)).select(
+    mixed = vec.blend(F.col("embedding"), F.col("total_duration"), F.col("_e"), F.col("_d"))
+    # Computed before the durations change: the weights are the old ones.
+    weighed = joined.where(
+        F.col("_absorbed").isNull() | (F.col("speaker_id") != source)
+    ).withColumn(
+        "_mixed",
+        F.when(keeps, mixed).otherwise(F.transform("embedding", lambda x: x.cast("double"))),
+    )
+    return weighed.select(
         "meeting_id",
         "roster_pos",
         "speaker_id",
@@ -196,14 +203,7 @@ def merge_clusters(speakers: DataFrame, source: str, target: str) -> DataFrame:
         .otherwise(F.col("total_duration"))
         .alias("total_duration"),
         F.when(keeps & ~same_side, F.lit(None)).otherwise(F.col("side")).alias("side"),
-        F.when(
-            keeps,
-            vec.blend(
-                F.col("embedding"), F.col("total_duration"), F.col("_e"), F.col("_d")
-            ),
-        )
-        .otherwise(as_double)
-        .alias("embedding"),
+        F.col("_mixed").alias("embedding"),
     )
 
 
