@@ -53,22 +53,28 @@ def _cue_starts(words: Column, first_budget: Column) -> Column:
 def _source_cues(room_for_name: bool) -> Column:
     """Cues of a turn with columns start, end, text, words and speaker_name."""
     words, speaker = F.col("words"), F.col("speaker_name")
-    reserved = F.length(tx.attribution(speaker)) if room_for_name else F.lit(0)
-    whole = F.array(F.struct(F.col("start"), F.col("end"), F.col("text")))
-    begins = F.col("_starts")
+    budget = F.lit(tx.CUE_CHARACTERS)
+    if room_for_name:
+        budget = budget - F.length(tx.attribution(speaker))
+
+    def pieces(begins: Column) -> Column:
+        def piece(at: Column, i: Column) -> Column:
+            until = F.coalesce(F.get(begins, i + 1), F.size(words))
+            return tx.let(
+                F.slice(words, at + 1, until - at),
+                lambda part: F.struct(
+                    part[0]["start"].alias("start"),
+                    F.element_at(part, -1)["end"].alias("end"),
+                    tx.joined_text(tx.word_texts(part)).alias("text"),
+                ),
+            )
 
-    def piece(at: Column, i: Column) -> Column:
-        until = F.coalesce(F.get(begins, i + 1), F.size(words))
-        part = F.slice(words, at + 1, until - at)
-        return F.struct(
-            F.get(part, F.lit(0))["start"].alias("start"),
-            F.element_at(part, -1)["end"].alias("end"),
-            tx.joined_text(tx.word_texts(part)).alias("text"),
-        )
+        return F.transform(begins, piece)
 
-    pieces = F.when(F.size(begins) > 0, F.transform(begins, piece)).otherwise(whole)
-    return reserved, F.transform(
-        pieces,
+    whole = F.array(F.struct(F.col("start"), F.col("end"), F.col("text")))
+    cut = F.when(F.size(words) > 0, tx.let(_cue_starts(words, budget), pieces)).otherwise(whole)
+    return F.transform(
+        cut,
         lambda p, i: F.struct(
             p["start"].alias("start"),
             F.greatest(p["end"], p["start"] + CUE_MINIMUM).alias("end"),
@@ -90,68 +96,91 @@ def _running_sum(values: Column) -> Column:
     return walked["out"]
 
 
-def _redistributed(turns: DataFrame, cues: str, translated: str) -> DataFrame:
-    """Replaces the cue array by one carrying the translation, where there is one.
+def redistribute(cues: Column, translated: Column) -> Column:
+    """A translated text spread over the cues of its original.
 
-    A word goes to the cue whose share of the source characters covers the
-    words before it; cues left empty are folded into the next one with words.
+    A word goes to the cue whose share of the source characters covers the words
+    before it: the number of cues whose reach ends at or before them. Cues left
+    empty are folded into the next one with words.
     """
-    n = F.size(cues)
-    steps = turns.withColumn("_tw", tx.text_words(F.coalesce(F.col(translated), F.lit(""))))
-    lengths = F.transform("_tw", lambda w: (F.length(w) + 1).cast("double"))
-    steps = steps.withColumns(
-        {
-            "_upto": _running_sum(lengths),
-            "_chars": _running_sum(F.transform(cues, lambda c: F.length(c["text"]).cast("double"))),
-        }
-    )
-    whole = F.element_at("_upto", -1)
-    source = F.element_at("_chars", -1)
-    reach = F.transform(
-        F.slice("_chars", F.lit(1), n - 1),
-        lambda c: F.when(source > 0, c / source * whole).otherwise(whole),
-    )
-    many = (n > 1) & (F.size("_tw") > 0)
-    steps = steps.withColumn("_reach", F.when(many, reach))
-    # Words before word j end at _upto[j] minus its own length.
-    cue_of = F.transform(
-        "_tw",
-        lambda w, j: F.size(
-            F.filter(
-                "_reach", lambda r: r <= F.get("_upto", j) - (F.length(w) + 1)
+
+    def single(c: Column, words: Column) -> Column:
+        return F.array(
+            F.struct(
+                c[0]["start"].alias("start"),
+                F.element_at(c, -1)["end"].alias("end"),
+                c[0]["speaker"].alias("speaker"),
+                F.when(F.size(words) == 0, c[0]["text"])
+                .otherwise(F.array_join(words, " "))
+                .alias("text"),
             )
-        ),
-    )
-    steps = steps.withColumn("_cue_of", F.when(many, cue_of))
-    steps = steps.withColumn("_used", F.when(many, F.array_distinct("_cue_of")))
+        )
 
-    def group(used: Column, k: Column) -> Column:
-        opens = F.when(k == 0, F.lit(0)).otherwise(F.get("_used", k - 1) + 1)
-        closes = F.when(k == F.size("_used") - 1, n - 1).otherwise(used)
-        chosen = F.filter(F.col("_tw"), lambda w, j: F.get("_cue_of", j) == used)
-        return F.struct(
-            F.get(cues, opens)["start"].alias("start"),
-            F.get(cues, closes)["end"].alias("end"),
-            F.get(cues, opens)["speaker"].alias("speaker"),
-            F.array_join(chosen, " ").alias("text"),
+    def grouped(c: Column, placed: Column) -> Column:
+        """``placed``: words with their cue, in order."""
+
+        def gather(used: Column) -> Column:
+            def one(cue: Column, k: Column) -> Column:
+                opens = F.when(k == 0, F.lit(0)).otherwise(F.get(used, k - 1) + 1)
+                closes = F.when(k == F.size(used) - 1, F.size(c) - 1).otherwise(cue)
+                mine = F.filter(placed, lambda w: w["cue"] == cue)
+                return F.struct(
+                    F.get(c, opens)["start"].alias("start"),
+                    F.get(c, closes)["end"].alias("end"),
+                    F.get(c, opens)["speaker"].alias("speaker"),
+                    F.array_join(F.transform(mine, lambda w: w["word"]), " ").alias("text"),
+                )
+
+            return F.transform(used, one)
+
+        return tx.let(F.array_distinct(F.transform(placed, lambda w: w["cue"])), gather)
+
+    def spread(c: Column, words: Column) -> Column:
+        lengths = F.transform(words, lambda w: (F.length(w) + 1).cast("double"))
+        chars = F.transform(c, lambda cue: F.length(cue["text"]).cast("double"))
+
+        def place(upto: Column, shares: Column) -> Column:
+            reach = F.transform(
+                F.slice(shares, F.lit(1), F.size(c) - 1),
+                lambda s: F.when(
+                    F.element_at(shares, -1) > 0,
+                    s / F.element_at(shares, -1) * F.element_at(upto, -1),
+                ).otherwise(F.element_at(upto, -1)),
+            )
+            return tx.let(
+                reach,
+                lambda ends: F.transform(
+                    words,
+                    lambda w, j: F.struct(
+                        w.alias("word"),
+                        F.size(
+                            F.filter(
+                                ends, lambda r: r <= F.get(upto, j) - (F.length(w) + 1)
+                            )
+                        ).alias("cue"),
+                    ),
+                ),
+            )
+
+        return tx.let(
+            _running_sum(lengths),
+            lambda upto: tx.let(
+                _running_sum(chars),
+                lambda shares: tx.let(place(upto, shares), lambda placed: grouped(c, placed)),
+            ),
         )
 
-    only = F.array(
-        F.struct(
-            F.get(cues, F.lit(0))["start"].alias("start"),
-            F.element_at(cues, -1)["end"].alias("end"),
-            F.get(cues, F.lit(0))["speaker"].alias("speaker"),
-            F.when(F.size("_tw") == 0, F.get(cues, F.lit(0))["text"])
-            .otherwise(F.array_join("_tw", " "))
-            .alias("text"),
+    return F.when(translated.isNull(), cues).otherwise(
+        tx.let(
+            cues,
+            lambda c: tx.let(
+                tx.text_words(translated),
+                lambda words: F.when(
+                    (F.size(c) > 1) & (F.size(words) > 0), spread(c, words)
+                ).otherwise(single(c, words)),
+            ),
         )
     )
-    return steps.withColumn(
-        cues,
-        F.when(F.col(translated).isNull(), F.col(cues))
-        .when(many, F.transform("_used", group))
-        .otherwise(only),
-    ).drop("_tw", "_upto", "_chars", "_reach", "_cue_of", "_used")
 
 
 def turn_cues(
@@ -165,13 +194,11 @@ def turn_cues(
     ``room_for_name`` shortens the first cue of a turn by the speaker's name, as
     in formats that write the name on the line.
     """
-    named = roster_names(turns, speakers)
-    reserved, cues = _source_cues(room_for_name)
-    cut = named.withColumn(
-        "_starts", _cue_starts(F.col("words"), F.lit(tx.CUE_CHARACTERS) - reserved)
-    ).withColumn("cues", cues)
+    cut = roster_names(turns, speakers).withColumn("cues", _source_cues(room_for_name))
     if translations is not None:
-        cut = _redistributed(text_for_rendering(cut, translations), "cues", "translated_text")
+        cut = text_for_rendering(cut, translations).withColumn(
+            "cues", redistribute(F.col("cues"), F.col("translated_text"))
+        )
     return cut.select("meeting_id", "turn_idx", "turn_id", "cues")
 
 

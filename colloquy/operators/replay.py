@@ -275,6 +275,8 @@ def replay_turn_edits(turns: DataFrame, speakers: DataFrame, edits: DataFrame) -
         .join(place.withColumnRenamed("turn_id", "_root"), ["meeting_id", "_root"])
         .drop("_root")
     )
+    # Fresh column identities: both sides descend from the same written table.
+    steps = steps.select(*[F.col(c).alias(c) for c in steps.columns])
     replayed = (
         inside.groupBy("meeting_id", "island")
         .cogroup(steps.groupBy("meeting_id", "island"))

@@ -351,11 +351,16 @@ def output_name(title: Column, extension: str, target_name: Column | None = None
 
 
 def write_documents(blocks: DataFrame, fmt: str, path: str) -> None:
-    """Writes documents as text under ``format=…/meeting_id=…/part=…``."""
+    """Writes documents as text under ``format=…/meeting_id=…/part=…``.
+
+    The writer ends every file with a line break, so the text's own last one is
+    taken off.
+    """
+    text = F.regexp_replace("text", r"\n\z", "")
     (
         documents(blocks)
-        .select(F.lit(fmt).alias("format"), "meeting_id", "part", F.col("text").alias("value"))
+        .select(F.lit(fmt).alias("format"), "meeting_id", "part", text.alias("value"))
         .write.partitionBy("format", "meeting_id", "part")
         .mode("append")
-        .text(path, lineSep="")
+        .text(path)
     )
