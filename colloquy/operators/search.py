@@ -76,21 +76,46 @@ def _overwrite(text: Column, at: Column, length: Column, with_: str) -> Column:
     return F.concat(head, F.lit(with_), tail)
 
 
+def _overlaps_itself(query: str) -> bool:
+    wanted = tx.fold_literal(query.strip())
+    return any(wanted.startswith(wanted[i:]) for i in range(1, len(wanted)))
+
+
+def _rewritten_text(text: Column, offsets: Column, size: Column, replacement: str) -> Column:
+    """A text with the matches at ascending offsets replaced, last to first."""
+    return F.aggregate(
+        F.reverse(offsets),
+        text,
+        lambda acc, at: F.when(
+            at + size <= F.length(acc), _overwrite(acc, at, size, replacement)
+        ).otherwise(acc),
+    )
+
+
 def replace_all(turns: DataFrame, query: str, replacement: str) -> DataFrame:
     """Turns with every match replaced, last to first, and what that cost.
 
     Matches are found once on the original text. One inside a single word
     rewrites that word and keeps the timings; any other edits the text and drops
     them for the turn. Adds ``kept`` and ``dropped`` counts.
+
+    Where all matches of a turn lie inside words and cannot overlap, the words
+    are rewritten one by one; only other timed turns need the fold over matches
+    with changing word ranges.
     """
     size = F.lit(_length(query))
-    state = F.struct(
-        F.col("text").alias("text"),
-        F.col("words").alias("words"),
-        F.col("is_edited").alias("is_edited"),
-        F.lit(0).alias("kept"),
-        F.lit(0).alias("dropped"),
-    )
+
+    def result(text: Column, words: Column, edited: Column, kept: Column, dropped: Column):
+        return F.struct(
+            text.alias("text"),
+            words.alias("words"),
+            edited.alias("is_edited"),
+            kept.cast("int").alias("kept"),
+            dropped.cast("int").alias("dropped"),
+        )
+
+    zero = F.lit(0)
+    same = result(F.col("text"), F.col("words"), F.col("is_edited"), zero, zero)
 
     def rewritten(words: Column, word: Column, at: Column) -> Column:
         changed = F.transform(
@@ -111,27 +136,67 @@ def replace_all(turns: DataFrame, query: str, replacement: str) -> DataFrame:
         across = fits & word.isNull()
         return tx.let(
             F.when(in_word, rewritten(acc["words"], word, at)),
-            lambda words: F.struct(
+            lambda words: result(
                 F.when(in_word, tx.joined_text(tx.word_texts(words)))
                 .when(across, _overwrite(acc["text"], at, size, replacement))
-                .otherwise(acc["text"])
-                .alias("text"),
-                F.when(in_word, words).when(~across, acc["words"]).alias("words"),
-                (acc["is_edited"] | across).alias("is_edited"),
-                (acc["kept"] + in_word.cast("int")).alias("kept"),
-                (acc["dropped"] + across.cast("int")).alias("dropped"),
+                .otherwise(acc["text"]),
+                F.when(in_word, words).when(~across, acc["words"]),
+                acc["is_edited"] | across,
+                acc["kept"] + in_word.cast("int"),
+                acc["dropped"] + across.cast("int"),
             ),
         )
 
-    def apply(acc: Column, at: Column) -> Column:
+    def step(acc: Column, at: Column) -> Column:
         return tx.let(
             _enclosing(word_ranges(acc["words"]), at, size),
             lambda word: with_word(acc, at, word),
         )
 
-    found = turns.withColumn("_at", F.reverse(tx.match_offsets(F.col("text"), query)))
+    def word_by_word() -> Column:
+        changed = F.transform(
+            "words",
+            lambda w: F.struct(
+                _rewritten_text(
+                    w["word"], tx.match_offsets(w["word"], query), size, replacement
+                ).alias("word"),
+                w["start"].alias("start"),
+                w["end"].alias("end"),
+            ),
+        )
+        return tx.let(
+            F.filter(changed, lambda w: w["word"] != ""),
+            lambda words: result(
+                tx.joined_text(tx.word_texts(words)),
+                words,
+                F.col("is_edited"),
+                F.size("_at"),
+                zero,
+            ),
+        )
+
+    none = F.lit(None).cast(turns.schema["words"].dataType)
+    in_text = result(
+        _rewritten_text(F.col("text"), F.col("_at"), size, replacement),
+        none,
+        F.lit(True),
+        zero,
+        F.size("_at"),
+    )
+    inside = F.aggregate(
+        F.transform("words", lambda w: F.size(tx.match_offsets(w["word"], query))),
+        zero,
+        lambda acc, n: acc + n,
+    )
+    local = (inside == F.size("_at")) if not _overlaps_itself(query) else F.lit(False)
+    untimed_is_plain = F.lit(not _overlaps_itself(query))
+    found = turns.withColumn("_at", tx.match_offsets(F.col("text"), query))
     done = found.withColumn(
-        "_r", F.when(F.size("_at") > 0, F.aggregate("_at", state, apply)).otherwise(state)
+        "_r",
+        F.when(F.size("_at") == 0, same)
+        .when(F.col("words").isNull() & untimed_is_plain, in_text)
+        .when(F.col("words").isNotNull() & local, word_by_word())
+        .otherwise(F.aggregate(F.reverse("_at"), same, step)),
     )
     changed = ("text", "words", "is_edited")
     return done.select(

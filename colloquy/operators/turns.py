@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
 from colloquy.plans.scan import CHUNK, ordinal, position_chunk, running
+from colloquy.session import settle
 
 # A pause that ends a turn, and the age at which one may end at a sentence.
 PAUSE_SECONDS = 1.5
@@ -18,7 +19,11 @@ LONG_TURN_SECONDS = 30.0
 
 
 def turn_runs(words: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Words numbered by hard run: a new speaker, or a pause within one speaker."""
+    """Words numbered by hard run: a new speaker, or a pause within one speaker.
+
+    The scans read the words several times, so they are written once.
+    """
+    words = settle(words, "aligned")
     keys, order = ["meeting_id"], [F.col("word_idx")]
     place = position_chunk("word_idx", chunk)
     before = F.struct(F.col("speaker_id").alias("who"), F.col("end").alias("until"))
@@ -203,7 +208,12 @@ def _carry_states(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def mark_turns(words: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """Words with ``turn_first``, the index of the word that starts their turn."""
+    """Words with ``turn_first``, the index of the word that starts their turn.
+
+    The words are read for the lengths of meetings, the summaries and the marks,
+    so they are written once.
+    """
+    words = settle(words, "aligned")
     placed = words.withColumns(
         {"_chunk": position_chunk("word_idx", chunk), "_stop": tx.ends_sentence(F.col("word"))}
     )

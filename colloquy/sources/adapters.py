@@ -7,6 +7,7 @@ Times are built in whole milliseconds and divided once.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import text as tx
 from colloquy.plans.scan import ordinal, position_chunk, running
 from colloquy.schema import LANGUAGES, MICROPHONE, SYSTEM_AUDIO
+from colloquy.session import settle
 
 _LANGUAGE_NAMES = [row[0] for row in LANGUAGES]
 
@@ -27,13 +29,26 @@ def pick(index: Column, values: list) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index + 1).cast("int"))
 
 
+_written: dict[tuple[str, str, str], DataFrame] = {}
+
+
 class DriverTables:
-    """Lazily derived transcript tables over one data folder."""
+    """Lazily derived transcript tables over one data folder.
+
+    The three tables that need an ordered scan are written once per application
+    and folder; all others are projections and joins over them.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark = spark
         self.folder = folder
 
+    def _once(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.folder, name)
+        if key not in _written:
+            _written[key] = settle(build(), name)
+        return _written[key]
+
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
@@ -42,6 +57,9 @@ class DriverTables:
     @cached_property
     def spoken(self) -> DataFrame:
         """One row per conversation turn with its words and the index of the first."""
+        return self._once("spoken", self._spoken)
+
+    def _spoken(self) -> DataFrame:
         rows = (
             self.read("conversations")
             .select(
@@ -222,6 +240,9 @@ class DriverTables:
     @cached_property
     def ticks(self) -> DataFrame:
         """Events numbered per user by time: the base of frames and samples."""
+        return self._once("ticks", self._ticks)
+
+    def _ticks(self) -> DataFrame:
         events = self.read("events").select("user_id", "event_id", "ts", "event_type", "value")
         hour = F.floor(F.unix_timestamp(F.col("ts")) / 3600).cast("long")
         return ordinal(events, ["user_id"], hour, [F.col("ts"), F.col("event_id")], "idx").select(
@@ -237,6 +258,9 @@ class DriverTables:
     @cached_property
     def frames(self) -> DataFrame:
         """Energies of two channels: the microphone hears the other one late and faint."""
+        return self._once("frames", self._frames)
+
+    def _frames(self) -> DataFrame:
         user, frame = F.col("user_id"), F.col("frame")
         system = self.ticks.select(
             "meeting_id",
