@@ -100,22 +100,29 @@ def match_offsets(text: Column, query: str) -> Column:
     wanted = fold_literal(query.strip())
     if not wanted:
         return F.array().cast("array<int>")
-    folded = fold(text)
-    pieces = F.split(folded, f"(?={_java_pattern(wanted)})", -1)
     start = F.struct(
         F.lit(0).alias("at"), F.array().cast("array<int>").alias("found")
     )
-    walked = F.aggregate(
-        pieces,
-        start,
-        lambda acc, piece: F.struct(
-            (acc["at"] + F.length(piece)).alias("at"),
-            F.when(piece.startswith(wanted), F.concat(acc["found"], F.array(acc["at"])))
-            .otherwise(acc["found"])
-            .alias("found"),
-        ),
-    )
-    return walked["found"]
+
+    def walk(folded: Column) -> Column:
+        # Every piece but the first begins with an occurrence, which an
+        # overlapping one may have cut short.
+        walked = F.aggregate(
+            F.split(folded, f"(?={_java_pattern(wanted)})", -1),
+            start,
+            lambda acc, piece: F.struct(
+                (acc["at"] + F.length(piece)).alias("at"),
+                F.when(
+                    (acc["at"] > 0) | folded.startswith(wanted),
+                    F.concat(acc["found"], F.array(acc["at"])),
+                )
+                .otherwise(acc["found"])
+                .alias("found"),
+            ),
+        )
+        return walked["found"]
+
+    return let(fold(text), walk)
 
 
 def text_words(text: Column) -> Column:
