@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.catalog.registry import DIGITS, query
 from colloquy.catalog.text import wrapped_sql
+from colloquy.functions import text as tx
 from colloquy.operators import render, translate
 from colloquy.operators.trims import kept_turns
 from colloquy.schema import languages
@@ -383,6 +384,40 @@ def _(t):
     )
 
 
+@query(
+    "row_generators",
+    """SELECT c.meeting_id, c.turn_id, c.n_cues, coalesce(f.n_matches, 0) AS n_matches FROM (
+         SELECT meeting_id, turn_id, count(*) AS n_cues FROM cues GROUP BY ALL) c
+       LEFT JOIN (SELECT turn_id, CAST(len(list_filter(range(len(text)), lambda i:
+                    substr(strip_accents(lower(text)), i + 1, 2) = 'en')) AS BIGINT) AS n_matches
+                  FROM turns) f ON f.turn_id = c.turn_id""",
+    cues_sql(False),
+)
+def _(t):
+    cut = render.turn_cues(kept(t), t.speakers)
+    texts = t.turns.select("turn_id", "text")
+    return cut.join(texts, "turn_id").select(
+        "meeting_id",
+        "turn_id",
+        F.size("cues").cast("long").alias("n_cues"),
+        F.size(tx.match_offsets(F.col("text"), "en")).cast("long").alias("n_matches"),
+    )
+
+
+@query(
+    "column_library",
+    f"""SELECT turn_id, len(text) AS n_chars, strip_accents(lower(text)) AS folded,
+              {wrapped_sql("left(text, 80)")} AS wrapped FROM turns""",
+)
+def _(t):
+    return t.turns.select(
+        "turn_id",
+        F.length(tx.joined_text(tx.text_words(F.col("text")))).cast("long").alias("n_chars"),
+        tx.fold(F.col("text")).alias("folded"),
+        tx.wrap_lines(F.substring("text", 1, 80)).alias("wrapped"),
+    )
+
+
 # -- exports and imports ------------------------------------------------------------
 
 
@@ -525,7 +560,7 @@ def _(t):
 
 
 @query(
-    "route_import",
+    "route_import_format",
     """SELECT 'e' || meeting_id AS source, CASE WHEN EXISTS (SELECT 1 FROM kept k
               WHERE k.meeting_id = m.meeting_id) THEN 'export' END AS kind,
               CASE WHEN NOT EXISTS (SELECT 1 FROM kept k WHERE k.meeting_id = m.meeting_id)

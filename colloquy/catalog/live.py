@@ -17,6 +17,7 @@ def stream(t, table: str):
     schema = t.read(table).schema
     rows = (
         t.spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", 64)
         .option("pathGlobFilter", f"{table}.parquet")
         .parquet(t.folder)
     )
@@ -160,12 +161,14 @@ def _(t):
 
 @query(
     "stream_silence_alarm",
-    """SELECT CAST(user_id AS VARCHAR) AS recording_id,
-              epoch_ms(min(ts)) + 3 * 86400000 AS alarm_at FROM events e
-       GROUP BY user_id
-       HAVING count(*) FILTER (user_id % 2 = 1 AND epoch_ms(ts) <= (SELECT epoch_ms(min(f.ts)) FROM events f
-                WHERE f.user_id = e.user_id) + 3 * 86400000) = 0
-          AND epoch_ms(min(ts)) + 3 * 86400000 < (SELECT epoch_ms(max(ts)) - 1000 FROM events)""",
+    """SELECT CAST(user_id AS VARCHAR) AS recording_id, epoch_us(start) + span AS alarm_at
+       FROM (SELECT e.user_id, start, 3 * 86400000000 AS span,
+                    count(*) FILTER (e.user_id % 2 = 1
+                      AND epoch_us(ts) <= epoch_us(start) + 3 * 86400000000) AS heard
+             FROM events e JOIN (SELECT user_id, min(ts) AS start FROM events GROUP BY 1) f
+               ON e.user_id = f.user_id GROUP BY e.user_id, start)
+       WHERE heard = 0
+         AND epoch_us(start) + span < (SELECT epoch_us(max(ts)) - 1000000 FROM events)""",
 )
 def _(t):
     # Days stand for seconds; every second user's system channel is silent.

@@ -149,7 +149,7 @@ def _(t):
 
 @query(
     "channel_fold",
-    """SELECT f.meeting_id, f.idx, round(total * CASE WHEN s > 0 THEN c / s ELSE 1 END, 6) AS value
+    """SELECT f.meeting_id, f.idx, round(total * CASE WHEN s > 0 THEN c / s ELSE 1 END, 12) AS value
        FROM folded f JOIN (SELECT meeting_id, max(peak) AS c, max(abs(total)) AS s FROM folded
                            GROUP BY 1) g ON f.meeting_id = g.meeting_id""",
     """
@@ -158,8 +158,9 @@ folded AS (
 )""",
 )
 def _(t):
+    # Halves of the input's own decimals are ties at six digits.
     return sides.channel_fold(t.samples).select(
-        "meeting_id", "idx", F.round("value", DIGITS).alias("value")
+        "meeting_id", "idx", F.round("value", 12).alias("value")
     )
 
 

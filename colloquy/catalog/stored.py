@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from colloquy.catalog.registry import DIGITS, query
@@ -210,19 +209,17 @@ def _(t):
 
 @query(
     "folder_order",
-    """SELECT folder, row_number() OVER (ORDER BY CAST(substr(source, 4) AS INTEGER), depth, lang) AS place
-       FROM (SELECT DISTINCT source, '' AS lang, source AS folder, 0 AS depth FROM library
-             UNION SELECT DISTINCT source, lang, folder, 1 FROM library)""",
+    """SELECT DISTINCT folder, sort_key FROM (
+         SELECT source AS folder, 'src' || lpad(substr(source, 4), 20, '0') AS sort_key FROM library
+         UNION ALL
+         SELECT folder, 'src' || lpad(substr(source, 4), 20, '0') || '/' || lang FROM library)""",
 )
 def _(t):
-    # One row per folder, so the number of folders, not of meetings, is ordered.
+    # One row per folder; the order itself is a range-partitioned sort.
     folders = library.folder_rollup(t.library).where(F.size("folder") > 0).select("folder")
     key = library.natural_key(F.col("folder"))
-    placed = library.folder_order(folders).withColumn(
-        "place", F.row_number().over(Window.orderBy(key, "folder"))
-    )
-    return placed.select(
-        F.array_join("folder", "/").alias("folder"), F.col("place").cast("long").alias("place")
+    return library.folder_order(folders).select(
+        F.array_join("folder", "/").alias("folder"), F.array_join(key, "/").alias("sort_key")
     )
 
 

@@ -669,7 +669,7 @@ def _(t):
 
 
 @query(
-    "timecodes",
+    "timecode_short_padded",
     """SELECT meeting_id, turn_id,
          CASE WHEN s >= 3600 THEN format('{}:{:02d}:{:02d}', s // 3600, s % 3600 // 60, s % 60)
               ELSE format('{}:{:02d}', s // 60, s % 60) END AS short,

@@ -71,13 +71,23 @@ def remove_turns(rows: DataFrame, edits: DataFrame) -> DataFrame:
 
 
 def edit_texts(turns: DataFrame, edits: DataFrame) -> DataFrame:
-    """New texts; an unchanged text is no edit, a changed one loses its timings."""
-    wanted = of_kind(edits, "edit_text").withColumn("arg", tx.trimmed(F.col("arg")))
-    final = wanted.groupBy("meeting_id", "turn_id").agg(
-        F.max_by("arg", "seq").alias("_text"), F.collect_set("arg").alias("_all")
+    """New texts; an unchanged text is no edit, a changed one loses its timings.
+
+    A text changed and changed back is edited all the same.
+    """
+    wanted = of_kind(edits, "edit_text").select(
+        "meeting_id", "turn_id", "seq", tx.trimmed(F.col("arg")).alias("_arg")
+    )
+    old = turns.select("meeting_id", "turn_id", "text")
+    final = (
+        wanted.join(old, ["meeting_id", "turn_id"])
+        .groupBy("meeting_id", "turn_id")
+        .agg(
+            F.max_by("_arg", "seq").alias("_text"),
+            F.bool_or(F.col("_arg") != F.col("text")).alias("_touched"),
+        )
     )
-    # A text changed and changed back is edited all the same.
-    touched = F.coalesce(F.exists("_all", lambda t: t != F.col("text")), F.lit(False))
+    touched = F.coalesce("_touched", F.lit(False))
     return (
         turns.join(final, ["meeting_id", "turn_id"], "left")
         .withColumns(
@@ -87,7 +97,7 @@ def edit_texts(turns: DataFrame, edits: DataFrame) -> DataFrame:
                 "text": F.coalesce("_text", "text"),
             }
         )
-        .drop("_text", "_all")
+        .drop("_text", "_touched")
     )
 
 

@@ -336,26 +336,20 @@ def suggest_profile(
         F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
         vec.norm(F.col("embedding")).alias("norm"),
     )
-    if blocks == 1:
-        packed = profiles.groupBy().agg(F.collect_list(entry).alias("_people"))
-        faced = speakers.join(F.broadcast(packed), F.lit(True), "left")
-    else:
-        salts = 32
-        packed = (
-            profiles.withColumn(
-                "_block", F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int")
-            )
-            .groupBy("_block")
-            .agg(F.collect_list(entry).alias("_people"))
-            .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-        )
-        faced = (
-            speakers.withColumn(
-                "_salt", F.pmod(F.xxhash64("meeting_id", "speaker_id"), F.lit(salts)).cast("int")
-            )
-            .withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-            .join(packed, ["_block", "_salt"])
-        )
+    # A block meets every voice, so beyond one block both sides are salted.
+    salts = 1 if blocks == 1 else 32
+    packed = (
+        profiles.withColumn("_block", F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int"))
+        .groupBy("_block")
+        .agg(F.collect_list(entry).alias("_people"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    )
+    faced = speakers.withColumn(
+        "_salt", F.pmod(F.xxhash64("meeting_id", "speaker_id"), F.lit(salts)).cast("int")
+    ).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    faced = faced.join(
+        F.broadcast(packed) if blocks == 1 else packed, ["_block", "_salt"], "left"
+    )
     own = vec.norm(F.col("embedding"))
     voice = F.col("embedding")
 

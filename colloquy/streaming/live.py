@@ -201,7 +201,7 @@ def bleed_watch(ticks: DataFrame, size: int = BLEED_TICKS) -> DataFrame:
 
 class _SilenceAlarm(StatefulProcessor):
     def __init__(self, seconds: float):
-        self.milliseconds = math.ceil(seconds * 1000)
+        self.microseconds = round(seconds * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -210,13 +210,13 @@ class _SilenceAlarm(StatefulProcessor):
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ticks = _in_order(rows, "ts")
-        at = ticks["ts"].to_numpy().astype("datetime64[ms]").astype("int64")
+        at = ticks["ts"].to_numpy().astype("datetime64[us]").astype("int64")
         if self.state.exists():
             start, loud = self.state.get()
         else:
             start, loud = int(at[0]), False
-            self.handle.registerTimer(start + self.milliseconds)
-        heard = (ticks["system"].to_numpy() > 0) & (at <= start + self.milliseconds)
+            self.handle.registerTimer(math.ceil((start + self.microseconds) / 1000))
+        heard = (ticks["system"].to_numpy() > 0) & (at <= start + self.microseconds)
         self.state.update((start, bool(loud or heard.any())))
         yield pd.DataFrame({"recording_id": [], "alarm_at": []}).astype(
             {"recording_id": "string", "alarm_at": "int64"}
@@ -225,7 +225,7 @@ class _SilenceAlarm(StatefulProcessor):
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         start, loud = self.state.get()
         if not loud:
-            yield pd.DataFrame({"recording_id": [key[0]], "alarm_at": [start + self.milliseconds]})
+            yield pd.DataFrame({"recording_id": [key[0]], "alarm_at": [start + self.microseconds]})
 
     def close(self) -> None:
         pass
@@ -236,7 +236,7 @@ def silence_alarm(
 ) -> DataFrame:
     """Recordings whose system channel stayed silent for their first seconds.
 
-    ``(recording_id, ts, system)``; the alarm time is in epoch milliseconds.
+    ``(recording_id, ts, system)``; the alarm time is in epoch microseconds.
     """
     return (
         ticks.withWatermark("ts", delay)
