@@ -56,8 +56,8 @@ def overlap_speaker(
         .join(right.alias("s"), same & (shared > 0), "left")
         .select("w.*", "_seg_start", "_seg_idx", "_seg_speaker", shared.alias("_shared"))
     )
-    return pairs.groupBy(*keys, "word_idx").agg(
-        *[F.first(c).alias(c) for c in payload],
+    # The other columns depend on the word, so they can be keys as well.
+    return pairs.groupBy(*keys, "word_idx", *payload).agg(
         F.min_by(
             "_seg_speaker", F.when(F.col("_seg_idx").isNotNull(), _preference(-F.col("_shared")))
         ).alias("speaker_id"),

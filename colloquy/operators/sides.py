@@ -111,8 +111,8 @@ def word_side_energy(
         n = F.sum(f"{column}.n")
         return F.when(n > 0, F.sum(f"{column}.sum") / n).otherwise(F.lit(0.0))
 
-    return parts.groupBy("meeting_id", "word_idx").agg(
-        *[F.first(c).alias(c) for c in payload],
+    # The other columns depend on the word; as keys they allow hash aggregation.
+    return parts.groupBy("meeting_id", "word_idx", *payload).agg(
         mean("_mic").alias("microphone_energy"),
         mean("_sys").alias("system_energy"),
     )
