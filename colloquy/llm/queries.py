@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import decontam, line_dedup, packing, simhash, toxicity
+from colloquy.llm import ann, decontam, line_dedup, packing, simhash, toxicity, wrapper
 from colloquy.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_html_wrapper(spark: SparkSession, folder: str) -> DataFrame:
+    return wrapper.extract_text(table(spark, folder, "pages"))
+
+
 def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -20,6 +24,10 @@ def op3_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack_documents(table(spark, folder, "documents"))
 
 
+def op4_multi_index_hashing(spark: SparkSession, folder: str) -> DataFrame:
+    return ann.nearest_neighbours(table(spark, folder, "embeddings"))
+
+
 def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduplicate_lines(table(spark, folder, "documents"), texts=False)
 
@@ -33,8 +41,10 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_html_wrapper": op1_html_wrapper,
     "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
+    "op4_multi_index_hashing": op4_multi_index_hashing,
     "op5_line_dedup": op5_line_dedup,
     "op7_simhash_near_dedup": op7_simhash_near_dedup,
     "op8_decontamination": op8_decontamination,
