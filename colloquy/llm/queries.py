@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from colloquy.llm import ann, decontam, line_dedup, packing, simhash, toxicity, wrapper
+from colloquy.llm import ann, decontam, licenses, line_dedup, packing, pii, simhash, suffix, toxicity, wrapper
 from colloquy.llm.common import table
 
+#: The query's key; users pass their own secret.
+PSEUDONYM_KEY = "corpus-demo"
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -32,6 +35,10 @@ def op5_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return line_dedup.deduplicate_lines(table(spark, folder, "documents"), texts=False)
 
 
+def op6_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix.remove_repeats(table(spark, folder, "documents")).drop("kept")
+
+
 def op7_simhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, folder, "documents"))
 
@@ -40,14 +47,28 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     return decontam.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+def op9_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents")).drop("matches")
+
+
+def op10_pii_pseudonyms(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.pseudonymise(table(spark, folder, "documents"), key=PSEUDONYM_KEY)
+
+
 QUERIES: dict[str, Query] = {
-    "op1_html_wrapper": op1_html_wrapper,
-    "op2_toxicity": op2_toxicity,
-    "op3_best_fit_packing": op3_best_fit_packing,
-    "op4_multi_index_hashing": op4_multi_index_hashing,
-    "op5_line_dedup": op5_line_dedup,
-    "op7_simhash_near_dedup": op7_simhash_near_dedup,
-    "op8_decontamination": op8_decontamination,
+    f.__name__: f
+    for f in (
+        op1_html_wrapper,
+        op2_toxicity,
+        op3_best_fit_packing,
+        op4_multi_index_hashing,
+        op5_line_dedup,
+        op6_suffix_array,
+        op7_simhash_near_dedup,
+        op8_decontamination,
+        op9_license_scan,
+        op10_pii_pseudonyms,
+    )
 }
 
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import prepare
+from colloquy.llm.common import IdFilter, prepare
+from colloquy.llm.hashing import RangeHashes
 from colloquy.session import settle
 
 DISCOUNT = 0.75
@@ -42,32 +43,9 @@ CALIBRATION_FOLD = 4
 CALIBRATION_ROWS = 20_000
 #: Slots of the model's tables, which are broadcast: 2**22 words, 2**20 heads.
 WORD_BITS, HEAD_BITS = 22, 20
-#: Bits of the set of labelled ids that is broadcast to skip most other rows.
-LABELLED_BITS = 23
-
 #: Ordinary and toxic rows of the other folds, and of the calibration fold.
 KINDS = ("o", "t", "ho", "ht")
 
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_MIX = np.uint64(0xBF58476D1CE4E5B9)
-_POWERS = np.ones(1, np.uint64)
-_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_INVERSES = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _POWERS, _INVERSES
-    if len(_POWERS) < n:
-        size = 1 << (n - 1).bit_length()
-        _POWERS = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _BASE)])
-        _INVERSES = np.cumprod(np.r_[np.uint64(1), np.full(size - 1, _INVERSE)])
-    return _POWERS[:n], _INVERSES[:n]
-
-
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _MIX
-    return h ^ (h >> np.uint64(29))
-
 
 def hashed_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the heads and of the whole of a text's words, by prefix sums over its bytes.
@@ -85,13 +63,11 @@ def hashed_words(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     new = np.r_[True, gaps[1:] != gaps[:-1]]
     start = where[new]
     end = where[np.r_[np.flatnonzero(new)[1:] - 1, len(where) - 1]] + 1
-    power, inverse = _powers(len(raw) + 1)
-    sums = np.zeros(len(raw) + 1, np.uint64)
-    np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * power[:-1], out=sums[1:])
+    hashes = RangeHashes(raw)
     first = np.flatnonzero((raw & 0xC0) != 0x80)  # bytes that begin a character
     at = np.searchsorted(first, start) + HEAD
     head = np.minimum(end, np.r_[first, np.full(HEAD, len(raw))][at])
-    return _mixed((sums[head] - sums[start]) * inverse[start]), _mixed((sums[end] - sums[start]) * inverse[start])
+    return hashes.of(start, head), hashes.of(start, end)
 
 
 def _fold(doc_id: str = "doc_id"):
@@ -115,30 +91,10 @@ def training_rows(docs: DataFrame, known: DataFrame) -> DataFrame:
     A set of hashed labelled ids of fixed size goes to all tasks first, so that
     few other texts are shuffled; what it lets through in error the join drops.
     """
-    bit = F.pmod(F.xxhash64("doc_id"), F.lit(1 << LABELLED_BITS))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(bit, F.lit(64)).cast("int"))
-    rows = (
-        known.select((bit / 64).cast("int").alias("k"), one.alias("b"))
-        .groupBy("k")
-        .agg(F.bit_or("b").alias("b"))
-        .collect()  # at most 2**LABELLED_BITS / 64 rows
-    )
-    bits = np.zeros((1 << LABELLED_BITS) // 64, np.int64)
-    for k, b in rows:
-        bits[k] = b
-    sent = docs.sparkSession.sparkContext.broadcast(bits)
-
-    def likely(batches):
-        held = sent.value
-        for batch in batches:
-            at = batch["at"].to_numpy(zero_copy_only=False)
-            yield batch.filter(pa.array(((held[at >> 6] >> (at & 63)) & 1).astype(bool)))
-
-    some = (
-        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-        .filter(F.col("doc_id").isNotNull() & (_fold() > 0))
-        .withColumn("at", bit)
-        .mapInArrow(likely, "doc_id long, text string, at long")
+    some = IdFilter(known, ["doc_id"]).keep(
+        docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).filter(
+            F.col("doc_id").isNotNull() & (_fold() > 0)
+        )
     )
     return some.join(known, "doc_id").select("text", _fold().alias("fold"), "toxic")
 
