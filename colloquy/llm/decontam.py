@@ -43,9 +43,11 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def necessary_words(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Each window's rarest word among all words of the documents, with its place in it."""
     each = found.select("window", "item_ids", F.posexplode("window").alias("place", "word"))
+    # As a written table its size is known: small, it is broadcast; else all words are shuffled.
+    vocabulary = settle(each.select("word").distinct(), "vocabulary")
     counted = (
         docs.select(F.explode(words(F.col("text"))).alias("word"))
-        .join(each.select("word").distinct(), "word")
+        .join(vocabulary, "word")
         .groupBy("word")
         .agg(F.count("*").alias("n"))
     )
@@ -70,7 +72,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     """
     spark = prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # As a written table its size is known: small, it is broadcast; else both sides are shuffled.
+    # Its size is known too.
     prefix = settle(necessary_words(settle(windows(items, window), "windows"), own), "prefixes")
     mark = spark.range(1).select(
         F.lit(END).alias("word"),
