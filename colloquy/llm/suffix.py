@@ -142,8 +142,11 @@ def common_prefixes(text: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np
     return lcp[order]
 
 
-def repeated_windows(text: np.ndarray, owned: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which owned windows of a shard have the bytes of another owned one. ``owned``: flag by first byte."""
+def repeated_windows(text: np.ndarray, owned: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
+    """Which owned windows of a shard have the bytes of another owned one, and one of each different window.
+
+    ``owned`` flags the windows by their first byte.
+    """
     order, rank = suffix_array(text)
     lcp = common_prefixes(text, order, rank)
     run = np.cumsum(lcp < length)
@@ -151,7 +154,10 @@ def repeated_windows(text: np.ndarray, owned: np.ndarray, length: int = LENGTH)
     several = np.bincount(run, weights=mine, minlength=1 + (run[-1] if len(run) else 0)) > 1
     out = np.zeros(len(text), bool)
     out[order[mine & several[run]]] = True
-    return out
+    different = np.zeros(len(text), bool)
+    found = order[mine]
+    different[found[np.unique(run[mine], return_index=True)[1]]] = True
+    return out, different
 
 
 def _runs(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -191,8 +197,19 @@ def all_regions(own: DataFrame, length: int, gram: int) -> DataFrame:
 
 
 def _shards(slices: DataFrame, length: int) -> DataFrame:
-    """Repeated windows of single regions, as runs; and of cut grams the digests of all windows."""
-    shape = "doc_id long, twin long, first long, last long, gram long, digest long, single boolean"
+    """Repeated windows of single regions, as runs; and of cut grams the different windows.
+
+    Those are packed by digest into as many buckets as the gram has shards,
+    one row for each bucket. ``alone`` marks the windows that the shard has
+    once only, of regions that stand once only.
+    """
+    shape = (
+        "doc_id long, twin long, first long, last long, gram long, bucket long, digest array<long>, "
+        "docs array<long>, twins array<long>, firsts array<long>, alone array<boolean>"
+    )
+    longs = pa.list_(pa.int64())
+    kinds = (pa.int64(),) * 6 + (longs,) * 4 + (pa.list_(pa.bool_()),)
+    names = [field.split()[0] for field in shape.split(", ")]
 
     def search(batches):
         def done(rows: pa.Table) -> pa.RecordBatch:
@@ -201,43 +218,34 @@ def _shards(slices: DataFrame, length: int) -> DataFrame:
             begin = np.cumsum(sizes) - sizes
             text = np.frombuffer(b"".join(texts), np.uint8)
             windows = sizes - length + 1
-            owned = np.zeros(len(text) + 1, np.int8)
-            np.add.at(owned, begin, 1)
-            np.add.at(owned, begin + windows, -1)
-            again = repeated_windows(text, np.cumsum(owned)[:-1].astype(bool), length)
-            out: list[list[np.ndarray]] = [[] for _ in range(7)]
-
-            def put(k: int, first: np.ndarray, last: np.ndarray, digest: np.ndarray | None) -> None:
-                n = len(first)
-                one = lambda name: np.full(n, rows[name][k].as_py())
-                values = (
-                    one("doc_id"), one("twin"), first, last, one("gram"),
-                    np.zeros(n, np.int64) if digest is None else digest, one("single").astype(bool),
-                )
-                for column, v in zip(out, values):
-                    column.append(v)
-
-            at, single, cut = (rows[n].to_numpy() for n in ("first", "single", "cut"))
-            spans, digests = [], []
-            for k in range(len(texts)):
-                if single[k]:
-                    first, last = _runs(again[begin[k] : begin[k] + windows[k]])
-                    if len(first):
-                        put(k, first + at[k], last + at[k], None)
-                        spans.append(len(first))
-                        digests.append(np.zeros(len(first), bool))
-                if cut[k] > 1:
-                    d = RangeHashes(text[begin[k] : begin[k] + sizes[k]]).of_length(length).view(np.int64)
-                    first = np.arange(len(d)) + at[k]
-                    put(k, first, first, d)
-                    spans.append(len(d))
-                    digests.append(np.ones(len(d), bool))
-            kinds = (np.int64,) * 6 + (bool,)
-            arrays = [np.concatenate([*c, np.zeros(0, t)]) for c, t in zip(out, kinds)]
-            has = np.concatenate([*digests, np.zeros(0, bool)])
-            names = [field.split()[0] for field in shape.split(", ")]
-            columns = [pa.array(a, mask=~has) if n == "digest" else pa.array(a) for n, a in zip(names, arrays)]
-            return pa.RecordBatch.from_arrays(columns, names)
+            edge = np.zeros(len(text) + 1, np.int8)
+            np.add.at(edge, begin, 1)
+            np.add.at(edge, begin + windows, -1)
+            again, different = repeated_windows(text, np.cumsum(edge)[:-1].astype(bool), length)
+            doc, twin, at, gram, part, cut, single = (
+                rows[n].to_numpy() for n in ("doc_id", "twin", "first", "gram", "part", "cut", "single")
+            )
+            out = []
+            for k in np.flatnonzero(single):
+                for a, b in zip(*_runs(again[begin[k] : begin[k] + windows[k]])):
+                    out.append((doc[k], twin[k], at[k] + a, at[k] + b, *(None,) * 7))
+            start = np.flatnonzero(np.r_[True, (gram[1:] != gram[:-1]) | (part[1:] != part[:-1])])
+            for a, b in zip(start, np.r_[start[1:], len(gram)]):
+                if cut[a] < 2:
+                    continue
+                low, high = begin[a], begin[b - 1] + sizes[b - 1]
+                chosen = np.flatnonzero(different[low:high])
+                which = np.searchsorted(begin[a:b], chosen + low, side="right") - 1 + a
+                digest = RangeHashes(text[low:high]).of(chosen, chosen + length).view(np.int64)
+                firsts = at[which] + chosen + low - begin[which]
+                alone = ~again[low:high][chosen] & single[which]
+                bucket = digest % cut[a]
+                order = np.lexsort((digest, bucket))
+                for same in np.split(order, np.flatnonzero(np.diff(bucket[order])) + 1):
+                    packed = (v[same] for v in (digest, doc[which], twin[which], firsts, alone))
+                    out.append((None, None, None, None, gram[a], bucket[same[0]], *packed))
+            columns = list(zip(*out)) or [()] * len(names)
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names)
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -266,21 +274,20 @@ def _shards(slices: DataFrame, length: int) -> DataFrame:
     return slices.mapInArrow(search, shape)
 
 
-def _merged_shards(windows: DataFrame, pieces) -> DataFrame:
-    """Of the windows of cut grams those whose digest another has, as runs of one."""
+def _merged_shards(packed: DataFrame) -> DataFrame:
+    """Of the windows of cut grams those that another shard has too, as runs of one."""
 
     def merge(rows: pa.Table) -> pa.Table:
-        digest = rows["digest"].to_numpy()
+        digest, doc, twin, first, alone = (
+            np.concatenate([c.values.to_numpy(zero_copy_only=False)[c.offsets[0].as_py() : c.offsets[-1].as_py()] for c in rows[n].chunks])
+            for n in ("digest", "docs", "twins", "firsts", "alone")
+        )
         ordered = np.sort(digest)
-        several = np.searchsorted(ordered, digest, side="right") - np.searchsorted(ordered, digest, side="left") > 1
-        kept = rows.filter(pa.array(several & rows["single"].to_numpy()))
-        return kept.select(["doc_id", "twin", "first", "last"])
-
-    return (
-        windows.withColumn("bucket", F.pmod("digest", pieces))
-        .groupBy("gram", "bucket")
-        .applyInArrow(merge, "doc_id long, twin long, first long, last long")
-    )
+        shards = np.searchsorted(ordered, digest, side="right") - np.searchsorted(ordered, digest, side="left")
+        found = (shards > 1) & alone
+        return pa.table({"doc_id": doc[found], "twin": twin[found], "first": first[found], "last": first[found]})
+
+    return packed.groupBy("gram", "bucket").applyInArrow(merge, "doc_id long, twin long, first long, last long")
 
 
 def repeated_runs(own: DataFrame, length: int, gram: int) -> DataFrame:
@@ -346,9 +353,10 @@ def repeated_runs(own: DataFrame, length: int, gram: int) -> DataFrame:
         .sortWithinPartitions("gram", "part")
     )
     found = settle(_shards(slices, length), "shards")
-    again = found.filter("digest is null").select("doc_id", "twin", "first", "last")
-    windows = found.filter("digest is not null")
-    crossed = _merged_shards(windows, F.lit(64))
+    again = found.filter("gram is null").select("doc_id", "twin", "first", "last")
+    crossed = _merged_shards(
+        found.filter("gram is not null").select("gram", "bucket", "digest", "docs", "twins", "firsts", "alone")
+    )
     return whole.unionByName(again).unionByName(crossed)
 
 
