@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from colloquy.session import tune
 
+#: Bytes up to which a table is broadcast, as its rows' JSON measures them.
+BROADCAST_BYTES = 8 << 20
 #: Bits of a broadcast set of hashed ids.
 FILTER_BITS = 25
 #: Rows in an Arrow batch: a batch of very long texts must fit beside the task.
@@ -32,6 +34,15 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Marks a written table for broadcasting where its measured size allows; else a join shuffles.
+
+    The size of its files says too much where many tasks wrote few rows each.
+    """
+    size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+
+
 class IdFilter:
     """A set of hashed ids with a fixed number of bits, broadcast to skip rows before a shuffle.
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower, prepare
+from colloquy.llm.common import ascii_lower, broadcast_if_small, prepare
 from colloquy.session import settle
 
 WINDOW = 10
@@ -43,8 +43,7 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def necessary_words(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Each window's rarest word among all words of the documents, with its place in it."""
     each = found.select("window", "item_ids", F.posexplode("window").alias("place", "word"))
-    # As a written table its size is known: small, it is broadcast; else all words are shuffled.
-    vocabulary = settle(each.select("word").distinct(), "vocabulary")
+    vocabulary = broadcast_if_small(settle(each.select("word").distinct(), "vocabulary"))
     counted = (
         docs.select(F.explode(words(F.col("text"))).alias("word"))
         .join(vocabulary, "word")
@@ -72,7 +71,6 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     """
     spark = prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    # Its size is known too.
     prefix = settle(necessary_words(settle(windows(items, window), "windows"), own), "prefixes")
     mark = spark.range(1).select(
         F.lit(END).alias("word"),
@@ -84,7 +82,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     rows = (
         own.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
         .select("doc_id", "row", "w", F.posexplode(F.array_append("w", END)).alias("pos", "word"))
-        .join(prefix.unionByName(mark), "word")
+        .join(broadcast_if_small(prefix.unionByName(mark)), "word")
         .filter(
             F.col("window").isNull()
             | ((place >= 0) & (place + long < F.size("w") + 1) & (F.slice("w", F.greatest(place, F.lit(0)) + 1, long) == F.col("window")))
