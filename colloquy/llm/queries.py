@@ -71,4 +71,60 @@ QUERIES: dict[str, Query] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+LINE_DEDUP_SQL = rf"""
+WITH lines AS (
+  SELECT doc_id, i, line,
+         translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), {_LOWER}) AS key
+  FROM (SELECT doc_id, unnest(l) AS line, unnest(range(len(l))) AS i
+        FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents))
+),
+common AS (
+  SELECT key, max(doc_id) AS keeper FROM lines WHERE length(key) >= 40
+  GROUP BY key HAVING count(DISTINCT doc_id) >= 5
+),
+marked AS (
+  SELECT l.*, coalesce(doc_id <> keeper, false) AS dropped FROM lines l LEFT JOIN common USING (key)
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (dropped) AS n_dropped,
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+DECONTAMINATION_SQL = rf"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM documents
+),
+item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), {_LOWER}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+  FROM benchmark
+),
+item_window AS (
+  SELECT DISTINCT item_id, n, array_to_string(w[s + 1:s + n], ' ') AS words
+  FROM (SELECT item_id, w, least(len(w), 10) AS n, unnest(range(len(w) - least(len(w), 10) + 1)) AS s
+        FROM item WHERE len(w) > 0)
+),
+doc_window AS (
+  SELECT doc_id, s, n, array_to_string(w[s + 1:s + n], ' ') AS words
+  FROM (SELECT doc_id, w, n, unnest(range(len(w) - n + 1)) AS s
+        FROM doc, (SELECT DISTINCT n FROM item_window) WHERE len(w) >= n)
+),
+found AS (SELECT DISTINCT doc_id, s, n, item_id FROM doc_window JOIN item_window USING (n, words)),
+hit AS (
+  SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + n)) AS p FROM found) GROUP BY 1
+),
+items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS ids
+  FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM found) GROUP BY 1
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM doc LEFT JOIN hit USING (doc_id) LEFT JOIN items USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": LINE_DEDUP_SQL,
+    "op8_decontamination": DECONTAMINATION_SQL,
+}
