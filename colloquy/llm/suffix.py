@@ -235,6 +235,8 @@ def _shards(slices: DataFrame, length: int) -> DataFrame:
                     continue
                 low, high = begin[a], begin[b - 1] + sizes[b - 1]
                 chosen = np.flatnonzero(different[low:high])
+                if not len(chosen):  # all are in other parts of the gram, in this array
+                    continue
                 which = np.searchsorted(begin[a:b], chosen + low, side="right") - 1 + a
                 digest = RangeHashes(text[low:high]).of(chosen, chosen + length).view(np.int64)
                 firsts = at[which] + chosen + low - begin[which]

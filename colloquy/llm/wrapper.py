@@ -1,8 +1,8 @@
 """Main text of web pages by wrapper induction.
 
 Pages of one host share a template. Each page's DOM tree is reduced to its
-skeleton, in which equal siblings in a row are one repeated node; the most
-frequent skeleton of a host is its reference. All skeletons of the host are
+skeleton, in which equal siblings are one repeated node; the most frequent
+skeleton of a host is its reference. All skeletons of the host are
 aligned with it by simple tree matching, so that every page votes, for each
 slot of the reference, which texts stand there. A text that nearly all pages
 with the slot have is constant: template. What varies is content. What an
@@ -86,14 +86,12 @@ class Page:
         self.blocks = [b for b in self.blocks if b[1]]
 
     def _node(self, label: str, parent: int, known: dict) -> int:
-        """The skeleton node for a child; one for all equal children of a parent in a row."""
-        last = known.get(parent)
-        if last and last[0] == label:
-            return last[1]
-        self.labels.append(label)
-        self.parents.append(parent)
-        known[parent] = (label, len(self.labels) - 1)
-        return len(self.labels) - 1
+        """The skeleton node for a child; one for all equal children of a parent."""
+        if (parent, label) not in known:
+            self.labels.append(label)
+            self.parents.append(parent)
+            known[parent, label] = len(self.labels) - 1
+        return known[parent, label]
 
     def _walk(self, top: Node, parent: int, known: dict, inside: bool, boilerplate: bool) -> None:
         stack = [(top, parent, inside, boilerplate, False)]
