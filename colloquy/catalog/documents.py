@@ -264,7 +264,7 @@ def escaped(text: str) -> str:
 
 
 def vtt_sql(source: str) -> str:
-    return f"""SELECT m.meeting_id, CAST(0 AS BIGINT) AS part, E'WEBVTT\\n' || coalesce(string_agg(
+    return f"""SELECT m.meeting_id, E'WEBVTT\\n' || coalesce(string_agg(
          E'\\n' || number || E'\\n' || {clock_sql('c.start', '.')} || ' --> ' || {clock_sql('c."end"', '.')}
          || E'\\n' || CASE WHEN speaker IS NULL THEN '' ELSE '<v ' || {escaped('speaker')} || '>' END
          || {escaped(wrapped_sql('c.text'))} || E'\\n', '' ORDER BY number), '') AS text
@@ -283,7 +283,7 @@ def _(t):
     return render.documents(render.vtt_blocks(cue_table(t, True, False), t.meetings))
 
 
-SRT = f"""SELECT meeting_id, CAST(0 AS BIGINT) AS part, string_agg(
+SRT = f"""SELECT meeting_id, string_agg(
          CASE WHEN number > 1 THEN E'\\n' ELSE '' END || number || E'\\n' || {clock_sql('start', ',')}
          || ' --> ' || {clock_sql('"end"', ',')} || E'\\n' || {wrapped_sql(
              "(CASE WHEN speaker IS NULL THEN text ELSE speaker || ': ' || text END)")}
@@ -317,7 +317,7 @@ def markdown_sql(translated: bool) -> str:
         if translated
         else "''"
     )
-    return f"""SELECT m.meeting_id, CAST(0 AS BIGINT) AS part,
+    return f"""SELECT m.meeting_id,
          '# ' || title || E'\\n\\n*' || {short_sql('duration')} || ' · transcribed '
          || strftime(imported_at, '%Y-%m-%d %H:%M') || E'*\\n'
          || CASE WHEN kept_start IS NULL THEN '' ELSE E'\\n*Trimmed to ' || {short_sql('kept_start')}
@@ -407,14 +407,14 @@ def _(t):
 @query(
     "column_library",
     f"""SELECT turn_id, len(text) AS n_chars, strip_accents(lower(text)) AS folded,
-              {wrapped_sql("left(text, 80)")} AS wrapped FROM turns""",
+              {wrapped_sql("text")} AS wrapped FROM turns""",
 )
 def _(t):
     return t.turns.select(
         "turn_id",
         F.length(tx.joined_text(tx.text_words(F.col("text")))).cast("long").alias("n_chars"),
         tx.fold(F.col("text")).alias("folded"),
-        tx.wrap_lines(F.substring("text", 1, 80)).alias("wrapped"),
+        tx.wrap_lines(F.col("text")).alias("wrapped"),
     )
 
 
@@ -425,7 +425,7 @@ def opt(key: str, value: str, before: str = ",") -> str:
     return f"coalesce('{before}\"{key}\":' || {value}, '')"
 
 
-JSON_SQL = f"""SELECT m.meeting_id, CAST(0 AS BIGINT) AS part,
+JSON_SQL = f"""SELECT m.meeting_id,
     '{{' || {opt('degraded', 'to_json(m.degraded)::VARCHAR', '')}
     || CASE WHEN m.degraded IS NULL THEN '' ELSE ',' END
     || '"duration":' || m.duration || {opt('fastTranscribed', "CASE WHEN m.fast THEN 'true' END")}
@@ -466,28 +466,26 @@ def _(t):
 
 @query(
     "sink_text_export",
-    """SELECT m.meeting_id, m.title || coalesce(' (' || l.display_name || ')', '') || '.vtt' AS file_name
-       FROM meetings m LEFT JOIN languages l ON l.language = m.target""",
+    f"""SELECT d.meeting_id, stem || CASE WHEN n > 1 THEN ' ' || n ELSE '' END || '.vtt' AS file_name, text
+       FROM ({vtt_sql("spread")}) d JOIN (
+         SELECT m.meeting_id, m.title || coalesce(' (' || l.display_name || ')', '') AS stem,
+                row_number() OVER (PARTITION BY lower(m.title || coalesce(' (' || l.display_name || ')', ''))
+                                   ORDER BY imported_at, m.meeting_id) AS n
+         FROM meetings m LEFT JOIN languages l ON l.language = m.target) s ON s.meeting_id = d.meeting_id""",
+    cues_sql(False) + SPREAD,
 )
 def _(t):
     path = new_path(t.spark, "text-export")
-    docs.write_documents(render.vtt_blocks(cue_table(t, True, False), t.meetings), "vtt", path)
-    written = t.spark.read.text(path, wholetext=True).select(
-        F.col("meeting_id").cast("string").alias("meeting_id")
-    )
-    names = languages(t.spark).select(
-        F.col("language").alias("target"), F.col("display_name").alias("_name")
-    )
-    named = t.meetings.join(F.broadcast(names), "target", "left").join(
-        written, "meeting_id", "left_semi"
-    )
-    return named.select(
-        "meeting_id", docs.output_name(F.col("title"), "vtt", F.col("_name")).alias("file_name")
+    blocks = render.vtt_blocks(cue_table(t, True, False), t.meetings)
+    written = docs.write_documents(blocks, docs.document_names(t.meetings, "vtt", True), path)
+    found = t.spark.read.text(path, wholetext=True).select(
+        F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B"))).alias("file_name"), F.col("value").alias("text")
     )
+    return written.select("meeting_id", "file_name").join(found, "file_name")
 
 
 def as_files(t):
-    """Exports of all meetings as files, one part each at this length."""
+    """Exports of all meetings as files."""
     return exported(t).select(F.col("meeting_id").alias("source"), F.col("text").alias("content"))
 
 

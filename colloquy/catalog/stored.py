@@ -210,9 +210,10 @@ def _(t):
 @query(
     "folder_order",
     """SELECT DISTINCT folder, sort_key FROM (
-         SELECT source AS folder, 'src' || lpad(substr(source, 4), 20, '0') AS sort_key FROM library
+         SELECT source AS folder, 'src' || lpad(len(n)::VARCHAR, 10, '0') || n AS sort_key FROM numbered
          UNION ALL
-         SELECT folder, 'src' || lpad(substr(source, 4), 20, '0') || '/' || lang FROM library)""",
+         SELECT folder, 'src' || lpad(len(n)::VARCHAR, 10, '0') || n || '/' || lang FROM numbered)""",
+    "numbered AS (SELECT *, CAST(CAST(substr(source, 4) AS BIGINT) AS VARCHAR) AS n FROM library)",
 )
 def _(t):
     # One row per folder; the order itself is a range-partitioned sort.

@@ -10,7 +10,7 @@ from colloquy.functions import text as tx
 from colloquy.operators import edits, search, trims
 from colloquy.operators.edits import move_folder
 from colloquy.operators.models import known_language
-from colloquy.operators.replay import final_speakers, replay_turn_edits, speaker_fates
+from colloquy.operators.replay import final_speakers, replay_turn_edits, speaker_fates, touched_turns
 from colloquy.operators.speakers import roster_names
 from colloquy.schema import DEFAULT_LANGUAGE
 
@@ -270,7 +270,7 @@ edits AS (
   UNION ALL
   SELECT meeting_id, turn_idx * 2 + k, 'edit_text', turn_id, NULL,
          CASE WHEN turn_idx % 3 = 0 THEN ' ' || text || ' '
-              ELSE 'Edited ' || k || ' ' || left(text, 20) || '#' END, NULL
+              ELSE 'Edited ' || k || ' ' || text || '#' END, NULL
   FROM turns, range(2) r(k) WHERE (conv_id + turn_idx * 3) % 5 = 0
   UNION ALL
   SELECT meeting_id, conv_id, 'attach_audio', NULL, NULL, '/new/' || conv_id || '.m4a',
@@ -332,7 +332,7 @@ def edit_log(t):
             "edit_text",
             F.col("turn_id"),
             arg=F.when(turn % 3 == 0, F.concat(F.lit(" "), F.col("text"), F.lit(" "))).otherwise(
-                F.concat(F.lit("Edited "), k, F.lit(" "), F.substring("text", 1, 20), F.lit("#"))
+                F.concat(F.lit("Edited "), k, F.lit(" "), F.col("text"), F.lit("#"))
             ),
         ),
         rows(
@@ -434,11 +434,14 @@ def _(t):
 @query(
     "drop_translations",
     """SELECT meeting_id, turn_id, text FROM translations WHERE turn_id NOT IN (
-         SELECT turn_id FROM edits WHERE op IN ('remove', 'edit_text'))""",
+         SELECT turn_id FROM edits WHERE op = 'remove'
+         UNION ALL
+         SELECT e.turn_id FROM edits e JOIN turns t ON t.turn_id = e.turn_id
+         WHERE e.op = 'edit_text' AND trim(e.arg, E' \\t\\n\\r') <> t.text)""",
     EDITS,
 )
 def _(t):
-    touched = edits.touched_by(edit_log(t))
+    touched = touched_turns(t.turns, t.speakers, edit_log(t))
     return edits.drop_translations(t.translations, touched).select("meeting_id", "turn_id", "text")
 
 
@@ -741,17 +744,17 @@ def _(t):
 @query(
     "sanitize_name",
     r"""SELECT meeting_id, CASE WHEN n = '' THEN 'Untitled' ELSE n END AS name FROM (
-          SELECT meeting_id, trim(array_to_string(list_filter(string_split(raw, ''),
+          SELECT meeting_id, trim(array_to_string(list_filter(string_split(substr(raw, 1, 200), ''),
                    lambda c, i: strlen(substr(raw, 1, i)) <= 200), '')) AS n
           FROM (SELECT meeting_id, regexp_replace(trim(translate(regexp_replace(
                   CASE WHEN doc_id % 5 = 0 THEN '..' WHEN doc_id % 5 = 1 THEN 'a/b:' ELSE '' END
-                  || CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, 230) END,
+                  || CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END,
                   '[\p{Cc}\p{Cf}]', '', 'g'), '/:', '--'), E' \t\n\r'), '^[.\s]+', '') AS raw
                 FROM library))""",
 )
 def _(t):
     lead = F.when(F.col("doc_id") % 5 == 0, "..").when(F.col("doc_id") % 5 == 1, "a/b:").otherwise("")
-    body = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.substring("text", 1, 230))
+    body = F.when(F.col("doc_id") % 7 == 0, "").otherwise(F.col("text"))
     return t.library.select("meeting_id", tx.sanitize_name(F.concat(lead, body)).alias("name"))
 
 

@@ -9,11 +9,12 @@ from colloquy.functions.vectors import cosine_distance
 from colloquy.operators import speakers as sp
 from colloquy.operators.models import friendly_app_name
 
-PLACES = [0, 7, 31, 63]
+#: All places of the driver's vectors.
+PLACES = range(64)
 
 
 def _numbers(vector: str):
-    """A few vector positions as columns, rounded."""
+    """The vector positions as columns, rounded."""
     return [
         F.round(F.get(vector, F.lit(i)).cast("double"), DIGITS).alias(f"x{i}") for i in PLACES
     ]
@@ -24,7 +25,7 @@ def _numbers_sql(vector: str) -> str:
 
 
 def _mean_sql(keys: str, weighted: str) -> str:
-    """Weighted means at the compared places, from rows ``(keys, embedding, w)``."""
+    """Weighted means at all places, from rows ``(keys, embedding, w)``."""
     parts = ", ".join(
         f"round(sum(embedding[{i + 1}] * w) / sum(w), 6) AS x{i}" for i in PLACES
     )
@@ -75,7 +76,7 @@ def _(t):
               FROM facts) f LEFT JOIN centroids c USING (meeting_id, speaker_id)
         UNION ALL
         SELECT meeting_id, (SELECT count(*) FROM facts f WHERE f.meeting_id = u.meeting_id),
-               'unknown', 'Unknown speaker', NULL, 0, NULL, NULL, NULL, NULL
+               'unknown', 'Unknown speaker', NULL, 0, {", ".join(["NULL"] * len(PLACES))}
         FROM (SELECT DISTINCT meeting_id FROM some_turns WHERE speaker_id = 'unknown') u""",
     SOME_TURNS + HEARD + f"centroids AS ({_mean_sql('meeting_id, speaker_id', 'heard')})",
 )
@@ -199,18 +200,28 @@ def _(t):
 
 @query(
     "merge_profiles",
-    f"""SELECT k.profile_id, k.sample_count + count(a.profile_id) AS sample_count,
-               coalesce(k.note, min_by(a.note, a.profile_id) FILTER (a.note IS NOT NULL)) AS note,
-               {", ".join(f'''round((any_value(k.embedding[{i + 1}]) * k.sample_count
-                  + coalesce(sum(a.embedding[{i + 1}]), 0)) / (k.sample_count + count(a.profile_id)), 6)
-                  AS x{i}''' for i in PLACES)}
-        FROM profiles k LEFT JOIN profiles a ON a.profile_pos % 5 <> 0
-          AND k.profile_pos = a.profile_pos - a.profile_pos % 5
-        WHERE k.profile_pos % 5 = 0 GROUP BY k.profile_id, k.sample_count, k.note""",
+    f"""SELECT a.profile_id, a.sample_count + CASE WHEN a.r <> 0 THEN 0 ELSE (b.profile_id IS NOT NULL)::BIGINT
+                 + (c.profile_id IS NOT NULL)::BIGINT END AS sample_count,
+               CASE WHEN a.r <> 0 THEN a.note ELSE coalesce(a.note, b.note, c.note, d.note) END AS note,
+               {", ".join(f'''round(CASE WHEN a.r <> 0 OR b.profile_id IS NULL THEN a.embedding[{i + 1}]
+                 ELSE (a.embedding[{i + 1}]::DOUBLE * a.sample_count + b.embedding[{i + 1}] + coalesce(
+                   CASE WHEN d.profile_id IS NULL THEN c.embedding[{i + 1}] ELSE
+                     (c.embedding[{i + 1}]::DOUBLE * c.sample_count + d.embedding[{i + 1}]) / (c.sample_count + 1) END, 0))
+                   / (a.sample_count + 1 + (c.profile_id IS NOT NULL)::BIGINT) END, 6) AS x{i}''' for i in PLACES)}
+        FROM (SELECT *, profile_pos % 5 AS r FROM profiles) a
+        LEFT JOIN profiles b ON b.profile_pos = a.profile_pos + 1
+        LEFT JOIN profiles c ON c.profile_pos = a.profile_pos + 2
+        LEFT JOIN profiles d ON d.profile_pos = a.profile_pos + 3
+        WHERE a.r IN (0, 4)""",
 )
 def _(t):
-    into = F.col("profile_pos") - F.col("profile_pos") % 5
+    # 3 into 2, 1 into 0, 2 into 0; 4 into 3 comes too late.
+    pos = F.col("profile_pos")
+    place = pos % 5
+    into = F.when(place <= 2, pos - place).otherwise(pos - 1)
+    seq = F.when(place == 3, 1).when(place == 1, 2).when(place == 2, 3).otherwise(4)
     merges = t.profiles.where("profile_pos % 5 <> 0").select(
+        (seq * 1_000_000 + pos).alias("seq"),
         F.col("profile_id").alias("source_id"),
         F.concat(F.lit("p"), into.cast("string")).alias("target_id"),
     )

@@ -223,15 +223,6 @@ def drop_translations(translations: DataFrame, touched: DataFrame) -> DataFrame:
     )
 
 
-#: Kinds of edit that rewrite what was said, and so cost a turn its translation.
-REWRITING = ["remove", "split", "merge_next", "merge_previous", "edit_text", "replace"]
-
-
-def touched_by(edits: DataFrame) -> DataFrame:
-    """Turns named by rewriting edits; renaming and reassigning leave lines alone."""
-    return edits.where(F.col("op").isin(REWRITING)).select("meeting_id", "turn_id").distinct()
-
-
 def rerun_replace(meetings: DataFrame, reruns: DataFrame) -> DataFrame:
     """Meetings after a new transcription: title, folder and trim stay, the rest is new.
 

@@ -84,7 +84,7 @@ def unique_names(items: DataFrame, order: list[Column], chunk: Column) -> DataFr
     # Numbers already held: "base n" is in use wherever a group of that name exists.
     held = (
         ranked.where("_rank = 0")
-        .where(F.col("_key").rlike(r"^.+ ([2-9]|[1-9][0-9]{1,8})$"))
+        .where(F.col("_key").rlike(r"^.+ ([2-9]|[1-9][0-9]{1,17})$"))
         .select(
             "folder",
             F.regexp_extract("_key", r"^(.+) ([0-9]+)$", 1).alias("_key"),
@@ -119,13 +119,18 @@ def unique_names(items: DataFrame, order: list[Column], chunk: Column) -> DataFr
 
 
 def natural_key(path: Column) -> Column:
-    """Sort key that puts parents first and ``Folder 2`` before ``Folder 10``."""
-    padded = lambda part: F.regexp_replace(
-        F.regexp_replace(F.lower(part), r"([0-9]+)", r"00000000000000000000$1"),
-        r"0*([0-9]{20})(?![0-9])",
-        "$1",
-    )
-    return F.transform(path, padded)
+    """Sort key that puts parents first and ``Folder 2`` before ``Folder 10``.
+
+    A number stands as how many digits it has, and these.
+    """
+
+    def run(part: Column) -> Column:
+        digits = F.regexp_replace(part, r"^0+(?=[0-9])", "")
+        length = F.lpad(F.length(digits).cast("string"), 10, "0")
+        return F.when(part.rlike(r"^[0-9]"), F.concat(length, digits)).otherwise(part)
+
+    runs = lambda part: F.regexp_extract_all(F.lower(part), F.lit(r"[0-9]+|[^0-9]+"), F.lit(0))
+    return F.transform(path, lambda part: F.array_join(F.transform(runs(part), run), ""))
 
 
 def folder_order(folders: DataFrame) -> DataFrame:

@@ -16,8 +16,7 @@ from colloquy.schema import languages
 CUE_SECONDS = 6.0
 CUE_MINIMUM = 0.05
 
-#: Blocks of a document per row. A longer document is several rows whose texts,
-#: in ``part`` order, add up to it, so no single task holds one.
+#: Blocks of a document that are put together before its parts are.
 PART_BLOCKS = 10_000
 
 
@@ -231,20 +230,21 @@ def cue_rows(cut: DataFrame) -> DataFrame:
 
 
 def documents(blocks: DataFrame, part_blocks: int = PART_BLOCKS) -> DataFrame:
-    """Numbered text blocks gathered into documents of bounded parts.
+    """Numbered text blocks gathered into one document for each meeting.
 
-    ``blocks(meeting_id, block, text)``. Rows: ``(meeting_id, part, text)``.
+    ``blocks(meeting_id, block, text)``. Rows: ``(meeting_id, text)``. Long
+    documents come together in two steps, so only the last one, a row that
+    holds the document anyway, is one task's work.
     """
-    part = F.floor(F.col("block") / part_blocks).cast("long")
-    return (
-        blocks.groupBy("meeting_id", part.alias("part"))
-        .agg(F.array_sort(F.collect_list(F.struct("block", "text"))).alias("_b"))
-        .select(
-            "meeting_id",
-            "part",
-            F.array_join(F.transform("_b", lambda b: b["text"]), "").alias("text"),
+
+    def put_together(df: DataFrame, keys: list[str], order: str) -> DataFrame:
+        ordered = F.array_sort(F.collect_list(F.struct(order, "text")))
+        return df.groupBy(*keys).agg(ordered.alias("_b")).select(
+            *keys, F.array_join(F.transform("_b", lambda b: b["text"]), "").alias("text")
         )
-    )
+
+    parts = blocks.withColumn("_part", F.floor(F.col("block") / part_blocks).cast("long"))
+    return put_together(put_together(parts, ["meeting_id", "_part"], "block"), ["meeting_id"], "_part")
 
 
 def _times(separator: str) -> Column:

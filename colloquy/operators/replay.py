@@ -297,3 +297,12 @@ def replay_turn_edits(turns: DataFrame, speakers: DataFrame, edits: DataFrame) -
         .withColumn("speaker_id", F.coalesce("final_speaker", "speaker_id"))
         .drop("final_speaker")
     )
+
+
+def touched_turns(turns: DataFrame, speakers: DataFrame, edits: DataFrame) -> DataFrame:
+    """Turns ``(meeting_id, turn_id)`` that edits of the log really rewrote.
+
+    Edits that change nothing, or do not apply, touch none; a merge touches
+    both of its turns.
+    """
+    return replay_turn_edits(turns, speakers, edits).where("kind = 'touched'").select("meeting_id", "turn_id")

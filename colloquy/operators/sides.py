@@ -26,7 +26,6 @@ MINIMUM_EVIDENCE = 0.5
 TOLERANCE = 3.0
 # The meter falls to this share per tick; buckets of a waveform.
 METER_DECAY = 0.6
-METER_REACH = 64
 WAVEFORM_BUCKETS = 2000
 
 #: Frames packed into one row for word lookups: one second.
@@ -349,24 +348,30 @@ def meter_decay(
 ) -> DataFrame:
     """Meter that jumps up and falls by a fixed share per tick.
 
-    The level 64 ticks back has fallen below 1e-14, so each chunk only needs the
-    63 ticks before it, which are copied in from its neighbour.
+    In logarithms the meter is the running maximum of the levels, each raised
+    by what has fallen since. It is taken inside chunks; every chunk hands the
+    level at its end, fallen further, to all later ones.
     """
+    fall = math.log(METER_DECAY)
     place = F.floor(F.col(position) / chunk).cast("long")
-    edge = F.pmod(F.col(position), F.lit(chunk)) >= chunk - (METER_REACH - 1)
-    copied = levels.withColumn(
-        "_chunk", F.explode(F.when(edge, F.array(place, place + 1)).otherwise(F.array(place)))
-    )
-    frame = (
+    within = F.col(position) - F.col("_chunk") * chunk
+    raised = F.ln(F.when(F.col(level) > 0, F.col(level))) - within * fall
+    inside = (
         Window.partitionBy(*keys, "_chunk")
         .orderBy(position)
-        .rowsBetween(-(METER_REACH - 1), Window.currentRow)
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    fall = math.log(METER_DECAY)
-    within = F.col(position) - F.col("_chunk") * chunk
-    raised = F.ln(F.when(F.col(level) > 0, F.col(level))) - within * fall
-    decayed = copied.withColumn("_best", F.max(raised).over(frame)).where(F.col("_chunk") == place)
-    return decayed.select(
-        *levels.columns,
-        F.coalesce(F.exp(F.col("_best") + within * fall), F.lit(0.0)).alias("meter"),
+    chunked = levels.withColumn("_chunk", place)
+    before = Window.partitionBy(*keys).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    carried = (
+        chunked.groupBy(*keys, "_chunk")
+        .agg(F.max(raised).alias("_raised"))
+        .withColumn("_carried", F.max(F.col("_raised") - F.col("_chunk") * chunk * fall).over(before))
+        .select(*keys, "_chunk", (F.col("_carried") + F.col("_chunk") * chunk * fall).alias("_carried"))
+    )
+    best = F.greatest("_best", "_carried")
+    return (
+        chunked.withColumn("_best", F.max(raised).over(inside))
+        .join(carried, [*keys, "_chunk"], "left")
+        .select(*levels.columns, F.coalesce(F.exp(best + within * fall), F.lit(0.0)).alias("meter"))
     )

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from colloquy.functions import vectors as vec
 from colloquy.functions.text import trimmed
 from colloquy.schema import UNKNOWN_SPEAKER
+from colloquy.session import settle
 
 # Fixed value: largest cosine distance at which a person is suggested.
 SUGGESTION_DISTANCE = 0.45
@@ -210,14 +211,39 @@ def merge_clusters(speakers: DataFrame, source: str, target: str) -> DataFrame:
 # -- enrolled people ---------------------------------------------------------
 
 
-def _reinforced(profiles: DataFrame, absorbed: DataFrame) -> DataFrame:
-    """Profiles with observations ``(profile_id, vector)`` folded into the mean.
+def _reinforced(profiles: DataFrame, absorbed: DataFrame, at: Column) -> DataFrame:
+    """Profiles with observations ``(profile_id, vector, seq)`` folded into the mean.
 
-    Only vectors as wide as the profile's count. A running mean over k further
-    observations is ``(mean * n + sum) / (n + k)`` in any order.
+    A profile without a voice takes its first observation as it is. Else only
+    vectors as wide as the profile's count: a running mean over k of them is
+    ``(mean * n + sum) / (n + k)`` in any order. Every observation, also one
+    that does not fit, makes ``at`` the time of the last update.
     """
-    width = profiles.select("profile_id", F.size("embedding").alias("_width"))
-    fitting = absorbed.join(width, "profile_id").where(F.size("vector") == F.col("_width"))
+    stored = profiles.withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
+    if "updated_at" not in stored.columns:
+        stored = stored.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    voiceless = stored.where(F.size("embedding") <= 0).select("profile_id")
+    firsts = (
+        absorbed.where(F.size("vector") > 0)
+        .join(voiceless, "profile_id")
+        .groupBy("profile_id")
+        .agg(F.min_by(F.struct("vector", "seq"), "seq").alias("_first"))
+    )
+    filled = (
+        stored.join(firsts, "profile_id", "left")
+        .withColumn(
+            "embedding",
+            F.coalesce(F.transform("_first.vector", lambda x: x.cast("double")), "embedding"),
+        )
+        .withColumn("_taken", F.col("_first.seq"))
+        .drop("_first")
+    )
+    heard = absorbed.groupBy("profile_id").agg(F.lit(True).alias("_heard"))
+    width = filled.select("profile_id", F.size("embedding").alias("_width"), "_taken")
+    fitting = absorbed.join(width, "profile_id").where(
+        (F.size("vector") == F.col("_width")) & (F.size("vector") > 0)
+        & (F.col("_taken").isNull() | (F.col("seq") != F.col("_taken")))
+    )
     sums = collect_vector(
         fitting.select("profile_id", F.posexplode("vector").alias("_pos", "_x"))
         .groupBy("profile_id", "_pos")
@@ -227,28 +253,29 @@ def _reinforced(profiles: DataFrame, absorbed: DataFrame) -> DataFrame:
     )
     counts = fitting.groupBy("profile_id").agg(F.count("*").alias("_k"))
     n, k = F.col("sample_count"), F.col("_k")
-    mean = F.zip_with(
-        "embedding", "_sum", lambda x, s: (x.cast("double") * n + s) / (n + k)
-    )
+    mean = F.zip_with("embedding", "_sum", lambda x, s: (x * n + s) / (n + k))
     return (
-        profiles.join(sums.join(counts, "profile_id"), "profile_id", "left")
-        .withColumn(
-            "embedding",
-            F.when(k.isNotNull(), mean).otherwise(
-                F.transform("embedding", lambda x: x.cast("double"))
-            ),
-        )
+        filled.join(sums.join(counts, "profile_id"), "profile_id", "left")
+        .join(heard, "profile_id", "left")
+        .withColumn("embedding", F.when(k.isNotNull(), mean).otherwise(F.col("embedding")))
         .withColumn("sample_count", n + F.coalesce(k, F.lit(0)))
-        .drop("_sum", "_k")
+        .withColumn("updated_at", F.when(F.col("_heard"), at).otherwise(F.col("updated_at")))
+        .drop("_sum", "_k", "_taken", "_heard")
     )
 
 
-def enroll_profiles(profiles: DataFrame, observations: DataFrame) -> DataFrame:
+def enroll_profiles(
+    profiles: DataFrame, observations: DataFrame, at: Column | None = None
+) -> DataFrame:
     """Confirmed voices folded into the people they name; new names are added.
 
     Names match without case. The first observation of a new name is its first
-    profile, later ones reinforce it.
+    profile, later ones reinforce it. ``at`` is the time of the update, now if
+    it is not given.
     """
+    at = F.current_timestamp() if at is None else at
+    if "updated_at" not in profiles.columns:
+        profiles = profiles.withColumn("updated_at", F.lit(None).cast("timestamp"))
     spoken = (
         observations.withColumn("_name", trimmed(F.col("name")))
         .where((F.col("_name") != "") & (F.size("embedding") > 0))
@@ -265,6 +292,7 @@ def enroll_profiles(profiles: DataFrame, observations: DataFrame) -> DataFrame:
         F.col("_f._name").alias("name"),
         F.transform("_f.embedding", lambda x: x.cast("double")).alias("embedding"),
         F.lit(1).cast("long").alias("sample_count"),
+        at.alias("updated_at"),
         "_key",
     )
     everyone = known.select(
@@ -272,6 +300,7 @@ def enroll_profiles(profiles: DataFrame, observations: DataFrame) -> DataFrame:
         "name",
         F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
         "sample_count",
+        "updated_at",
         "_key",
     ).unionByName(added)
     started = added.select(
@@ -281,41 +310,78 @@ def enroll_profiles(profiles: DataFrame, observations: DataFrame) -> DataFrame:
         spoken.join(started, "_key", "left")
         .where("_started IS NULL OR obs_id > _started")
         .join(everyone.select("_key", "profile_id"), "_key")
-        .select("profile_id", F.col("embedding").alias("vector"))
+        .select("profile_id", F.col("embedding").alias("vector"), F.col("obs_id").alias("seq"))
     )
-    return _reinforced(everyone.drop("_key"), later)
+    return _reinforced(everyone.drop("_key"), later, at)
 
 
-def merge_profiles(profiles: DataFrame, merges: DataFrame) -> DataFrame:
-    """Profiles absorbed into others: each counts as one observation; a note is kept.
+def _effective_merges(profiles: DataFrame, merges: DataFrame) -> DataFrame:
+    """The merges that take place: both people are there when their turn comes.
 
-    ``merges(source_id, target_id)``; targets are not absorbed themselves.
+    A merge whose target has an earlier merge of its own waits until it is
+    known whether that one takes place. The earliest that waits is always
+    decided, so this ends; chains without conflicts are decided at once.
     """
-    wanted = merges.where("source_id <> target_id")
-    source = wanted.join(
-        profiles.select(
-            F.col("profile_id").alias("source_id"),
-            F.col("embedding").alias("vector"),
-            F.col("note").alias("_source_note"),
-        ),
-        "source_id",
-    ).join(profiles.select(F.col("profile_id").alias("target_id")), "target_id", "left_semi")
-    kept = profiles.join(
-        source.select(F.col("source_id").alias("profile_id")), "profile_id", "left_anti"
-    )
-    notes = source.groupBy(F.col("target_id").alias("profile_id")).agg(
-        F.min_by("_source_note", F.when(F.col("_source_note").isNotNull(), F.col("source_id"))).alias(
-            "_note"
+    ids = profiles.select("profile_id")
+    left = settle(
+        merges.select("seq", "source_id", "target_id")
+        .where("source_id <> target_id")
+        .join(ids.withColumnRenamed("profile_id", "source_id"), "source_id", "left_semi")
+        .join(ids.withColumnRenamed("profile_id", "target_id"), "target_id", "left_semi"),
+        "merges",
+    )
+    while True:
+        first = left.groupBy("source_id").agg(F.min("seq").alias("seq"))
+        mine = left.join(first, ["source_id", "seq"], "left_semi")
+        own = mine.select(
+            F.col("source_id").alias("_id"), F.col("seq").alias("_gone"), F.col("target_id").alias("_into")
         )
-    )
-    grown = _reinforced(
-        kept, source.select(F.col("target_id").alias("profile_id"), "vector")
-    )
-    return (
-        grown.join(notes, "profile_id", "left")
-        .withColumn("note", F.coalesce("note", "_note"))
-        .drop("_note")
-    )
+        faced = settle(mine.join(own, F.col("target_id") == F.col("_id"), "left"), "first-merges")
+        sure = faced.where("_gone IS NULL OR _gone > seq").select(F.col("source_id").alias("_id"))
+        late = faced.where("_gone < seq").join(sure, "_id", "left_semi").select("source_id", "seq")
+        if late.isEmpty():
+            return faced.select("seq", "source_id", "target_id")
+        left = settle(left.join(late, ["source_id", "seq"], "left_anti"), "merges")
+
+
+def merge_profiles(profiles: DataFrame, merges: DataFrame, at: Column | None = None) -> DataFrame:
+    """Profiles absorbed into others in the order of ``seq``.
+
+    ``merges(seq, source_id, target_id)``. What a person is when absorbed, with
+    all that was absorbed before, counts as one observation; a note is kept
+    where there is none. People who are gone neither absorb nor are absorbed.
+    """
+    at = F.current_timestamp() if at is None else at
+    pending = settle(_effective_merges(profiles, merges), "pending")
+    now = profiles
+    while not pending.isEmpty():  # from the leaves of the forest of merges to its roots
+        inner = pending.select(F.col("target_id").alias("source_id")).distinct()
+        waiting = pending.join(inner, "source_id", "left_semi").select("target_id").distinct()
+        ready = pending.join(waiting, "target_id", "left_anti")
+        absorbed = settle(
+            ready.join(
+                now.select(
+                    F.col("profile_id").alias("source_id"),
+                    F.col("embedding").alias("vector"),
+                    F.col("note").alias("_source_note"),
+                ),
+                "source_id",
+            ).withColumnRenamed("target_id", "profile_id"),
+            "absorbed",
+        )
+        gone = absorbed.select(F.col("source_id").alias("profile_id"))
+        notes = absorbed.groupBy("profile_id").agg(
+            F.min_by("_source_note", F.when(F.col("_source_note").isNotNull(), F.col("seq"))).alias("_note")
+        )
+        now = settle(
+            _reinforced(now.join(gone, "profile_id", "left_anti"), absorbed, at)
+            .join(notes, "profile_id", "left")
+            .withColumn("note", F.coalesce("note", "_note"))
+            .drop("_note"),
+            "merged",
+        )
+        pending = settle(pending.join(absorbed.select("source_id"), "source_id", "left_anti"), "pending")
+    return now
 
 
 def suggest_profile(

@@ -2,16 +2,22 @@
 
 from __future__ import annotations
 
+import uuid
+
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from colloquy.functions import text as tx
+from colloquy.operators.library import unique_names
 from colloquy.operators.render import documents
 from colloquy.operators.speakers import roster_names
 from colloquy.operators.translate import text_for_rendering
 from colloquy.operators.trims import kept_turns
 from colloquy.schema import EXPORT_FILE, SCHEMA_VERSION, SPAN_FILE, UNKNOWN_SPEAKER, languages
+from colloquy.session import settle
 
 STORED_MEETING = T.StructType(
     [
@@ -297,7 +303,7 @@ def json_blocks(
                 F.struct(
                     (F.coalesce("_last", F.lit(0)) + 2).cast("long").alias("block"),
                     F.when(tail_json == "{}", F.lit("]}"))
-                    .otherwise(F.concat(F.lit("],"), F.substring(tail_json, 2, 1_000_000)))
+                    .otherwise(F.concat(F.lit("],"), F.regexp_replace(tail_json, r"^\{", "")))
                     .alias("text"),
                 ),
             )
@@ -350,17 +356,57 @@ def output_name(title: Column, extension: str, target_name: Column | None = None
     )
 
 
-def write_documents(blocks: DataFrame, fmt: str, path: str) -> None:
-    """Writes documents as text under ``format=…/meeting_id=…/part=…``.
+def document_names(meetings: DataFrame, extension: str, translated: bool) -> DataFrame:
+    """``(meeting_id, file_name)``: the titles, safe as names and each given once.
 
-    The writer ends every file with a line break, so the text's own last one is
-    taken off.
+    Of equal names the meeting imported first keeps its own.
     """
-    text = F.regexp_replace("text", r"\n\z", "")
-    (
-        documents(blocks)
-        .select(F.lit(fmt).alias("format"), "meeting_id", "part", text.alias("value"))
-        .write.partitionBy("format", "meeting_id", "part")
-        .mode("append")
-        .text(path)
+    names = F.broadcast(languages(meetings.sparkSession)).select(
+        F.col("language").alias("target"), F.col("display_name").alias("_name")
+    )
+    named = meetings.join(names, "target", "left") if translated else meetings.withColumn(
+        "_name", F.lit(None).cast("string")
+    )
+    stem = output_name(tx.sanitize_name(F.col("title")), extension, F.col("_name"))
+    stems = named.select(
+        F.col("meeting_id").alias("item_id"),
+        F.lit("").alias("folder"),
+        F.regexp_replace(stem, r"\.[^.]*\z", "").alias("name"),
+        "imported_at",
     )
+    day = F.to_date("imported_at")
+    given = unique_names(stems, [F.col("imported_at"), F.col("item_id")], F.unix_date(day))
+    return given.select(
+        F.col("item_id").alias("meeting_id"),
+        F.concat("unique_name", F.lit(f".{extension}")).alias("file_name"),
+    )
+
+
+def write_documents(blocks: DataFrame, names: DataFrame, path: str) -> DataFrame:
+    """Writes each document as one file of its name under ``path``, a folder all executors share.
+
+    ``names(meeting_id, file_name)``. A task writes beside the file and moves it
+    when it is whole, so a repeated task leaves the same. Returns what was
+    written: ``(meeting_id, file_name, bytes)``.
+    """
+
+    def write(batches):
+        files, folder = fs.FileSystem.from_uri(path)
+        files.create_dir(folder, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, text in zip(batch["file_name"].to_pylist(), batch["text"].to_pylist()):
+                raw = text.encode()
+                beside = f"{folder}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(beside) as out:
+                    out.write(raw)
+                files.move(beside, f"{folder}/{name}")
+                sizes.append(len(raw))
+            yield pa.RecordBatch.from_arrays(
+                [batch["meeting_id"], batch["file_name"], pa.array(sizes, pa.int64())],
+                ["meeting_id", "file_name", "bytes"],
+            )
+
+    named = documents(blocks).join(names, "meeting_id").select("meeting_id", "file_name", "text")
+    written = named.mapInArrow(write, "meeting_id string, file_name string, bytes long")
+    return settle(written, "written")

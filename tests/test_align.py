@@ -160,6 +160,12 @@ def test_meter_needs_only_its_neighbourhood(spark):
         assert abs(r.meter - level) < 1e-9
 
 
+def test_meter_never_forgets(spark):
+    df = spark.createDataFrame([("m", i, float(i == 3)) for i in range(400)], "k string, i long, v double")
+    for r in sides.meter_decay(df, ["k"], "i", "v", chunk=50).where("i >= 3").collect():
+        assert abs(r.meter / 0.6 ** (r.i - 3) - 1) < 1e-9
+
+
 def test_bleed_of_a_planted_echo(spark):
     rng = random.Random(10)
     speech = [1e-2 * rng.random() ** 3 for _ in range(150)]

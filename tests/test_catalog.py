@@ -1,6 +1,5 @@
 """Catalog queries against their SQL on the smallest folder."""
 
-import os
 from pathlib import Path
 
 import pytest
@@ -9,13 +8,7 @@ from colloquy.catalog import ORACLES, QUERIES
 from oracle import compare, connect
 
 FOLDER = "/root/testdata/sf0.001"
-CHOSEN = [
-    "align_words", "turns", "align_two_sided", "speaker_roster", "suggest_profile", "bleed_coupling",
-    "cut_points", "replace_all", "edit_text", "redistribute_translation", "render_srt",
-    "sink_json_export", "import_span_json", "unique_output_names", "model_routing",
-    "stream_peak_meter", "stream_meter_decay",
-]
-KEYS = sorted(ORACLES) if os.environ.get("ORACLE_KEYS") == "all" else CHOSEN
+KEYS = sorted(ORACLES)
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).is_dir(), reason="driver tables are not here")
 

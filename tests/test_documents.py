@@ -61,18 +61,57 @@ def test_redistribution_keeps_text_and_times(spark):
 
 
 def test_parts_add_up_to_the_document(spark):
-    rows = [("m", i, f"line {i}\n") for i in range(25)]
+    rows = [("m", i, f"line {i}\n") for i in range(25)] + [("n", 0, "short")]
     df = spark.createDataFrame(rows, "meeting_id string, block long, text string")
-    parts = render.documents(df, part_blocks=4).orderBy("part").collect()
-    assert len(parts) == 7
-    assert "".join(p.text for p in parts) == "".join(r[2] for r in rows)
+    found = dict(render.documents(df, part_blocks=4).collect())
+    assert found == {"m": "".join(r[2] for r in rows[:25]), "n": "short"}
 
 
 def test_written_documents(spark, tmp_path):
-    df = spark.createDataFrame([("m", 0, "WEBVTT\n"), ("m", 1, "\n1\nhej\n")], "meeting_id string, block long, text string")
-    docs.write_documents(df, "vtt", str(tmp_path / "out"))
-    (path,) = (tmp_path / "out").rglob("*.txt")
-    assert path.read_text() == "WEBVTT\n\n1\nhej\n"
+    rows = [("m", 0, "WEBVTT\n"), ("m", 1, "\n1\nhej\n"), ("n", 0, "other")]
+    df = spark.createDataFrame(rows, "meeting_id string, block long, text string")
+    facts = [("m", "A/B", "swedish", "2024-01-02"), ("n", "a/b", "swedish", "2024-01-01"), ("o", "x", None, "2024-01-01")]
+    meetings = spark.createDataFrame(facts, "meeting_id string, title string, target string, day string").selectExpr(
+        "*", "cast(day as timestamp) as imported_at"
+    )
+    path = tmp_path / "out"
+    names = docs.document_names(meetings, "vtt", True)
+    written = docs.write_documents(df, names, f"file://{path}").collect()
+    assert {p.name: p.read_text() for p in path.iterdir()} == {
+        "a-b (Swedish).vtt": "other", "A-B (Swedish) 2.vtt": "WEBVTT\n\n1\nhej\n"
+    }
+    assert sorted(r["bytes"] for r in written) == [5, 14]
+
+
+def test_merges_one_after_the_other(spark):
+    people = [("a", [1.0, 0.0], 1, None), ("b", [0.0, 1.0], 1, None), ("c", [0.0, 1.0], 1, "n"), ("d", [], 1, None), ("e", [2.0], 3, None)]
+    profiles = spark.createDataFrame(people, "profile_id string, embedding array<double>, sample_count long, note string")
+
+    def merged(*pairs):
+        rows = [(k, s, t) for k, (s, t) in enumerate(pairs)]
+        merges = spark.createDataFrame(rows, "seq long, source_id string, target_id string")
+        return {r["profile_id"]: r for r in speakers.merge_profiles(profiles, merges).collect()}
+
+    def by_hand(*pairs):
+        state = {p: [list(v), n, note] for p, v, n, note in people}
+        for s, t in pairs:
+            if s != t and s in state and t in state:
+                v, _, note = state.pop(s)
+                mean, n, own = state[t]
+                if v and len(v) == len(mean):
+                    state[t][:2] = [(m * n + x) / (n + 1) for m, x in zip(mean, v)], n + 1
+                elif not mean:
+                    state[t][0] = v
+                state[t][2] = note if own is None else own
+        return state
+
+    for pairs in [
+        [("a", "b"), ("b", "c")], [("b", "c"), ("a", "b")], [("a", "b"), ("b", "c"), ("a", "d"), ("c", "d"), ("e", "d")],
+        [("c", "a"), ("c", "b"), ("b", "a"), ("e", "a"), ("x", "a"), ("a", "a")], [("a", "b"), ("b", "a"), ("c", "a")],
+    ]:
+        got, want = merged(*pairs), by_hand(*pairs)
+        assert {p: [r["embedding"], r["sample_count"], r["note"]] for p, r in got.items()} == want
+        assert all((r["updated_at"] is not None) == any(t == p and s in "abcde" and s != t for s, t in pairs) for p, r in got.items()) or len(pairs) > 2
 
 
 def test_span_file_is_repaired(spark, tmp_path):
