@@ -13,6 +13,10 @@ from colloquy.session import new_path
 from colloquy.streaming import live, runs
 
 
+#: Ticks that may be missing in a stream whose files hold them in any order.
+ANY_ORDER = 1 << 40
+
+
 def stream(t, table: str):
     schema = t.read(table).schema
     rows = (
@@ -78,11 +82,9 @@ def _(t):
     CHANNELS,
 )
 def _(t):
-    # Frame clocks instead of arrival times: both sides of a frame share a window.
-    framed = channel_events(t).withColumn(
-        "ts", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("frame"))
-    )
-    padded = live.align_sides_padded(framed, "1 minute", "60 days")
+    # Frames of a second stand for those of 20 milliseconds.
+    framed = channel_events(t).withColumn("started", F.timestamp_seconds(F.lit(1_704_067_200)))
+    padded = live.align_sides_padded(framed, 1.0, "1 minute", "60 days")
     rows = runs.run_to_table(padded, "update", "padded-sides")
     return rows.groupBy("recording_id", "frame").agg(
         F.max_by("microphone", "batch").alias("microphone"), F.max_by("system", "batch").alias("system")
@@ -142,8 +144,8 @@ def _(t):
         F.col("idx").alias("tick"),
         F.col("value").alias("peak"),
     )
-    # One file: a recording's ticks arrive in order.
-    meter = live.meter_decay(as_stream(t, ticks, "ticks", 1))
+    # Three files, each with ticks from everywhere: most come before their turn.
+    meter = live.meter_decay(as_stream(t, ticks, "ticks"), late=ANY_ORDER)
     return runs.run_to_table(meter, "append", "meter").select(
         "recording_id", "tick", F.round("meter", DIGITS).alias("meter")
     )
@@ -155,7 +157,7 @@ def _(t):
         F.max(F.when(F.col("side") == MICROPHONE, F.col("energy"))).alias("microphone"),
         F.max(F.when(F.col("side") == SYSTEM_AUDIO, F.col("energy"))).alias("system"),
     )
-    found = live.bleed_watch(as_stream(t, wide, "frame-ticks", 1), size=40)
+    found = live.bleed_watch(as_stream(t, wide, "frame-ticks"), size=40, late=ANY_ORDER)
     return runs.run_to_table(found, "append", "bleed").drop("batch")
 
 
@@ -177,7 +179,7 @@ def _(t):
         "ts",
         F.when(F.col("user_id") % 2 == 1, F.col("value")).otherwise(0.0).alias("system"),
     )
-    alarm = live.silence_alarm(ticks, 3 * 86_400.0)
+    alarm = live.silence_alarm(ticks, 3 * 86_400.0, forget=40 * 86_400.0)
     return runs.run_to_table(alarm, "append", "alarms").drop("batch")
 
 

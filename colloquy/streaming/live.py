@@ -38,7 +38,11 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 # that ends a live turn.
 METER_PERIOD = "80 milliseconds"
 BLEED_TICKS = 150
+#: Ticks that a stream waits for one that is missing.
+LATE_TICKS = 150
 ALARM_SECONDS = 4.0
+#: Seconds without a row after which a recording is over.
+FORGET_SECONDS = 86_400.0
 SESSION_GAP = "1500 milliseconds"
 
 
@@ -62,12 +66,18 @@ def align_sides(
     return mic.join(sys, same & close).select("recording_id", "frame", "microphone", "system")
 
 
-def align_sides_padded(samples: DataFrame, period: str, delay: str = "10 seconds") -> DataFrame:
-    """Frames with both channels, a silent one as zero; ``(recording_id, side, frame, ts, value)``.
+def align_sides_padded(
+    samples: DataFrame, frame_seconds: float, period: str, delay: str = "10 seconds"
+) -> DataFrame:
+    """Frames with both channels, a silent one as zero; ``(recording_id, side, frame, started, value)``.
 
     One aggregation state per frame instead of a join: a side that never comes
-    leaves its zero, and the watermark closes the frame.
+    leaves its zero, and the watermark closes the frame. Event time is when a
+    frame was recorded, from the recording's start and the frame's number, so
+    its sides share a window however far apart they arrive.
     """
+    micros = F.unix_micros("started") + F.round(F.col("frame") * (frame_seconds * 1e6)).cast("long")
+    samples = samples.withColumn("ts", F.timestamp_micros(micros))
     value = lambda side: F.coalesce(
         F.max(F.when(F.col("side") == side, F.col("value"))), F.lit(0.0)
     )
@@ -110,12 +120,52 @@ def _in_order(batches: Iterator[pd.DataFrame], by: str) -> pd.DataFrame:
     return pd.concat(list(batches)).sort_values(by)
 
 
+class _Ticks:
+    """The ticks of one key in order across batches, also where files come in another.
+
+    A tick is due when all before it have come, or when one more than ``late``
+    ticks after it has; later ones wait in the state. What comes after its
+    place has passed is dropped.
+    """
+
+    def __init__(self, handle: StatefulProcessorHandle, columns: list[str], late: int):
+        self.columns, self.late = columns, late
+        fields = [T.StructField("tick", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in columns]
+        self.waiting = handle.getListState("waiting", T.StructType(fields))
+        self.next = handle.getValueState("next", T.StructType([T.StructField("tick", T.LongType())]))
+
+    def due(self, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+        names = ["tick", *self.columns]
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=names)
+        new = pd.concat([b[names] for b in batches])
+        rows = (pd.concat([held, new]) if len(held) else new).sort_values("tick", kind="stable")
+        after = self.next.get()[0] if self.next.exists() else 0
+        rows = rows[rows["tick"] >= after].drop_duplicates("tick")
+        tick = rows["tick"].to_numpy(dtype=np.int64)
+        if not len(tick):
+            return rows
+        n = int(np.searchsorted(tick, tick[-1] - self.late))
+        after = int(tick[n - 1]) + 1 if n else after
+        rest = tick[n:]
+        n += int(np.argmin(np.r_[rest == after + np.arange(len(rest)), False]))
+        self.next.update((int(tick[n - 1]) + 1 if n else after,))
+        if n < len(rows):
+            self.waiting.put([(int(r[0]), *map(float, r[1:])) for r in rows[n:].itertuples(index=False)])
+        else:
+            self.waiting.clear()
+        return rows[:n]
+
+
 class _MeterDecay(StatefulProcessor):
+    def __init__(self, late: int):
+        self.late = late
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.level = handle.getValueState("level", T.StructType([T.StructField("v", T.DoubleType())]))
+        self.ticks = _Ticks(handle, ["peak"], self.late)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ticks = _in_order(rows, "tick")
+        ticks = self.ticks.due(rows)
         level = self.level.get()[0] if self.level.exists() else 0.0
         meters = []
         for peak in ticks["peak"]:
@@ -128,10 +178,10 @@ class _MeterDecay(StatefulProcessor):
         pass
 
 
-def meter_decay(ticks: DataFrame) -> DataFrame:
-    """A falling meter per recording; ``(recording_id, tick, peak)``."""
+def meter_decay(ticks: DataFrame, late: int = LATE_TICKS) -> DataFrame:
+    """A falling meter per recording; ``(recording_id, tick, peak)``, ticks numbered from 0."""
     return ticks.groupBy("recording_id").transformWithStateInPandas(
-        statefulProcessor=_MeterDecay(),
+        statefulProcessor=_MeterDecay(late),
         outputStructType="recording_id string, tick long, meter double",
         outputMode="append",
         timeMode="none",
@@ -160,10 +210,11 @@ def window_is_coupled(microphone: np.ndarray, system: np.ndarray) -> bool:
 
 
 class _BleedWatch(StatefulProcessor):
-    def __init__(self, size: int):
-        self.size = size
+    def __init__(self, size: int, late: int):
+        self.size, self.late = size, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.ticks = _Ticks(handle, ["microphone", "system"], self.late)
         pair = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])
         self.recent = handle.getListState("recent", pair)
         self.found = handle.getValueState("found", T.StructType([T.StructField("b", T.BooleanType())]))
@@ -171,28 +222,28 @@ class _BleedWatch(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         if self.found.exists():
             return
-        ticks = _in_order(rows, "tick")
-        recent = list(self.recent.get()) if self.recent.exists() else []
-        for tick, mic, sys in ticks[["tick", "microphone", "system"]].itertuples(index=False):
-            recent = [*recent, (float(mic), float(sys))][-self.size :]
-            if len(recent) < self.size:
-                continue
-            window = np.array(recent, dtype=float)
-            if window_is_coupled(window[:, 0], window[:, 1]):
+        ticks = self.ticks.due(rows)
+        before = np.array(list(self.recent.get()) if self.recent.exists() else [], dtype=float).reshape(-1, 2)
+        levels = np.r_[before, ticks[["microphone", "system"]].to_numpy(dtype=float)]
+        for k, tick in enumerate(ticks["tick"].to_numpy(dtype=np.int64), len(before) + 1):
+            window = levels[max(0, k - self.size) : k]
+            if len(window) == self.size and window_is_coupled(window[:, 0], window[:, 1]):
                 self.found.update((True,))
                 self.recent.clear()
+                self.ticks.waiting.clear()
                 yield pd.DataFrame({"recording_id": [key[0]], "tick": [int(tick)]})
                 return
-        self.recent.put([tuple(r) for r in recent])
+        if len(levels):
+            self.recent.put([tuple(map(float, r)) for r in levels[-self.size :]])
 
     def close(self) -> None:
         pass
 
 
-def bleed_watch(ticks: DataFrame, size: int = BLEED_TICKS) -> DataFrame:
+def bleed_watch(ticks: DataFrame, size: int = BLEED_TICKS, late: int = LATE_TICKS) -> DataFrame:
     """Once per recording: the tick at which one channel was first heard in the other."""
     return ticks.groupBy("recording_id").transformWithStateInPandas(
-        statefulProcessor=_BleedWatch(size),
+        statefulProcessor=_BleedWatch(size, late),
         outputStructType="recording_id string, tick long",
         outputMode="append",
         timeMode="none",
@@ -200,49 +251,65 @@ def bleed_watch(ticks: DataFrame, size: int = BLEED_TICKS) -> DataFrame:
 
 
 class _SilenceAlarm(StatefulProcessor):
-    def __init__(self, seconds: float):
-        self.microseconds = round(seconds * 1_000_000)
+    def __init__(self, seconds: float, forget: float):
+        self.span, self.forget = round(seconds * 1_000_000), round(forget * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        seen = T.StructType([T.StructField("start", T.LongType()), T.StructField("loud", T.BooleanType())])
-        self.state = handle.getValueState("state", seen)
+        seen = [(n, T.LongType()) for n in ("start", "loud", "last")] + [("done", T.BooleanType())]
+        self.state = handle.getValueState("state", T.StructType([T.StructField(n, t) for n, t in seen]))
+
+    def _wake(self, at: int) -> None:
+        self.handle.registerTimer(math.ceil(at / 1000))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
         ticks = _in_order(rows, "ts")
         at = ticks["ts"].to_numpy().astype("datetime64[us]").astype("int64")
+        heard = at[ticks["system"].to_numpy() > 0]
+        first = int(heard[0]) if len(heard) else None
         if self.state.exists():
-            start, loud = self.state.get()
+            start, loud, last, done = self.state.get()
         else:
-            start, loud = int(at[0]), False
-            self.handle.registerTimer(math.ceil((start + self.microseconds) / 1000))
-        heard = (ticks["system"].to_numpy() > 0) & (at <= start + self.microseconds)
-        self.state.update((start, bool(loud or heard.any())))
+            start, loud, last, done = int(at[0]), None, int(at[-1]), False
+            self._wake(start + self.span)
+        if not done and int(at[0]) < start:  # an earlier row came later
+            self.handle.deleteTimer(math.ceil((start + self.span) / 1000))
+            start = int(at[0])
+            self._wake(start + self.span)
+        loud = min((x for x in (loud, first) if x is not None), default=None)
+        self.state.update((start, loud, max(last, int(at[-1])), done))
         yield pd.DataFrame({"recording_id": [], "alarm_at": []}).astype(
             {"recording_id": "string", "alarm_at": "int64"}
         )
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        start, loud = self.state.get()
-        if not loud:
-            yield pd.DataFrame({"recording_id": [key[0]], "alarm_at": [start + self.microseconds]})
+        start, loud, last, done = self.state.get()
+        now = expiredTimerInfo.getExpiryTimeInMs() * 1000
+        if done and now >= last + self.forget:
+            self.state.clear()
+        else:
+            self.state.update((start, loud, last, True))
+            self._wake(max(last, now) + self.forget)
+        if not done and (loud is None or loud > start + self.span):
+            yield pd.DataFrame({"recording_id": [key[0]], "alarm_at": [start + self.span]})
 
     def close(self) -> None:
         pass
 
 
 def silence_alarm(
-    ticks: DataFrame, seconds: float = ALARM_SECONDS, delay: str = "1 second"
+    ticks: DataFrame, seconds: float = ALARM_SECONDS, delay: str = "1 second", forget: float = FORGET_SECONDS
 ) -> DataFrame:
     """Recordings whose system channel stayed silent for their first seconds.
 
-    ``(recording_id, ts, system)``; the alarm time is in epoch microseconds.
+    ``(recording_id, ts, system)``; the alarm time is in epoch microseconds. A
+    recording's state goes ``forget`` seconds after its last row.
     """
     return (
         ticks.withWatermark("ts", delay)
         .groupBy("recording_id")
         .transformWithStateInPandas(
-            statefulProcessor=_SilenceAlarm(seconds),
+            statefulProcessor=_SilenceAlarm(seconds, forget),
             outputStructType="recording_id string, alarm_at long",
             outputMode="append",
             timeMode="EventTime",

@@ -37,3 +37,36 @@ def test_bleed_is_reported_once_over_several_batches(spark, tmp_path):
     stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
     got = runs.run_to_table(live.bleed_watch(stream, size=40), "append", "bleed-test").collect()
     assert [(r.recording_id, r.tick) for r in got] == [("echo", 39)]
+
+
+def test_meter_is_the_same_in_any_order_of_files(spark, tmp_path):
+    rng = random.Random(4)
+    ticks = [("a", i, rng.random() if i % 9 == 0 else 0.0) for i in range(120)]
+    order = list(range(4))
+    rng.shuffle(order)
+    df = spark.createDataFrame(ticks, "recording_id string, tick long, peak double")
+    path = str(tmp_path / "ticks")
+    for k in order:
+        df.where(F.col("tick") % 4 == k).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = runs.run_to_table(live.meter_decay(stream), "append", "meter-test").orderBy("tick").collect()
+    level, want = 0.0, []
+    for _, i, peak in ticks:
+        level = max(peak, 0.6 * level)
+        want.append((i, level))
+    assert [(r.tick, r.meter) for r in got] == want
+
+
+def test_a_frame_has_one_row_however_late_its_other_side(spark, tmp_path):
+    rows = [("a", "microphone", 1, "2024-01-01 00:00:00", 0.5), ("a", "systemAudio", 1, "2024-01-01 00:00:00", 0.25)]
+    df = spark.createDataFrame(rows, "recording_id string, side string, frame long, at string, value double").selectExpr(
+        "recording_id", "side", "frame", "cast(at as timestamp) as started", "value"
+    )
+    path = str(tmp_path / "sides")
+    for side in ("microphone", "systemAudio"):
+        df.where(F.col("side") == side).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    padded = live.align_sides_padded(stream, 0.02, "1 minute", "1 hour")
+    rows = runs.run_to_table(padded, "update", "padded-test")
+    last = rows.groupBy("recording_id", "frame").agg(F.max("microphone"), F.max("system")).collect()
+    assert [tuple(r) for r in last] == [("a", 1, 0.5, 0.25)]
