@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -15,9 +17,17 @@ from colloquy.session import settle
 # Fixed value: largest cosine distance at which a person is suggested.
 SUGGESTION_DISTANCE = 0.45
 
-#: Profiles compared per row of the suggestion join; with 256-wide vectors a
-#: block stays near 0.5 MB, so one block may always be broadcast.
+#: Profiles compared per row of the suggestion join, about: with 256-wide vectors
+#: a block is near 0.5 MB. Each block is there once for each salt of the voices.
 PROFILE_BLOCK = 512
+PROFILE_SALTS = 32
+
+
+def _mean(vector: Column, weight: Column) -> Column:
+    """Weighted mean of equally wide vectors, as an aggregate."""
+    return vector_to_array(
+        Summarizer.mean(array_to_vector(vector.cast("array<double>")), weight.cast("double"))
+    )
 
 
 def weighted_centroid(
@@ -26,30 +36,16 @@ def weighted_centroid(
     """Weighted mean vector per key; unusable rows and odd widths are left out.
 
     Unusable is an empty vector or a weight of zero or less. The width is that
-    of the first usable row. Sums per position are combined map-side, so a key
-    with many rows shuffles one partial vector per task.
+    of the first usable row. A key with many rows shuffles one partial vector per
+    task.
     """
     usable = rows.where((F.size(vector) > 0) & (F.col(weight) > 0))
     width = usable.groupBy(*keys).agg(F.min_by(F.size(vector), F.col(order)).alias("_width"))
     parts = (
         usable.join(width, list(keys))
         .where(F.size(vector) == F.col("_width"))
-        .select(*keys, F.col(weight).alias("_w"), F.posexplode(vector).alias("_pos", "_x"))
-        .groupBy(*keys, "_pos")
-        .agg(
-            (F.sum(F.col("_x").cast("double") * F.col("_w")) / F.sum("_w")).alias("_mean")
-        )
-    )
-    return collect_vector(parts, keys, "embedding")
-
-
-def collect_vector(parts: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Rows of ``(_pos, _mean)`` gathered into one array per key (bounded by its width)."""
-    return parts.groupBy(*keys).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("_pos", "_mean"))), lambda p: p["_mean"]
-        ).alias(name)
     )
+    return parts.groupBy(*keys).agg(_mean(F.col(vector), F.col(weight)).alias("embedding"))
 
 
 def heard_clusters(segments: DataFrame, turns: DataFrame) -> DataFrame:
@@ -244,23 +240,18 @@ def _reinforced(profiles: DataFrame, absorbed: DataFrame, at: Column) -> DataFra
         (F.size("vector") == F.col("_width")) & (F.size("vector") > 0)
         & (F.col("_taken").isNull() | (F.col("seq") != F.col("_taken")))
     )
-    sums = collect_vector(
-        fitting.select("profile_id", F.posexplode("vector").alias("_pos", "_x"))
-        .groupBy("profile_id", "_pos")
-        .agg(F.sum(F.col("_x").cast("double")).alias("_mean")),
-        ["profile_id"],
-        "_sum",
+    sums = fitting.groupBy("profile_id").agg(
+        _mean(F.col("vector"), F.lit(1.0)).alias("_mean"), F.count("*").alias("_k")
     )
-    counts = fitting.groupBy("profile_id").agg(F.count("*").alias("_k"))
     n, k = F.col("sample_count"), F.col("_k")
-    mean = F.zip_with("embedding", "_sum", lambda x, s: (x * n + s) / (n + k))
+    mean = F.zip_with("embedding", "_mean", lambda x, m: (x * n + m * k) / (n + k))
     return (
-        filled.join(sums.join(counts, "profile_id"), "profile_id", "left")
+        filled.join(sums, "profile_id", "left")
         .join(heard, "profile_id", "left")
         .withColumn("embedding", F.when(k.isNotNull(), mean).otherwise(F.col("embedding")))
         .withColumn("sample_count", n + F.coalesce(k, F.lit(0)))
         .withColumn("updated_at", F.when(F.col("_heard"), at).otherwise(F.col("updated_at")))
-        .drop("_sum", "_k", "_taken", "_heard")
+        .drop("_mean", "_k", "_taken", "_heard")
     )
 
 
@@ -389,12 +380,13 @@ def suggest_profile(
 ) -> DataFrame:
     """The nearest enrolled person of each voice within ``limit``, first enrolled on ties.
 
-    Profiles are packed into blocks of a fixed size. One block has a proven size
-    and is broadcast; with more, every voice meets each block once by an
-    equi-join on the block number and a salt, and the best of all blocks wins.
+    Profiles are packed into blocks of about PROFILE_BLOCK. Every voice meets each
+    block once by an equi-join on the block number and a salt, and the best of
+    all blocks wins.
     """
-    n_profiles = profiles.count()
-    blocks = max(1, -(-n_profiles // PROFILE_BLOCK))
+    # One row; the plan is the same for any number of people.
+    size = profiles.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PROFILE_BLOCK)).cast("int").alias("_blocks"))
+    size = F.broadcast(size)
     entry = F.struct(
         F.col("profile_pos").alias("pos"),
         "profile_id",
@@ -402,19 +394,18 @@ def suggest_profile(
         F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
         vec.norm(F.col("embedding")).alias("norm"),
     )
-    # A block meets every voice, so beyond one block both sides are salted.
-    salts = 1 if blocks == 1 else 32
     packed = (
-        profiles.withColumn("_block", F.pmod(F.xxhash64("profile_id"), F.lit(blocks)).cast("int"))
+        profiles.crossJoin(size)
+        .withColumn("_block", F.pmod(F.xxhash64("profile_id"), F.col("_blocks")).cast("int"))
         .groupBy("_block")
         .agg(F.collect_list(entry).alias("_people"))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PROFILE_SALTS - 1))))
     )
-    faced = speakers.withColumn(
-        "_salt", F.pmod(F.xxhash64("meeting_id", "speaker_id"), F.lit(salts)).cast("int")
-    ).withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    faced = faced.join(
-        F.broadcast(packed) if blocks == 1 else packed, ["_block", "_salt"], "left"
+    faced = (
+        speakers.crossJoin(size)
+        .withColumn("_salt", F.pmod(F.xxhash64("meeting_id", "speaker_id"), F.lit(PROFILE_SALTS)).cast("int"))
+        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
+        .join(packed, ["_block", "_salt"], "left")
     )
     own = vec.norm(F.col("embedding"))
     voice = F.col("embedding")
@@ -438,8 +429,7 @@ def suggest_profile(
         .withColumn("_best", F.array_min(F.transform("_people", measured)))
         .select("meeting_id", "speaker_id", "_best")
     )
-    if blocks > 1:
-        nearest = nearest.groupBy("meeting_id", "speaker_id").agg(F.min("_best").alias("_best"))
+    nearest = nearest.groupBy("meeting_id", "speaker_id").agg(F.min("_best").alias("_best"))
     near = F.col("_best.distance") <= limit
     return nearest.select(
         "meeting_id",
