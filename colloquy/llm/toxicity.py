@@ -1,6 +1,6 @@
 """Toxicity by class-conditional Kneser-Ney models of words.
 
-A word is a pair: its head (the first five characters) and the whole of it.
+A word is a pair: its head (the first four characters) and the whole of it.
 For each class c, with counts n_c,
 
     P_c(word | head) = (1 - L(head)) n_c(word) / n_c(head) + L(head) P(word | head)
@@ -34,7 +34,7 @@ from colloquy.llm.hashing import RangeHashes
 from colloquy.session import settle
 
 DISCOUNT = 0.75
-HEAD = 5
+HEAD = 4
 WINDOW = 3
 FOLDS = 5
 #: The fold that the calibration learns from; the model it is learnt with has not seen it.
