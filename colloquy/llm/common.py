@@ -34,13 +34,18 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
 
 
-def broadcast_if_small(df: DataFrame) -> DataFrame:
-    """Marks a written table for broadcasting where its measured size allows; else a join shuffles.
+def is_small(df: DataFrame) -> bool:
+    """Whether the measured size of a written table allows to broadcast it.
 
     The size of its files says too much where many tasks wrote few rows each.
     """
     size = df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
-    return F.broadcast(df) if (size or 0) <= BROADCAST_BYTES else df
+    return (size or 0) <= BROADCAST_BYTES
+
+
+def broadcast_if_small(df: DataFrame) -> DataFrame:
+    """Marks a written table for broadcasting where its size allows; else a join shuffles."""
+    return F.broadcast(df) if is_small(df) else df
 
 
 class IdFilter:

@@ -3,8 +3,10 @@
 A window is a run of an item's words, and a document holds it only where it
 holds all its words in order. So one necessary word is enough to find it: the
 rarest, by how often the documents have it. Documents give their word
-positions once; those on a necessary word meet the windows, which fit where
-their place in the document leaves room, and are verified there.
+positions once; those on a necessary word are tried at the places and lengths
+it has in windows, where their own place leaves room. So a word gives at most
+as many candidates as a window has places, however many windows need it. Each
+candidate is then joined to the windows that are equal to it.
 """
 
 from __future__ import annotations
@@ -12,14 +14,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import ascii_lower, broadcast_if_small, prepare
+from colloquy.llm.common import ascii_lower, broadcast_if_small, is_small, prepare
 from colloquy.session import settle
 
 WINDOW = 10
 #: What separates words: everything in ASCII that is not a letter or a digit.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: No word is empty, so this marks a document's own row.
-END = ""
+#: No word begins like this, so it marks a document's own row; the marks are salted.
+END, MARKS = "\x00", 64
 
 
 def words(text: Column) -> Column:
@@ -43,13 +45,11 @@ def windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
 def necessary_words(found: DataFrame, docs: DataFrame) -> DataFrame:
     """Each window's rarest word among all words of the documents, with its place in it."""
     each = found.select("window", "item_ids", F.posexplode("window").alias("place", "word"))
-    vocabulary = broadcast_if_small(settle(each.select("word").distinct(), "vocabulary"))
-    counted = (
-        docs.select(F.explode(words(F.col("text"))).alias("word"))
-        .join(vocabulary, "word")
-        .groupBy("word")
-        .agg(F.count("*").alias("n"))
-    )
+    vocabulary = settle(each.select("word").distinct(), "vocabulary")
+    told = docs.select(F.explode(words(F.col("text"))).alias("word"))
+    if is_small(vocabulary):
+        told = told.join(F.broadcast(vocabulary), "word")
+    counted = told.groupBy("word").agg(F.count("*").alias("n"))
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r")
     return (
         each.join(counted, "word", "left")
@@ -72,30 +72,40 @@ def find_leaks(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataF
     spark = prepare(docs.sparkSession)
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     prefix = settle(necessary_words(settle(windows(items, window), "windows"), own), "prefixes")
-    mark = spark.range(1).select(
-        F.lit(END).alias("word"),
-        F.lit(0).alias("place"),
-        F.lit(None).cast("array<string>").alias("window"),
-        F.lit(None).cast("array<bigint>").alias("item_ids"),
-    )
-    place, long = F.col("pos") - F.col("place"), F.size("window")
-    rows = (
+    tries = F.collect_set(F.struct("place", F.size("window").alias("long")))
+    probes = settle(prefix.groupBy("word").agg(tries.alias("tries")), "probes")
+    marks = spark.range(MARKS).select(F.concat(F.lit(END), F.col("id").cast("string")).alias("word"))
+    mark = F.concat(F.lit(END), F.pmod("row", F.lit(MARKS)).cast("string"))
+    pos, at = F.col("pos"), F.col("at")
+    if is_small(probes):
+        around, inner = F.col("w"), pos
+        probes = F.broadcast(probes.unionByName(marks, allowMissingColumns=True))
+    else:  # what is shuffled for a position is the words that a window around it can have
+        around = F.slice("w", F.greatest(pos - window + 1, F.lit(0)) + 1, 2 * window - 1)
+        inner = F.least(pos, F.lit(window - 1))
+        probes = probes.unionByName(marks, allowMissingColumns=True)
+    start = F.col("inner") - at["place"]
+    tried = (
         own.select("doc_id", F.monotonically_increasing_id().alias("row"), words(F.col("text")).alias("w"))
-        .select("doc_id", "row", "w", F.posexplode(F.array_append("w", END)).alias("pos", "word"))
-        .join(broadcast_if_small(prefix.unionByName(mark)), "word")
-        .filter(
-            F.col("window").isNull()
-            | ((place >= 0) & (place + long < F.size("w") + 1) & (F.slice("w", F.greatest(place, F.lit(0)) + 1, long) == F.col("window")))
-        )
+        .select("doc_id", "row", "w", F.posexplode(F.array_append("w", mark)).alias("pos", "word"))
+        .select("doc_id", "row", "pos", "word", around.alias("around"), inner.alias("inner"))
+        .join(probes, "word")
+        .select("doc_id", "row", "pos", "around", "inner", F.explode_outer("tries").alias("at"))
+        .filter(at.isNull() | ((start >= 0) & (start + at["long"] <= F.size("around"))))
         .select(
             "doc_id",
             "row",
-            F.when(F.col("window").isNull(), F.col("pos")).alias("n_words"),
-            F.when(F.col("window").isNotNull(), place).alias("start"),
-            F.when(F.col("window").isNotNull(), place + long).alias("end"),
-            "item_ids",
+            F.when(at.isNull(), pos).alias("n_words"),
+            (pos - at["place"]).alias("start"),
+            (pos - at["place"] + at["long"]).alias("end"),
+            F.when(at.isNotNull(), F.slice("around", start + 1, at["long"])).alias("found"),
         )
+        .withColumn("key", F.when(F.col("found").isNull(), F.xxhash64("row")).otherwise(F.xxhash64("found")))
     )
+    known = broadcast_if_small(prefix).select(F.xxhash64("window").alias("window_key"), "window", "item_ids")
+    rows = tried.join(
+        known, (F.col("key") == F.col("window_key")) & (F.col("found") == F.col("window")), "left"
+    ).filter(F.col("found").isNull() | F.col("item_ids").isNotNull())
     # All rows of a window partition are of one document.
     before = Window.partitionBy("row").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, -1)
     new_words = F.greatest(

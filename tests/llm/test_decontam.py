@@ -2,6 +2,9 @@ import hashlib
 import random
 import re
 
+import pytest
+
+from colloquy.llm import common
 from colloquy.llm.decontam import drop_contaminated, find_leaks
 
 from .conftest import by_id
@@ -32,7 +35,11 @@ def brute(rows, items, window=10):
     return sorted(out, key=lambda r: (r["doc_id"] is None, r["doc_id"] or 0, str(r)))
 
 
-def test_against_brute_force(spark, make_docs, odd_rows):
+@pytest.mark.parametrize("small", [True, False])
+def test_against_brute_force(spark, make_docs, odd_rows, monkeypatch, small):
+    if not small:  # all joins shuffle
+        monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     random.seed(4)
     vocabulary = [f"w{k}" for k in range(9)] + ["É", "the"]
     passages = [" ".join(random.choices(vocabulary, k=n)) for n in (1, 3, 9, 10, 11, 25, 25)]
@@ -43,7 +50,10 @@ def test_against_brute_force(spark, make_docs, odd_rows):
         text[7:7] = random.choice(passages).upper().split() if k % 2 else []
         rows.append((300 + k, ", ".join(text)))
     bench = spark.createDataFrame([(i, t, "z") for i, t in items], "item_id long, text string, word string")
-    assert by_id(find_leaks(make_docs(rows), bench)) == brute(rows, items)
+    try:
+        assert by_id(find_leaks(make_docs(rows), bench)) == brute(rows, items)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
 
 
 def test_empty_tables(spark, make_docs):
