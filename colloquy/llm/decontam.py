@@ -47,9 +47,12 @@ def necessary_words(found: DataFrame, docs: DataFrame) -> DataFrame:
     each = found.select("window", "item_ids", F.posexplode("window").alias("place", "word"))
     vocabulary = settle(each.select("word").distinct(), "vocabulary")
     told = docs.select(F.explode(words(F.col("text"))).alias("word"))
-    if is_small(vocabulary):
+    small = is_small(vocabulary)
+    if small:
         told = told.join(F.broadcast(vocabulary), "word")
     counted = told.groupBy("word").agg(F.count("*").alias("n"))
+    if small:  # it has no other words
+        counted = F.broadcast(counted)
     rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).alias("r")
     return (
         each.join(counted, "word", "left")
