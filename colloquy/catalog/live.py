@@ -151,13 +151,45 @@ def _(t):
     )
 
 
-@query("stream_bleed_watch")
+#: The recordings here are too short for the window that is the default.
+BLEED_WINDOW = 40
+
+
+@query(
+    "stream_bleed_watch",
+    """SELECT recording_id, min(tick) AS tick
+       FROM (SELECT recording_id, end_tick AS tick, list_sort(list(d)) AS d
+             FROM heard GROUP BY recording_id, end_tick, lag HAVING count(*) >= 5)
+       WHERE d[len(d) // 10 + 1] > -60
+         AND len(list_filter(d, lambda x: abs(x - d[len(d) // 10 + 1]) <= 6)) > 0.5 * len(d)
+       GROUP BY recording_id""",
+    f"""
+level AS (
+  SELECT meeting_id AS recording_id, frame AS tick,
+         row_number() OVER (PARTITION BY meeting_id ORDER BY frame) AS k,
+         10 * log10(greatest(max(energy) FILTER (side = 'microphone'), 1e-12)) AS mic,
+         10 * log10(greatest(max(energy) FILTER (side = 'systemAudio'), 1e-12)) AS sys
+  FROM frames GROUP BY meeting_id, frame
+),
+ends AS (
+  SELECT recording_id, tick AS end_tick, k AS e, max(sys) OVER (PARTITION BY recording_id ORDER BY k
+         ROWS BETWEEN {BLEED_WINDOW} - 1 PRECEDING AND CURRENT ROW) AS top
+  FROM level
+),
+heard AS (
+  SELECT w.recording_id, end_tick, lag, m.mic - s.sys AS d
+  FROM ends w, (SELECT unnest(range(11)) AS lag) l, level s, level m
+  WHERE e >= {BLEED_WINDOW} AND top > -110
+    AND s.recording_id = w.recording_id AND s.k > e - {BLEED_WINDOW} AND s.k + lag <= e AND s.sys > top - 20
+    AND m.recording_id = s.recording_id AND m.k = s.k + lag
+)""",
+)
 def _(t):
     wide = t.frames.groupBy(F.col("meeting_id").alias("recording_id"), F.col("frame").alias("tick")).agg(
         F.max(F.when(F.col("side") == MICROPHONE, F.col("energy"))).alias("microphone"),
         F.max(F.when(F.col("side") == SYSTEM_AUDIO, F.col("energy"))).alias("system"),
     )
-    found = live.bleed_watch(as_stream(t, wide, "frame-ticks"), size=40, late=ANY_ORDER)
+    found = live.bleed_watch(as_stream(t, wide, "frame-ticks"), size=BLEED_WINDOW, late=ANY_ORDER)
     return runs.run_to_table(found, "append", "bleed").drop("batch")
 
 

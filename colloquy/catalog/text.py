@@ -12,7 +12,9 @@ from colloquy.operators.edits import move_folder
 from colloquy.operators.models import known_language
 from colloquy.operators.replay import final_speakers, replay_turn_edits, speaker_fates, touched_turns
 from colloquy.operators.speakers import roster_names
+from colloquy.plans.scan import position_chunk, running
 from colloquy.schema import DEFAULT_LANGUAGE
+from colloquy.session import settle
 
 QUERY = "An"
 REPLACEMENT = "X"
@@ -602,11 +604,89 @@ def replay_log(t):
     return on_turns.unionByName(on_speakers)
 
 
-@query("replay_edit_log")
+#: One edit after another on the list of a meeting's turns.
+REPLAYED = f"""
+replay_log AS (
+  SELECT meeting_id, seq, op, turn_id, row_number() OVER (PARTITION BY meeting_id ORDER BY seq) AS nth
+  FROM (SELECT meeting_id, turn_id, turn_idx * 7919 % 101 * 1000 + turn_idx AS seq,
+               CASE (conv_id + turn_idx) % 8 WHEN 0 THEN 'split' WHEN 1 THEN 'merge_next' WHEN 2 THEN 'edit_text'
+                 WHEN 3 THEN 'remove' WHEN 4 THEN 'merge_previous' WHEN 5 THEN 'reassign' END AS op FROM turns)
+  WHERE op <> 'reassign' OR op = 'reassign'
+    AND meeting_id IN (SELECT meeting_id FROM speakers WHERE speaker_id = 'assistant')
+),
+steps AS (
+  SELECT meeting_id, CAST(0 AS BIGINT) AS nth, CAST([] AS VARCHAR[]) AS touched,
+         list({{'turn_id': turn_id, 'speaker_id': speaker_id, 'start': start, 'end': "end", 'text': text,
+               'words': w, 'is_edited': is_edited}} ORDER BY turn_idx) AS r
+  FROM turns LEFT JOIN (
+    SELECT turn_id, list({{'word': word, 'start': start, 'end': "end"}} ORDER BY pos) AS w
+    FROM timed_words GROUP BY 1) USING (turn_id)
+  GROUP BY 1
+  UNION ALL
+  SELECT meeting_id, nth,
+         CASE WHEN hit THEN list_distinct(touched || list_transform(old, lambda x: x.turn_id)) ELSE touched END,
+         CASE WHEN hit OR op = 'reassign' THEN r[1:low - 1] || CASE op
+           WHEN 'remove' THEN []
+           WHEN 'reassign' THEN [struct_update(a, speaker_id := 'assistant')]
+           WHEN 'edit_text' THEN [struct_update(a, text := edited, words := NULL, is_edited := true)]
+           WHEN 'split' THEN list_transform(
+             [{{'id': a.turn_id, 'p': a.words[1:3]}}, {{'id': a.turn_id || '/' || seq, 'p': a.words[4:len(a.words)]}}],
+             lambda h: struct_update(a, turn_id := h.id, start := h.p[1].start, "end" := h.p[len(h.p)].end,
+               text := array_to_string(list_transform(h.p, lambda w, i: CASE WHEN i = 1 OR left(w.word, 1) IN ({TIGHT})
+                 THEN w.word ELSE ' ' || w.word END), ''), words := h.p, is_edited := false))
+           ELSE [struct_update(a, start := least(a.start, b.start), "end" := greatest(a.end, b.end),
+               text := a.text || CASE WHEN left(b.text, 1) IN ({TIGHT}) THEN '' ELSE ' ' END || b.text,
+               words := CASE WHEN a.words IS NOT NULL AND b.words IS NOT NULL THEN a.words || b.words END,
+               is_edited := a.is_edited OR b.is_edited)] END || r[low + len(old):len(r)]
+         ELSE r END
+  FROM (
+    SELECT *, r[low] AS a, r[low + 1] AS b, r[low:low + CASE WHEN op LIKE 'merge%' THEN 1 ELSE 0 END] AS old,
+           'Edited ' || turn_id AS edited,
+           coalesce(low > 0, false) AND CASE op WHEN 'remove' THEN true WHEN 'reassign' THEN false
+             WHEN 'edit_text' THEN r[low].text <> 'Edited ' || turn_id
+             WHEN 'split' THEN coalesce(len(r[low].words) > 3, false)
+             ELSE low < len(r) END AS hit
+    FROM (
+      SELECT s.meeting_id, l.nth, s.touched, s.r, l.seq, l.turn_id,
+             CASE WHEN found_at > 0 OR l.op <> 'reassign' THEN l.op ELSE 'none' END AS op,
+             CASE WHEN l.op = 'merge_previous' THEN found_at - 1 ELSE found_at END AS low
+      FROM steps s JOIN replay_log l ON s.meeting_id = l.meeting_id AND l.nth = s.nth + 1,
+           LATERAL (SELECT coalesce(list_position(list_transform(s.r, lambda x: x.turn_id), l.turn_id), 0) AS found_at)))
+),
+final AS (
+  SELECT meeting_id, max_by(r, nth) AS r, max_by(touched, nth) AS touched FROM steps GROUP BY 1
+),
+absorbed AS (
+  SELECT meeting_id FROM speakers WHERE conv_id % 4 = 0 AND speaker_id IN ('user', 'assistant')
+  GROUP BY 1 HAVING count(*) = 2
+)"""
+
+
+@query(
+    "replay_edit_log",
+    """SELECT meeting_id, 'turn' AS kind, place, t.turn_id AS turn_id,
+              CASE WHEN t.speaker_id = 'user' AND meeting_id IN (FROM absorbed) THEN 'assistant'
+                   ELSE t.speaker_id END AS speaker_id,
+              t.start AS start, t."end" AS "end", t.text AS text, t.is_edited AS is_edited
+       FROM (SELECT meeting_id, unnest(r) AS t, unnest(range(1, len(r) + 1)) AS place FROM final)
+       UNION ALL
+       SELECT meeting_id, 'touched', NULL, unnest(touched), NULL, NULL, NULL, NULL, NULL FROM final""",
+    REPLAYED,
+)
 def _(t):
-    return replay_turn_edits(t.turns, t.speakers, replay_log(t)).select(
-        "meeting_id", "kind", "island", "pos", "turn_id", "speaker_id", "start", "end", "text",
-        "is_edited",
+    rows = settle(replay_turn_edits(t.turns, t.speakers, replay_log(t)), "replayed")
+    is_turn = F.col("kind") == "turn"
+    order = [F.col("island"), F.col("pos")]
+    placed = running(
+        rows,
+        ["meeting_id"],
+        position_chunk("island", 65_536),
+        order,
+        {"place": ("sum", F.when(is_turn, 1).otherwise(0).cast("long"))},
+    )
+    return placed.select(
+        "meeting_id", "kind", F.when(is_turn, F.col("place")).alias("place"), "turn_id", "speaker_id",
+        "start", "end", "text", "is_edited",
     )
 
 

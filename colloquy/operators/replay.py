@@ -110,18 +110,25 @@ def _join_words(words: list) -> str:
 
 
 def _replay_island(key, turns: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFrame:
-    rows = turns.sort_values("turn_idx").to_dict("records")
-    for row in rows:
+    rows = {r["turn_id"]: r for r in turns.sort_values("turn_idx").to_dict("records")}
+    for row in rows.values():
         row["words"] = None if row["words"] is None else list(row["words"])
+    # Neighbours by id; None stands before the first and after the last.
+    after = dict(zip([None, *rows], [*rows, None]))
+    before = {b: a for a, b in after.items()}
     dropped: set[str] = set()
 
+    def link(a: str | None, b: str | None) -> None:
+        after[a], before[b] = b, a
+
     for edit in edits.sort_values("seq").to_dict("records"):
-        at = next((i for i, r in enumerate(rows) if r["turn_id"] == edit["turn_id"]), None)
-        if at is None:
+        at, op = edit["turn_id"], edit["op"]
+        row = rows.get(at)
+        if row is None:
             continue
-        row, op = rows[at], edit["op"]
         if op == "remove":
-            dropped.add(row["turn_id"])
+            dropped.add(at)
+            link(before[at], after[at])
             del rows[at]
         elif op == "reassign":
             row["speaker_id"] = edit["arg"]
@@ -129,34 +136,30 @@ def _replay_island(key, turns: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFram
             text = (edit["arg"] or "").strip()
             if text != row["text"]:
                 row.update(text=text, words=None, is_edited=True)
-                dropped.add(row["turn_id"])
+                dropped.add(at)
         elif op == "split":
             k = int(edit["num"])
             if row["words"] is None or not 0 < k < len(row["words"]):
                 continue
-            halves = []
-            for part, name in (
-                (row["words"][:k], row["turn_id"]),
-                (row["words"][k:], f"{row['turn_id']}/{edit['seq']}"),
-            ):
-                halves.append(
-                    dict(
-                        row,
-                        turn_id=name,
-                        start=part[0]["start"],
-                        end=part[-1]["end"],
-                        text=_join_words(part),
-                        words=part,
-                        is_edited=False,
-                    )
+            half = f"{at}/{edit['seq']}"
+            for part, name in ((row["words"][:k], at), (row["words"][k:], half)):
+                rows[name] = dict(
+                    row,
+                    turn_id=name,
+                    start=part[0]["start"],
+                    end=part[-1]["end"],
+                    text=_join_words(part),
+                    words=part,
+                    is_edited=False,
                 )
-            rows[at : at + 1] = halves
-            dropped.add(row["turn_id"])
+            link(half, after[at])
+            link(at, half)
+            dropped.add(at)
         else:
-            low = at - 1 if op == "merge_previous" else at
-            if low < 0 or low + 1 >= len(rows):
+            low = before[at] if op == "merge_previous" else at
+            if low is None or after[low] is None:
                 continue
-            first, second = rows[low], rows[low + 1]
+            first, second = rows[low], rows[after[low]]
             timed = first["words"] is not None and second["words"] is not None
             words = first["words"] + second["words"] if timed else None
             if timed:
@@ -171,13 +174,18 @@ def _replay_island(key, turns: pd.DataFrame, edits: pd.DataFrame) -> pd.DataFram
                 words=words,
                 is_edited=first["is_edited"] or second["is_edited"],
             )
-            del rows[low + 1]
-            dropped |= {first["turn_id"], second["turn_id"]}
+            link(low, after[second["turn_id"]])
+            del rows[second["turn_id"]]
+            dropped |= {low, second["turn_id"]}
 
+    order, at = [], after[None]
+    while at is not None:
+        order.append(rows[at])
+        at = after[at]
     out = [
         (key[0], key[1], i, "turn", r["turn_id"], r["speaker_id"], r["start"], r["end"], r["text"],
          r["words"], r["is_edited"])
-        for i, r in enumerate(rows)
+        for i, r in enumerate(order)
     ]
     out += [
         (key[0], key[1], 0, "touched", t, None, None, None, None, None, None)
