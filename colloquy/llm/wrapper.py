@@ -5,7 +5,8 @@ skeleton, in which equal siblings are one repeated node; the most frequent
 skeleton of a host is its reference. All skeletons of the host are
 aligned with it by simple tree matching, so that every page votes, for each
 slot of the reference, which texts stand there. A text that nearly all pages
-with the slot have is constant: template. What varies is content. What an
+with the slot have is constant: template. What varies is content. Pages with
+the same text are one page and vote once. What an
 element says of itself (a menu, a footer, an advert, a comment) holds besides,
 also on hosts with too few pages to compare.
 """
@@ -29,8 +30,6 @@ from colloquy.session import settle
 CONSTANT_SHARE = 0.9
 #: ... and at least so many different pages of the host have the slot.
 LEAST_PAGES = 8
-#: Least share of different texts among all texts of a host.
-LEAST_VARIETY = 0.5
 
 NEVER_TEXT = frozenset(
     "head script style noscript template iframe object embed svg math canvas audio video select option button "
@@ -198,36 +197,55 @@ def match_trees(reference: str, other: str) -> dict[int, int]:
 
 
 def _votes(pages: DataFrame) -> DataFrame:
-    """(host, skeleton, node, block, n): on how many pages a node has a text; block null counts the node."""
+    """(host, skeleton, node, block, n): on how many different pages a node has a text; block null counts the node.
+
+    Pages of a host whose whole text is the same are one page, whatever stands
+    around it; the least of them votes.
+    """
 
     def read(batches):
         for batch in batches:
-            counts: dict[tuple, int] = {}
+            least: dict[tuple, tuple] = {}
             for url, source in zip(batch["url"].to_pylist(), batch["html"].to_pylist()):
                 page = Page(source)
-                host, skeleton = host_of(url), page.skeleton()
-                keys = {(b[0], None) for b in page.blocks} | {(b[0], text_hash(b[1])) for b in page.blocks if not b[3]}
-                for node, block in [*keys, (-1, None)]:
-                    key = (host, skeleton, node, block)
-                    counts[key] = counts.get(key, 0) + 1
-            columns = list(zip(*(k + (n,) for k, n in counts.items()))) or [()] * 5
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.int64())
+                # (node, whether it is a text, the text's hash)
+                keys = {(b[0], False, 0) for b in page.blocks}
+                keys |= {(b[0], True, text_hash(b[1])) for b in page.blocks if not b[3]}
+                vote = (page.skeleton(), sorted(keys))
+                key = (host_of(url), text_hash(page.text(set())))
+                if key not in least or vote < least[key]:
+                    least[key] = vote
+            rows = [
+                (host, text, skeleton, [{"node": n, "own": o, "block": h} for n, o, h in keys])
+                for (host, text), (skeleton, keys) in least.items()
+            ]
+            columns = list(zip(*rows)) or [()] * 4
+            key_kind = pa.struct([("node", pa.int32()), ("own", pa.bool_()), ("block", pa.int64())])
+            kinds = (pa.string(), pa.int64(), pa.string(), pa.list_(key_kind))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "skeleton", "node", "block", "n"]
+                [pa.array(c, k) for c, k in zip(columns, kinds)], ["host", "page", "skeleton", "keys"]
             )
 
-    return pages.select(F.col("url").cast("string"), F.col("html").cast("string")).mapInArrow(
-        read, "host string, skeleton string, node int, block long, n long"
+    shape = "host string, page long, skeleton string, keys array<struct<node:int,own:boolean,block:long>>"
+    different = (
+        pages.select(F.col("url").cast("string"), F.col("html").cast("string"))
+        .mapInArrow(read, shape)
+        .groupBy("host", "page")
+        .agg(F.min(F.struct("skeleton", "keys")).alias("vote"))
+        .select("host", "vote.skeleton", "vote.keys")
+    )
+    page = F.struct(F.lit(-1).alias("node"), F.lit(False).alias("own"), F.lit(0).cast("long").alias("block"))
+    return (
+        different.select("host", "skeleton", F.explode(F.concat(F.array(page), "keys")).alias("k"))
+        .groupBy("host", "skeleton", "k")
+        .agg(F.count("*").alias("n"))
+        .select("host", "skeleton", "k.node", F.when(F.col("k.own"), F.col("k.block")).alias("block"), "n")
     )
 
 
 def induce(pages: DataFrame) -> DataFrame:
-    """(host, reference, constant): each host's reference skeleton and the [slot, block] that are template.
-
-    Hosts whose pages are mostly copies of each other have none: what is
-    constant there may be the article.
-    """
-    votes = settle(_votes(pages).groupBy("host", "skeleton", "node", "block").agg(F.sum("n").alias("n")), "votes")
+    """(host, reference, constant): each host's reference skeleton and the [slot, block] that are template."""
+    votes = settle(_votes(pages), "votes")
     references = votes.filter("node = -1").groupBy("host").agg(F.max(F.struct("n", "skeleton")).alias("r"))
     skeletons = votes.filter("node = -1").select("host", "skeleton").join(
         references.select("host", F.col("r.skeleton").alias("reference")), "host"
@@ -249,16 +267,8 @@ def induce(pages: DataFrame) -> DataFrame:
     aligned = skeletons.mapInArrow(align, "host string, skeleton string, node int, slot int")
     by_slot = votes.join(aligned, ["host", "skeleton", "node"]).groupBy("host", "slot", "block").agg(F.sum("n").alias("n"))
     slots = settle(by_slot, "slots")
-    varied = (
-        slots.filter("block is not null")
-        .groupBy("host")
-        .agg((F.count("*") / F.sum("n")).alias("share"))
-        .filter(F.col("share") >= LEAST_VARIETY)
-        .select("host")
-    )
     constant = (
         slots.filter("block is not null")
-        .join(varied, "host")
         .join(slots.filter("block is null").select("host", "slot", F.col("n").alias("pages")), ["host", "slot"])
         .filter((F.col("pages") >= LEAST_PAGES) & (F.col("n") >= F.col("pages") * CONSTANT_SHARE))
         .groupBy("host")
@@ -278,7 +288,7 @@ def extract_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every row of ``pages`` (page_id, url, html).
 
     A null or empty html has the empty text. Null URLs are one host. Repeated
-    rows are returned each, and vote each. Extra columns are ignored. An empty
+    rows are returned each, and vote once. Extra columns are ignored. An empty
     table gives no rows. Pages without an article or main element are read as
     a whole.
     """

@@ -52,6 +52,29 @@ def test_copies_do_not_make_an_article_template(spark):
     assert {r["text"] for r in extracted(spark, rows).values()} == {"The same text"}
 
 
+def blog(k, article):
+    """A page whose template has more blocks than its article, none of which names itself."""
+    template = "".join(f"<li>Link {n}</li>" for n in range(10))
+    return f"http://blog.example.com/{k}", f"<body><ul>{template}</ul><div>{''.join(f'<p>{p}</p>' for p in article)}</div></body>"
+
+
+def test_template_larger_than_the_article(spark):
+    want = {k: [f"Paragraph {n} of page {k}" for n in range(3)] for k in range(12)}
+    got = extracted(spark, [(k, *blog(k, article)) for k, article in want.items()])
+    assert {k: r["text"] for k, r in got.items()} == {k: "\n".join(article) for k, article in want.items()}
+
+
+def test_copies_vote_once(spark):
+    # Fewer than LEAST_PAGES different pages: what the 20 copies say is no template.
+    few = [(k, *blog(k, ["The same text"])) for k in range(20)] + [(k, *blog(k, [f"Text {k}"])) for k in (20, 21)]
+    assert all(r["text"].endswith(("The same text", f"Text {k}")) for k, r in extracted(spark, few).items())
+    # Enough of them: the copies keep their article, the others lose their template.
+    many = few + [(k, *blog(k, [f"Text {k}"])) for k in range(22, 32)]
+    assert {k: r["text"] for k, r in extracted(spark, many).items()} == {
+        k: "The same text" if k < 20 else f"Text {k}" for k in range(32)
+    }
+
+
 def brute_match(a, b):
     """Size of the largest simple tree matching of (label, children) trees."""
     if a[0] != b[0]:
