@@ -18,18 +18,21 @@ the ordinary one, normalised by length: over the whole text, and over its
 windows of a few words, of which the highest counts. A word counts where it
 first stands in the text; repeating it adds nothing.
 
-All labelled rows that may be learnt from are counted, by Spark. The model that
-scores is a hash table with check bits and a bounded number of slots.
+All labelled rows that may be learnt from are counted, by Spark. A hash table
+with check bits and a bounded number of slots holds the most frequent word of
+each slot. The words without a slot are a written table: sent as it is while it
+is short, else joined with the texts that have such words. So every counted
+word scores.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from colloquy.llm.common import IdFilter, prepare
+from colloquy.llm.common import IdFilter, is_small, prepare
 from colloquy.llm.hashing import RangeHashes
 from colloquy.session import settle
 
@@ -43,6 +46,12 @@ CALIBRATION_FOLD = 4
 CALIBRATION_ROWS = 20_000
 #: Slots of the model's tables, which are broadcast: 2**22 words, 2**20 heads.
 WORD_BITS, HEAD_BITS = 22, 20
+#: Words and heads without a slot up to which these are broadcast too: 12 bytes each.
+REST_ROWS = 1 << 20
+#: Bits of the broadcast set of hashes without a slot.
+REST_BITS = 25
+#: Marks that a table joined by a shuffle is dealt over, so that one word or text is no hot key.
+SALTS = 16
 #: Ordinary and toxic rows of the other folds, and of the calibration fold.
 KINDS = ("o", "t", "ho", "ht")
 
@@ -160,34 +169,53 @@ def class_counts(counts: DataFrame, with_calibration: bool) -> DataFrame:
 
 
 def _slotted(rows: DataFrame, key: str, bits: int, n, ratio) -> DataFrame:
-    """Of the keys in a slot the one with the highest count, with its check bits."""
-    return (
-        rows.select(
-            F.shiftrightunsigned(key, 64 - bits).cast("int").alias("slot"),
-            F.struct(
-                n.alias("n"),
-                F.col(key).bitwiseAND(F.lit(0xFFFF)).cast("int").alias("check"),
-                ratio.cast("float").alias("ratio"),
-            ).alias("best"),
-        )
-        .groupBy("slot")
-        .agg(F.max("best").alias("best"))
-        .select("slot", "best.check", "best.ratio")
-    )
+    """(slot, key, ratio, kept): of the keys in a slot the one with the highest count is kept there."""
+    first = Window.partitionBy("slot").orderBy(F.desc("n"), F.desc("key"))
+    ranked = rows.select(
+        F.shiftrightunsigned(key, 64 - bits).cast("int").alias("slot"),
+        F.col(key).alias("key"),
+        ratio.cast("float").alias("ratio"),
+        n.alias("n"),
+    ).select("slot", "key", "ratio", (F.row_number().over(first) == 1).alias("kept"))
+    return settle(ranked, "ratios")
 
 
 def _filled(rows: DataFrame | None, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """Ratios and check values (-1: free) of 2**bits slots."""
     ratio, check = np.zeros(1 << bits, np.float32), np.full(1 << bits, -1, np.int32)
     if rows is not None:
-        found = rows.toArrow()  # at most as many rows as slots
+        check_bits = F.col("key").bitwiseAND(F.lit(0xFFFF)).cast("int").alias("check")
+        found = rows.filter("kept").select("slot", check_bits, "ratio").toArrow()  # at most as many rows as slots
         at = found["slot"].to_numpy()
         ratio[at], check[at] = found["ratio"].to_numpy(), found["check"].to_numpy()
     return ratio, check
 
 
+def _without_slot(words: DataFrame, heads: DataFrame) -> dict[str, object]:
+    """What lost its slot: as arrays while these are short, else (head, key, ratio) and its set in 2**REST_BITS bits."""
+    rest = words.filter("not kept").select(F.lit(False).alias("head"), "key", "ratio").unionByName(
+        heads.filter("not kept").select(F.lit(True).alias("head"), "key", "ratio")
+    )
+    if rest.count() <= REST_ROWS:
+        few = rest.orderBy("key").toArrow()  # at most REST_ROWS
+        is_head = few["head"].to_numpy()
+        key, ratio = few["key"].to_numpy(), few["ratio"].to_numpy()
+        return {"few": {kind: (key[is_head == kind], ratio[is_head == kind]) for kind in (False, True)}}
+    at = F.col("key").bitwiseAND(F.lit((1 << REST_BITS) - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), at.bitwiseAND(F.lit(63)).cast("int"))
+    rows = (
+        rest.select(F.shiftright(at, 6).cast("int").alias("k"), one.alias("b"))
+        .groupBy("k")
+        .agg(F.bit_or("b").alias("b"))
+        .toArrow()  # at most 2**REST_BITS / 64 rows
+    )
+    bits = np.zeros(1 << (REST_BITS - 6), np.int64)
+    bits[rows["k"].to_numpy()] = rows["b"].to_numpy()
+    return {"rest": (rest, bits)}
+
+
 def build_model(counts: DataFrame) -> dict[str, object]:
-    """The log ratios of words and of heads alone as tables with a fixed number of slots.
+    """The log ratios of words and of heads alone as tables with a fixed number of slots, and the rest.
 
     ``counts`` has head, word, o and t. A word that was never counted has its
     head's ratio.
@@ -233,27 +261,55 @@ def build_model(counts: DataFrame) -> dict[str, object]:
 
     words = counts.join(known, "head")
     ratio = F.col("head_ratio") + F.log(of_word("t") / of_word("o"))
+    by_word = _slotted(words, "word", WORD_BITS, F.col("o") + F.col("t"), ratio)
+    by_head = _slotted(known, "head", HEAD_BITS, F.col("n_o") + F.col("n_t"), F.col("head_ratio"))
     return {
-        "word": _filled(_slotted(words, "word", WORD_BITS, F.col("o") + F.col("t"), ratio), WORD_BITS),
-        "head": _filled(
-            _slotted(known, "head", HEAD_BITS, F.col("n_o") + F.col("n_t"), F.col("head_ratio")), HEAD_BITS
-        ),
+        "word": _filled(by_word, WORD_BITS),
+        "head": _filled(by_head, HEAD_BITS),
+        **_without_slot(by_word, by_head),
     }
 
 
-def _looked_up(table: tuple[np.ndarray, np.ndarray], bits: int, key: np.ndarray, other) -> np.ndarray:
+def _looked_up(table: tuple[np.ndarray, np.ndarray], key: np.ndarray, other) -> np.ndarray:
+    bits = len(table[0]).bit_length() - 1
     slot = (key >> np.uint64(64 - bits)).astype(np.int64)
     fits = table[1][slot] == (key & np.uint64(0xFFFF)).astype(np.int32)
     return np.where(fits, table[0][slot], other)
 
 
-def evidence(text: str | None, model: dict[str, object]) -> tuple[float, float]:
-    """(highest mean log ratio of a window, mean log ratio of the text); zeros without words."""
+def _put_right(values: np.ndarray, key: np.ndarray, own: np.ndarray, ratio: np.ndarray) -> np.ndarray:
+    """``values`` with those of the keys in ``own``, which is sorted, replaced."""
+    if not len(own):
+        return values
+    signed = key.view(np.int64)
+    at = np.minimum(np.searchsorted(own, signed), len(own) - 1)
+    return np.where(own[at] == signed, ratio[at], values)
+
+
+_NONE = (np.zeros(0, np.int64), np.zeros(0, np.float32))
+
+
+def _as_arrays(rest: list[dict]) -> dict[bool, tuple[np.ndarray, np.ndarray]]:
+    of_kind: dict[bool, dict[int, float]] = {False: {}, True: {}}
+    for r in rest:
+        of_kind[r["head"]][r["key"]] = r["ratio"]
+    return {
+        kind: (np.array(sorted(found), np.int64), np.array([found[k] for k in sorted(found)], np.float32))
+        for kind, found in of_kind.items()
+    }
+
+
+def evidence(text: str | None, model: dict[str, object], rest: list[dict] | None = None) -> tuple[float, float]:
+    """(highest mean log ratio of a window, mean log ratio of the text); zeros without words.
+
+    ``rest`` has the text's keys that are counted but have no slot.
+    """
     head, word = hashed_words(text)
     if not len(head):
         return 0.0, 0.0
-    known = _looked_up(model["head"], HEAD_BITS, head, 0.0)
-    ratio = _looked_up(model["word"], WORD_BITS, word, known).astype(np.float64)
+    others = _as_arrays(rest) if rest else model.get("few", {})
+    known = _put_right(_looked_up(model["head"], head, 0.0), head, *others.get(True, _NONE))
+    ratio = _put_right(_looked_up(model["word"], word, known), word, *others.get(False, _NONE)).astype(np.float64)
     again = np.ones(len(word), bool)
     again[np.unique(word, return_index=True)[1]] = False
     ratio[again] = 0.0
@@ -291,13 +347,52 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[dict[str, object], np.nda
     return build_model(class_counts(counts, True)), weights
 
 
+def _rest_of_texts(texts: DataFrame, rest: DataFrame, bits: np.ndarray) -> DataFrame:
+    """(_key, _rest): for each different text with words or heads in ``rest``, those it has.
+
+    The set of bits lets few others through, which the join drops. _key is a
+    hash of the text; texts that share one get each other's ratios besides,
+    which change nothing.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(bits)
+
+    def wanted(batches):
+        for batch in batches:
+            bits = sent.value
+            keys: dict[int, str | None] = dict(zip(batch["_key"].to_pylist(), batch["_text"].to_pylist()))
+            found: list[tuple] = []
+            for key, text in keys.items():
+                for is_head, hashes in zip((True, False), hashed_words(text)):
+                    own = np.unique(hashes).view(np.int64)
+                    at = own & ((1 << REST_BITS) - 1)
+                    own = own[((bits[at >> 6] >> (at & 63)) & 1).astype(bool)]
+                    found += [(key, is_head, k) for k in own.tolist()]
+            columns = list(zip(*found)) or [()] * 3
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.bool_(), pa.int64()))], ["_key", "head", "key"]
+            )
+
+    pairs = texts.select("_key", "_text").mapInArrow(wanted, "_key long, head boolean, key long").distinct()
+    if is_small(rest):
+        joined = pairs.join(F.broadcast(rest), ["head", "key"])
+    else:
+        joined = pairs.withColumn("salt", F.pmod("_key", F.lit(SALTS)).cast("int")).join(_salted(rest), ["head", "key", "salt"])
+    return settle(joined.groupBy("_key").agg(F.collect_list(F.struct("head", "key", "ratio")).alias("_rest")), "rest")
+
+
+def _salted(df: DataFrame) -> DataFrame:
+    return df.withColumn("salt", F.explode(F.array(*(F.lit(k) for k in range(SALTS)))))
+
+
 def _applied(df: DataFrame, model: dict[str, object], keep: list[str]) -> DataFrame:
     """The columns ``keep`` with the evidence of ``text``, as window and mean."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = df.sparkSession.sparkContext.broadcast({k: v for k, v in model.items() if k != "rest"})
 
     def score(batches):
         for batch in batches:
-            found = [evidence(t, sent.value) for t in batch["_text"].to_pylist()]
+            texts = batch["_text"].to_pylist()
+            rests = batch["_rest"].to_pylist() if "_rest" in batch.schema.names else [None] * len(texts)
+            found = [evidence(t, sent.value, r) for t, r in zip(texts, rests)]
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch[n] for n in keep),
@@ -308,7 +403,19 @@ def _applied(df: DataFrame, model: dict[str, object], keep: list[str]) -> DataFr
             )
 
     shape = df.select(*keep).schema.add("window", "double").add("mean", "double")
-    return df.select(*keep, F.col("text").cast("string").alias("_text")).mapInArrow(score, shape)
+    own = df.select(*keep, F.col("text").cast("string").alias("_text"))
+    if "rest" not in model:
+        return own.mapInArrow(score, shape)
+    rest, bits = model["rest"]
+    keyed = own.withColumn("_key", F.xxhash64("_text"))
+    of_texts = _rest_of_texts(keyed, rest, bits)
+    if is_small(of_texts):
+        return keyed.join(F.broadcast(of_texts), "_key", "left").mapInArrow(score, shape)
+    # Only texts that may have such words are shuffled; copies of one are dealt over the marks.
+    known = IdFilter(of_texts, ["_key"])
+    salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int")
+    some = known.keep(keyed).withColumn("salt", salt).join(_salted(of_texts), ["_key", "salt"], "left")
+    return known.keep(keyed, False).mapInArrow(score, shape).unionByName(some.mapInArrow(score, shape))
 
 
 def _score(weights: np.ndarray):

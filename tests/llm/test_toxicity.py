@@ -68,6 +68,19 @@ def test_held_out_accuracy(corpus):
     assert [r["doc_id"] for r in kept] == [r["doc_id"] for r in got if not r["predicted"]] and kept[0]["word"] == "c"
 
 
+@pytest.mark.parametrize("rest_rows, broadcast_bytes", [(1 << 20, 8 << 20), (0, 8 << 20), (0, 0)])
+def test_words_without_a_slot_score(corpus, monkeypatch, rest_rows, broadcast_bytes):
+    docs, labels, _, _ = corpus
+    want = by_id(toxicity.score_documents(docs, labels))
+    monkeypatch.setattr(toxicity, "WORD_BITS", 3)
+    monkeypatch.setattr(toxicity, "HEAD_BITS", 1)
+    monkeypatch.setattr(toxicity, "REST_ROWS", rest_rows, raising=False)  # 0: joined, and below by shuffles
+    monkeypatch.setattr("colloquy.llm.common.BROADCAST_BYTES", broadcast_bytes)
+    got = by_id(toxicity.score_documents(docs, labels))
+    assert [(r["doc_id"], r["predicted"]) for r in got] == [(r["doc_id"], r["predicted"]) for r in want]
+    assert [r["score"] for r in got] == pytest.approx([r["score"] for r in want], rel=1e-9)
+
+
 def test_held_out_labels_are_not_learnt(corpus):
     docs, labels, _, _ = corpus
     held = "pmod(crc32(cast(doc_id as string)), 5) = 0"
