@@ -10,7 +10,9 @@ documents, and who has the key can undo it.
     phone   ten digits, in groups; a country code +1 stays
     ssn     nnn-nn-nnnn with a valid area, group and serial number
     ipv4    four numbers up to 255
-    date    from 1800-01-01 to 2199-12-31, which are 189 * 773 days
+    date    from 1800-01-01 to 2199-12-31, which are 189 * 773 days. With slashes the
+            month is first where that is valid; the others (days after the 12th,
+            day first) are 9 * 9833 days of their own
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from colloquy.llm.common import prepare
 
 ROUNDS = 10
 FIRST_DAY, DAYS_P, DAYS_Q = "1800-01-01", 189, 773
+DAY_FIRST_P, DAY_FIRST_Q = 9, 9833
 SSN_AREAS, SSN_GROUPS, SSN_SERIALS = 898, 99, 9999
 
 #: What may be a number or date to replace; the first alternative that fits is its kind.
@@ -30,7 +33,11 @@ DATE = r"\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4}"
 SSN = r"\d{3}-\d{2}-\d{4}"
 PHONE = r"(?:\+1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}"
 CARD = r"\d(?:[ -]?\d){12,18}"
-FOUND = rf"(?<![\w.+/-])(?:{IPV4}|{DATE}|{SSN}|{PHONE}|{CARD})(?![\w/-])"
+#: Addresses may stand in URLs and before a prefix length, ISO dates before a time.
+FOUND = (
+    rf"(?<![\w.+-]){IPV4}(?![\w-])|(?<![\w.+/-])\d{{4}}-\d{{2}}-\d{{2}}(?=T\d)"
+    rf"|(?<![\w.+/-])(?:{DATE}|{SSN}|{PHONE}|{CARD})(?![\w/-])"
+)
 
 DATE_FORMATS = {
     r"^\d{4}-\d{2}-\d{2}$": "yyyy-MM-dd",
@@ -143,10 +150,35 @@ def _date(found: Column, key: str, undo: bool) -> Column:
         s = _feistel(F.floor(day / DAYS_Q), day % DAYS_Q, F.lit(DAYS_P), F.lit(DAYS_Q), key, "date", undo)
         new = F.date_add(F.lit(FIRST_DAY).cast("date"), (s["a"] * DAYS_Q + s["b"]).cast("int"))
         inside = day.between(0, DAYS_P * DAYS_Q - 1)
-        out = F.when(found.rlike(pattern), F.when(inside, F.date_format(new, form))).otherwise(out)
+        made = F.when(inside, F.date_format(new, form))
+        if form == "MM/dd/yyyy":
+            made = F.when(day.isNotNull(), made).otherwise(_day_first(found, key, undo))
+        out = F.when(found.rlike(pattern), made).otherwise(out)
     return out
 
 
+def _day_first(found: Column, key: str, undo: bool) -> Column:
+    """The pseudonym of a date dd/MM/yyyy after the 12th, again such a date."""
+    first = F.lit(FIRST_DAY).cast("date")
+    date = F.try_to_timestamp(found, F.lit("dd/MM/yyyy")).cast("date")
+    # The days up to the 12th of this month and those before are left out.
+    place = F.datediff(date, first) - 12 * (_month(date) + 1)
+    inside = (F.dayofmonth(date) > 12) & F.year(date).between(1800, 2199)
+    s = _feistel(F.floor(place / DAY_FIRST_Q), place % DAY_FIRST_Q, F.lit(DAY_FIRST_P), F.lit(DAY_FIRST_Q), key, "day-first", undo)
+    new = s["a"] * DAY_FIRST_Q + s["b"]
+    about = F.floor(new * 4800 / (DAY_FIRST_P * DAY_FIRST_Q)).cast("int")  # months, nearly
+    candidates = F.transform(
+        F.array(*(F.lit(k) for k in range(-2, 3))),
+        lambda k: F.struct((about + k).alias("m"), F.date_add(first, (new + 12 * (about + k + 1)).cast("int")).alias("d")),
+    )
+    right = F.filter(candidates, lambda c: (_month(c["d"]) == c["m"]) & (F.dayofmonth(c["d"]) > 12))
+    return F.when(inside, F.date_format(F.try_element_at(right, F.lit(1))["d"], "dd/MM/yyyy"))
+
+
+def _month(date: Column) -> Column:
+    return (F.year(date) - 1800) * 12 + F.month(date) - 1
+
+
 KINDS = {"ipv4": (IPV4, _ipv4), "date": (DATE, _date), "ssn": (SSN, _ssn), "phone": (PHONE, _phone), "card": (CARD, _card)}
 
 

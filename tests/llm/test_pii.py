@@ -115,5 +115,24 @@ def test_equal_values_stay_linked(make_docs):
     assert t[2].split("-") == t[3].split(".")[::-1]
 
 
+def test_values_beside_others(make_docs):
+    """Addresses in URLs, times after dates, days first."""
+    rows = [
+        (100, "http://192.168.1.5/x"), (101, "10.1.2.3/24"), (102, "2024-02-29T12:00:00Z"), (103, "25/12/1999"), (104, "31/02/1999"),
+    ] + [(1000 + k, (datetime.date(1800, 1, 13) + datetime.timedelta(4870 * k)).strftime("%d/%m/%Y")) for k in range(30)]
+    made = pseudonymise(make_docs(rows), KEY)
+    got = {r["doc_id"]: r for r in by_id(made)}
+    assert re.fullmatch(r"http://\d+\.\d+\.\d+\.\d+/x", got[100]["text"]) and "192.168.1.5" not in got[100]["text"]
+    assert got[101]["text"].endswith("/24") and "10.1.2.3" not in got[101]["text"]
+    assert re.fullmatch(r"\d{4}-\d\d-\d\dT12:00:00Z", got[102]["text"]) and got[102]["n_replaced"] == 1
+    assert got[103]["n_replaced"] == 1 and got[103]["text"] != "25/12/1999" and got[104]["n_replaced"] == 0
+    for doc, text in rows[5:]:
+        assert got[doc]["n_replaced"] == 1
+        if int(text[:2]) > 12:
+            assert datetime.datetime.strptime(got[doc]["text"], "%d/%m/%Y").day > 12
+    back = by_id(pseudonymise(made.select("doc_id", "text"), KEY, undo=True))
+    assert {(r["doc_id"], r["text"]) for r in back} == set(rows)
+
+
 def test_no_documents(make_docs):
     assert pseudonymise(make_docs([]), KEY).collect() == []
