@@ -226,7 +226,7 @@ sided AS (
     ENERGY,
 )
 def _(t):
-    return sides.word_side_energy(words_only(t), t.frames, EVENT_FRAME).select(
+    return sides.word_side_energy(words_only(t), t.frame_blocks, EVENT_FRAME).select(
         "meeting_id",
         "word_idx",
         F.round(decibels(F.col("microphone_energy")), DIGITS).alias("microphone_db"),
@@ -236,7 +236,7 @@ def _(t):
 
 @query("attribute_side", "SELECT meeting_id, word_idx, side FROM sided", ENERGY)
 def _(t):
-    return sides.attribute_side(words_only(t), t.frames, EVENT_FRAME).select(
+    return sides.attribute_side(words_only(t), t.frame_blocks, EVENT_FRAME).select(
         "meeting_id", "word_idx", "side"
     )
 
@@ -264,7 +264,7 @@ ranked AS (
     TWO_SIDED,
 )
 def _(t):
-    return sides.align_two_sided(words_only(t), t.segments, t.frames, EVENT_FRAME).select(
+    return sides.align_two_sided(words_only(t), t.segments, t.frame_blocks, EVENT_FRAME).select(
         "meeting_id", "word_idx", "side", "speaker_id"
     )
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from colloquy.catalog.registry import DIGITS, query
 from colloquy.functions.vectors import decibels
-from colloquy.operators import sides, slices
+from colloquy.operators import blocks, sides, slices
 from colloquy.operators.models import seek_time
 
 PER_FRAME = 8
@@ -20,7 +20,7 @@ SAMPLE_RATE = 1.0
         FROM samples GROUP BY ALL""",
 )
 def _(t):
-    return sides.envelope_frames(t.samples, PER_FRAME).select(
+    return blocks.envelope_frames(t.sample_blocks, PER_FRAME).select(
         "meeting_id", "side", "frame", F.round("energy", DIGITS).alias("energy")
     )
 
@@ -36,7 +36,7 @@ def _(t):
     declared = t.ticks.groupBy("meeting_id").agg(
         F.max(F.col("user_id") % 3 != 0).alias("separate_sources")
     )
-    return sides.present_sides(t.samples, declared).select(
+    return sides.present_sides(t.sample_blocks, declared).select(
         "meeting_id", "side", F.round("peak", DIGITS).alias("peak")
     )
 
@@ -89,7 +89,7 @@ coupling AS (
 )
 def _(t):
     return (
-        sides.lagged_pairs(t.frames)
+        sides.lagged_pairs(t.frame_blocks)
         .groupBy("meeting_id", F.col("lag").cast("long").alias("lag"))
         .agg(
             F.count("*").alias("pairs"),
@@ -105,7 +105,7 @@ def _(t):
     COUPLED,
 )
 def _(t):
-    return sides.bleed_coupling(t.frames).select(
+    return sides.bleed_coupling(t.frame_blocks).select(
         "meeting_id",
         "lag",
         F.round("offset_db", DIGITS).alias("offset_db"),
@@ -125,7 +125,7 @@ gates AS (
 
 
 def gates(t):
-    return sides.gate_frames(t.frames, sides.bleed_coupling(t.frames))
+    return sides.gate_frames(t.frames, sides.bleed_coupling(t.frame_blocks))
 
 
 @query("gate_frames", "SELECT meeting_id, frame, gated FROM gates", GATES)
@@ -141,8 +141,8 @@ def _(t):
     GATES,
 )
 def _(t):
-    first = t.samples.where("channel = 0")
-    return sides.silence_frames(first, gates(t), PER_FRAME).select(
+    first = t.sample_blocks.where("channel = 0")
+    return blocks.unpack_samples(blocks.silence_frames(first, gates(t), PER_FRAME)).select(
         "meeting_id", "idx", F.round("value", DIGITS).alias("value")
     )
 
@@ -159,7 +159,7 @@ folded AS (
 )
 def _(t):
     # Halves of the input's own decimals are ties at six digits.
-    return sides.channel_fold(t.samples).select(
+    return blocks.unpack_samples(blocks.channel_fold(t.sample_blocks)).select(
         "meeting_id", "idx", F.round("value", 12).alias("value")
     )
 
@@ -176,7 +176,7 @@ wave AS (
 
 @query("waveform_peaks", "SELECT meeting_id, bucket, round(peak, 6) AS peak FROM wave", WAVE)
 def _(t):
-    return sides.waveform_peaks(t.samples, buckets=20).select(
+    return blocks.waveform_peaks(t.sample_blocks, buckets=20).select(
         "meeting_id", "bucket", F.round("peak", DIGITS).alias("peak")
     )
 
@@ -192,7 +192,7 @@ def _(t):
     WAVE,
 )
 def _(t):
-    peaks = sides.waveform_peaks(t.samples, buckets=20)
+    peaks = blocks.waveform_peaks(t.sample_blocks, buckets=20)
     return sides.waveform_resample(peaks, 7).select(
         "meeting_id", "bar", F.round("peak", DIGITS).alias("peak")
     )
@@ -345,7 +345,7 @@ best AS (
 )""",
 )
 def _(t):
-    first = t.samples.where("channel = 0").select("meeting_id", "idx", "value")
+    first = t.sample_blocks.where("channel = 0")
     moved = slices.quietest_near(event_cuts(t), first, SAMPLE_RATE, 15.0, 20.0)
     return moved.select(
         "meeting_id", F.col("cut_idx").cast("long").alias("cut_idx"), F.round("cut", DIGITS).alias("cut")

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from colloquy.functions.vectors import decibels
+from colloquy.operators import blocks
 from colloquy.operators.align import align_words
-from colloquy.plans.order_statistic import value_at_rank
 from colloquy.schema import MICROPHONE, SYSTEM_AUDIO
+from colloquy.session import settle
 
 # Frame length and the level below which a channel is silent.
 FRAME_SECONDS = 0.02
@@ -28,107 +29,31 @@ TOLERANCE = 3.0
 METER_DECAY = 0.6
 WAVEFORM_BUCKETS = 2000
 
-#: Frames packed into one row for word lookups: one second.
-BLOCK_FRAMES = 50
-
 
 def present_sides(samples: DataFrame, declared: DataFrame) -> DataFrame:
     """Channels that count as sources: loud enough, two of them, declared separate."""
-    peaks = samples.groupBy("meeting_id", "channel").agg(F.max(F.abs("value")).alias("peak"))
-    two = samples.groupBy("meeting_id").agg(F.max("channel").alias("last_channel"))
-    side = F.when(F.col("channel") == 0, MICROPHONE).otherwise(SYSTEM_AUDIO)
-    return (
-        peaks.where(F.col("peak") > SILENCE_FLOOR)
-        .join(two.where("last_channel = 1"), "meeting_id", "left_semi")
-        .join(declared.where("separate_sources"), "meeting_id", "left_semi")
-        .select("meeting_id", side.alias("side"), "peak")
-    )
-
-
-def envelope_frames(samples: DataFrame, per_frame: int) -> DataFrame:
-    """Mean square per frame and channel; the last frame may be short."""
-    side = F.when(F.col("channel") == 0, MICROPHONE).otherwise(SYSTEM_AUDIO)
-    return (
-        samples.groupBy(
-            "meeting_id", "channel", F.floor(F.col("idx") / per_frame).cast("long").alias("frame")
-        )
-        .agg(F.avg(F.col("value") * F.col("value")).alias("energy"))
-        .select("meeting_id", side.alias("side"), "frame", "energy")
-    )
-
-
-def word_side_energy(
-    words: DataFrame, frames: DataFrame, frame_seconds: float = FRAME_SECONDS
-) -> DataFrame:
-    """Mean frame energy of each word on both sides, 0 outside the frames.
-
-    Frames are packed into rows of one block each, so a word meets the one or
-    two blocks it touches instead of every single frame.
-    """
-    blocks = (
-        frames.withColumn("_block", F.floor(F.col("frame") / BLOCK_FRAMES).cast("long"))
-        .groupBy("meeting_id", "_block")
-        .agg(F.array_sort(F.collect_list(F.struct("frame", "side", "energy"))).alias("_packed"))
-    )
-    first = F.floor(F.col("start") / F.lit(frame_seconds)).cast("long")
-    last = F.floor(F.col("end") / F.lit(frame_seconds)).cast("long")
-    payload = [c for c in words.columns if c not in ("meeting_id", "word_idx")]
-    spread = words.withColumns({"_first": F.greatest(first, F.lit(0)), "_last": last}).withColumn(
-        "_block",
-        F.explode(
-            F.sequence(
-                F.floor(F.col("_first") / BLOCK_FRAMES).cast("long"),
-                F.floor(F.greatest("_first", "_last") / BLOCK_FRAMES).cast("long"),
-            )
-        ),
-    )
+    return blocks.present_sides(samples, declared, SILENCE_FLOOR)
 
-    def total(side: str) -> Column:
-        heard = F.filter(
-            "_packed",
-            lambda f: (f["side"] == side)
-            & (f["frame"] >= F.col("_first"))
-            & (f["frame"] <= F.col("_last")),
-        )
-        return F.aggregate(
-            heard,
-            F.struct(F.lit(0.0).alias("sum"), F.lit(0).cast("long").alias("n")),
-            lambda acc, f: F.struct(
-                (acc["sum"] + f["energy"]).alias("sum"), (acc["n"] + 1).alias("n")
-            ),
-        )
 
-    parts = spread.join(blocks, ["meeting_id", "_block"], "left").select(
-        "meeting_id",
-        "word_idx",
-        *payload,
-        total(MICROPHONE).alias("_mic"),
-        total(SYSTEM_AUDIO).alias("_sys"),
+def measured_sides(packed: DataFrame) -> DataFrame:
+    """Which sides of a meeting have frames, from packed frames."""
+    return packed.groupBy("meeting_id").agg(
+        F.max(F.col("microphone_last").isNotNull()).alias("_has_mic"),
+        F.max(F.col("system_last").isNotNull()).alias("_has_sys"),
     )
 
-    def mean(column: str) -> Column:
-        n = F.sum(f"{column}.n")
-        return F.when(n > 0, F.sum(f"{column}.sum") / n).otherwise(F.lit(0.0))
 
-    # The other columns depend on the word; as keys they allow hash aggregation.
-    return parts.groupBy("meeting_id", "word_idx", *payload).agg(
-        mean("_mic").alias("microphone_energy"),
-        mean("_sys").alias("system_energy"),
-    )
+def word_side_energy(words: DataFrame, packed: DataFrame, frame_seconds: float = FRAME_SECONDS) -> DataFrame:
+    """Mean frame energy of each word on both sides, 0 outside the frames."""
+    return blocks.word_side_energy(words, packed, frame_seconds)
 
 
-def attribute_side(
-    words: DataFrame, frames: DataFrame, frame_seconds: float = FRAME_SECONDS
-) -> DataFrame:
+def attribute_side(words: DataFrame, packed: DataFrame, frame_seconds: float = FRAME_SECONDS) -> DataFrame:
     """Words with the louder side; ties and silence go to the microphone.
 
     A meeting with one measured side has that side, one with none has null.
     """
-    measured = frames.groupBy("meeting_id").agg(
-        F.max(F.col("side") == MICROPHONE).alias("_has_mic"),
-        F.max(F.col("side") == SYSTEM_AUDIO).alias("_has_sys"),
-    )
-    loud = word_side_energy(words, frames, frame_seconds).join(measured, "meeting_id", "left")
+    loud = word_side_energy(words, packed, frame_seconds).join(measured_sides(packed), "meeting_id", "left")
     return loud.withColumn(
         "side",
         F.when(
@@ -145,25 +70,21 @@ def attribute_side(
 def align_two_sided(
     words: DataFrame,
     segments: DataFrame,
-    frames: DataFrame,
+    packed: DataFrame,
     frame_seconds: float = FRAME_SECONDS,
 ) -> DataFrame:
     """Words aligned against the segments of their own side only.
 
     Meetings without two measured sides are aligned against all their segments.
+    Both kinds go through one alignment: the side, or none, is part of its key.
     """
-    two_sided = (
-        frames.groupBy("meeting_id")
-        .agg(F.count_distinct("side").alias("n"))
-        .where("n > 1")
-        .select("meeting_id")
-    )
-    split = attribute_side(
-        words.join(two_sided, "meeting_id", "left_semi"), frames, frame_seconds
-    ).drop("microphone_energy", "system_energy")
-    by_side = align_words(split, segments, ("meeting_id", "side"))
-    whole = align_words(words.join(two_sided, "meeting_id", "left_anti"), segments)
-    return by_side.unionByName(whole.withColumn("side", F.lit(None).cast("string")))
+    two = measured_sides(packed).where("_has_mic AND _has_sys").select("meeting_id", F.lit(True).alias("_two"))
+    sided = attribute_side(words, packed, frame_seconds).drop("microphone_energy", "system_energy")
+    side = F.when(F.col("_two"), F.col("side")).otherwise(F.lit(""))
+    keyed = sided.join(two, "meeting_id", "left").withColumn("side", side).drop("_two")
+    spoken = segments.join(two, "meeting_id", "left").withColumn("side", side).drop("_two")
+    aligned = align_words(keyed, spoken, ("meeting_id", "side"))
+    return aligned.withColumn("side", F.when(F.col("side") != "", F.col("side")))
 
 
 def qualified_id(side: Column, speaker_id: Column) -> Column:
@@ -175,62 +96,26 @@ def qualified_id(side: Column, speaker_id: Column) -> Column:
 # -- bleed from one channel into the other ----------------------------------
 
 
-def lagged_pairs(frames: DataFrame, maximum_lag: int = MAXIMUM_LAG) -> DataFrame:
+def lagged_pairs(packed: DataFrame) -> DataFrame:
     """Microphone frames against system frames ``lag`` frames earlier."""
-    lengths = frames.groupBy("meeting_id").agg(
-        F.max(F.when(F.col("side") == MICROPHONE, F.col("frame"))).alias("_m"),
-        F.max(F.when(F.col("side") == SYSTEM_AUDIO, F.col("frame"))).alias("_s"),
-    )
-    common = lengths.where("_m IS NOT NULL AND _s IS NOT NULL").select(
-        "meeting_id", (F.least("_m", "_s") + 1).alias("n")
-    )
-    inside = frames.join(common, "meeting_id").where("frame < n")
-    microphone = inside.where(F.col("side") == MICROPHONE).select(
-        "meeting_id", "frame", decibels(F.col("energy")).alias("mic_db")
-    )
-    system = inside.where(F.col("side") == SYSTEM_AUDIO).select(
-        "meeting_id",
-        "n",
-        F.explode(F.sequence(F.lit(0), F.lit(maximum_lag))).alias("lag"),
-        F.col("frame").alias("sys_frame"),
-        decibels(F.col("energy")).alias("sys_db"),
-    )
-    return system.withColumn("frame", F.col("sys_frame") + F.col("lag")).join(
-        microphone, ["meeting_id", "frame"]
-    )
+    return blocks.lagged_pairs(packed, MAXIMUM_LAG)
 
 
-def bleed_coupling(frames: DataFrame) -> DataFrame:
+def bleed_coupling(packed: DataFrame) -> DataFrame:
     """How the system channel is heard in the microphone, one row per coupled meeting.
 
     Per lag, the offset is the level difference at rank ``count div 10`` over
     audible frames and the evidence the share of frames within 6 dB of it.
     """
-    pairs = lagged_pairs(frames)
-    loudest = (
-        pairs.where("lag = 0")
-        .groupBy("meeting_id")
-        .agg(F.max("sys_db").alias("_loudest"))
-        .where(F.col("_loudest") > SILENCE_DECIBELS + 10)
-    )
-    heard = (
-        pairs.where(F.col("n") > MAXIMUM_LAG + MINIMUM_FRAMES)
-        .join(loudest, "meeting_id")
-        .where(F.col("sys_db") > F.col("_loudest") - AUDIBLE_RANGE)
-        .select("meeting_id", "lag", (F.col("mic_db") - F.col("sys_db")).alias("d"))
-    )
-    tenth = F.floor(F.col("_n") / 10).cast("long")
-    offsets = value_at_rank(heard, ["meeting_id", "lag"], "d", tenth, "offset").where(
-        (F.col("_n") >= MINIMUM_FRAMES) & (F.col("offset") > MINIMUM_DECIBELS)
+    found = settle(
+        blocks.ranked_lags(
+            packed, 10, SILENCE_DECIBELS, AUDIBLE_RANGE, INLIER_BAND, MINIMUM_FRAMES, MAXIMUM_LAG
+        ),
+        "lags",
     )
     evidence = (
-        heard.join(offsets.select("meeting_id", "lag", "offset"), ["meeting_id", "lag"])
-        .groupBy("meeting_id", "lag", "offset")
-        .agg(
-            F.avg(
-                F.when(F.abs(F.col("d") - F.col("offset")) <= INLIER_BAND, 1.0).otherwise(0.0)
-            ).alias("evidence")
-        )
+        found.where((F.col("lag") >= 0) & (F.col("n") >= MINIMUM_FRAMES) & (F.col("offset") > MINIMUM_DECIBELS))
+        .withColumn("evidence", F.col("near") / F.col("n"))
         .where(F.col("evidence") > MINIMUM_EVIDENCE)
     )
     best = evidence.groupBy("meeting_id").agg(
@@ -239,8 +124,7 @@ def bleed_coupling(frames: DataFrame) -> DataFrame:
             F.struct(F.col("evidence"), (-F.col("lag")).alias("l")),
         ).alias("b")
     )
-    levels = pairs.where("lag = 0").select("meeting_id", "mic_db")
-    noise = value_at_rank(levels, ["meeting_id"], "mic_db", tenth, "noise_db")
+    noise = found.where("lag < 0").select("meeting_id", F.col("offset").alias("noise_db"))
     return best.join(noise, "meeting_id").select(
         "meeting_id",
         F.col("b.lag").cast("long").alias("lag"),
@@ -268,59 +152,9 @@ def gate_frames(frames: DataFrame, coupling: DataFrame) -> DataFrame:
     )
 
 
-def silence_frames(samples: DataFrame, gates: DataFrame, per_frame: int) -> DataFrame:
-    """Samples with those of gated frames set to zero."""
-    placed = samples.withColumn("frame", F.floor(F.col("idx") / per_frame).cast("long"))
-    return placed.join(
-        gates.where("gated").select("meeting_id", "frame", "gated"), ["meeting_id", "frame"], "left"
-    ).select(
-        *[c for c in samples.columns if c != "value"],
-        F.when(F.col("gated"), F.lit(0.0)).otherwise(F.col("value")).alias("value"),
-    )
-
-
 # -- samples -------------------------------------------------------------
 
 
-def channel_fold(samples: DataFrame) -> DataFrame:
-    """Channels summed and scaled by one gain, so the loudest peak stays as it was."""
-    summed = samples.groupBy("meeting_id", "idx").agg(
-        F.sum("value").alias("total"), F.max(F.abs("value")).alias("peak")
-    )
-    gains = summed.groupBy("meeting_id").agg(
-        F.max("peak").alias("_channel"), F.max(F.abs("total")).alias("_sum")
-    )
-    gain = F.when(F.col("_sum") > 0, F.col("_channel") / F.col("_sum")).otherwise(F.lit(1.0))
-    return summed.join(gains.select("meeting_id", gain.alias("gain")), "meeting_id").select(
-        "meeting_id", "idx", (F.col("total") * F.col("gain")).alias("value")
-    )
-
-
-def waveform_peaks(samples: DataFrame, buckets: int = WAVEFORM_BUCKETS) -> DataFrame:
-    """Peaks of the first channel in about ``buckets`` buckets, loudest scaled to 1."""
-    first = samples.where("channel = 0")
-    lengths = first.groupBy("meeting_id").agg(
-        F.greatest(F.lit(1), F.floor(F.count("*") / buckets).cast("long")).alias("_per"),
-        F.max(F.abs("value")).alias("_loudest"),
-    )
-    peaks = (
-        first.join(lengths, "meeting_id")
-        .groupBy(
-            "meeting_id",
-            F.floor(F.col("idx") / F.col("_per")).cast("long").alias("bucket"),
-            "_loudest",
-        )
-        .agg(F.max(F.abs("value")).alias("peak"))
-    )
-    return peaks.select(
-        "meeting_id",
-        "bucket",
-        F.when(F.col("_loudest") > 0, F.col("peak") / F.col("_loudest"))
-        .otherwise(F.col("peak"))
-        .alias("peak"),
-    )
-
-
 def waveform_resample(peaks: DataFrame, bars: int) -> DataFrame:
     """Peaks regrouped into exactly ``bars`` bars, each at least one bucket wide.
 

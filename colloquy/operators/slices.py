@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from colloquy.operators import blocks
 from colloquy.plans.intervals import BUCKET_SECONDS, bucket_of
 from colloquy.plans.scan import ordinal, running
 
@@ -122,40 +123,9 @@ def quietest_near(
 ) -> DataFrame:
     """Each cut moved to the quietest window within reach, the first on ties.
 
-    Only every 16th sample of a window is weighed. ``cuts(meeting_id, cut_idx,
-    cut)``, ``samples(meeting_id, idx, value)``.
+    ``cuts(meeting_id, cut_idx, cut)``, ``samples`` are one channel's blocks.
     """
-    window = max(1, int(window_seconds * rate))
-    reach, stride = int(reach_seconds * rate), max(1, window // 3)
-    lengths = samples.groupBy("meeting_id").agg((F.max("idx") + 1).alias("_n"))
-    centre = F.floor(F.col("cut") * rate).cast("long")
-    placed = cuts.join(lengths, "meeting_id", "left").withColumns(
-        {
-            "_lower": F.greatest(F.lit(0), centre - reach),
-            "_upper": F.least(F.coalesce("_n", F.lit(0)) - window, centre + reach),
-        }
-    )
-    searched = placed.where("_lower < _upper").select(
-        "meeting_id",
-        "cut_idx",
-        F.explode(F.sequence(F.col("_lower"), F.col("_upper") - 1, F.lit(stride))).alias("begin"),
-    )
-    offsets = F.array(*[F.lit(o) for o in range(0, window, QUIET_STEP)])
-    peaks = (
-        searched.withColumn("_offset", F.explode(offsets))
-        .withColumn("idx", F.col("begin") + F.col("_offset"))
-        .join(samples.select("meeting_id", "idx", "value"), ["meeting_id", "idx"])
-        .groupBy("meeting_id", "cut_idx", "begin")
-        .agg(F.max(F.abs("value")).alias("peak"))
-    )
-    best = peaks.groupBy("meeting_id", "cut_idx").agg(
-        F.min_by("begin", F.struct("peak", "begin")).alias("_begin")
-    )
-    return placed.join(best, ["meeting_id", "cut_idx"], "left").select(
-        "meeting_id",
-        "cut_idx",
-        F.coalesce((F.col("_begin") + window // 2) / F.lit(rate), F.col("cut")).alias("cut"),
-    )
+    return blocks.quietest_near(cuts, samples, rate, reach_seconds, window_seconds, QUIET_STEP)
 
 
 def slice_bounds(cuts: DataFrame, meetings: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.functions import text as tx
+from colloquy.operators.blocks import pack_frames, pack_samples
 from colloquy.plans.scan import ordinal, position_chunk, running
 from colloquy.schema import LANGUAGES, MICROPHONE, SYSTEM_AUDIO
 from colloquy.session import settle
@@ -304,6 +305,15 @@ class DriverTables:
             F.posexplode(F.array(signed, other)).alias("channel", "value"),
         )
 
+    @cached_property
+    def sample_blocks(self) -> DataFrame:
+        """The samples as they are stored: packed blocks."""
+        return self._once("sample-blocks", lambda: pack_samples(self.samples))
+
+    @cached_property
+    def frame_blocks(self) -> DataFrame:
+        return self._once("frame-blocks", lambda: pack_frames(self.frames))
+
     # -- embeddings and documents ----------------------------------------
 
     @cached_property

@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from colloquy.operators import align, sides, turns
+from colloquy.operators import align, blocks, sides, turns
 
 WORD = "meeting_id string, word_idx long, word string, start double, `end` double"
 SEGMENT = "meeting_id string, seg_idx long, speaker_id string, start double, `end` double"
@@ -145,7 +145,7 @@ def test_louder_side_wins(spark):
     ]
     df = spark.createDataFrame(frames, "meeting_id string, side string, frame long, energy double")
     words = words_of(spark, ("here", 1, 1.5), ("there", 7, 7.5), ("again", 2, 2.5), ("off", 50, 51))
-    got = sides.attribute_side(words, df).orderBy("word_idx").collect()
+    got = sides.attribute_side(words, blocks.pack_frames(df)).orderBy("word_idx").collect()
     assert [r.side for r in got] == ["microphone", "systemAudio", "microphone", "microphone"]
 
 
@@ -177,7 +177,7 @@ def test_bleed_of_a_planted_echo(spark):
         rows.append(("quiet", "systemAudio", f, 0.0))
         rows.append(("quiet", "microphone", f, speech[f]))
     df = spark.createDataFrame(rows, "meeting_id string, side string, frame long, energy double")
-    got = sides.bleed_coupling(df).collect()
+    got = sides.bleed_coupling(blocks.pack_frames(df)).collect()
     assert [r.meeting_id for r in got] == ["echo"]
     assert got[0].lag == 1 and got[0].evidence > 0.9 and -46 < got[0].offset_db < -40
 
