@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from colloquy.catalog.documents import OPEN, shout
 from colloquy.catalog.registry import DIGITS, query
 from colloquy.catalog.voices import PLACES, _numbers
-from colloquy.operators.library import newest_file
 from colloquy.schema import MICROPHONE, SYSTEM_AUDIO
 from colloquy.session import new_path
+from colloquy.sources.files import put_files, remove_files
 from colloquy.streaming import live, runs
 
 
@@ -236,28 +236,38 @@ def _(t):
 
 @query(
     "stream_ingest_library",
-    """SELECT meeting_id, title || ' v2' AS title FROM meetings WHERE conv_id % 2 = 0
-       UNION ALL SELECT meeting_id, title FROM meetings WHERE conv_id % 2 = 1""",
+    """SELECT meeting_id, title FROM meetings WHERE conv_id // 20 % 3 = 0
+       UNION ALL
+       SELECT meeting_id, title || ' v2' FROM meetings WHERE conv_id // 20 % 3 = 1 AND conv_id % 2 = 0""",
 )
 def _(t):
     folder, table = new_path(t.spark, "incoming"), new_path(t.spark, "ingested")
 
-    def put(rows, version: str) -> None:
-        rows.select(
+    def put(meetings, version: str) -> None:
+        """Files of up to twenty meetings, written anew under the same names."""
+        stored = F.struct(
             F.col("meeting_id").alias("id"),
             F.lit(1).alias("schemaVersion"),
             F.concat("title", F.lit(version)).alias("title"),
             "duration",
             "language",
-        ).write.json(f"{folder}/wave{version.strip()}")
+        )
+        named = meetings.groupBy(F.floor(F.col("conv_id") / 20).cast("string").alias("name")).agg(
+            F.array_join(F.array_sort(F.collect_list(F.to_json(stored))), "\n").alias("text")
+        )
+        put_files(named.select(F.concat("name", F.lit(".json")).alias("name"), "text"), folder)
 
+    third = F.floor(F.col("conv_id") / 20) % 3
     put(t.meetings, "")
     runs.ingest_library(t.spark, folder, table)
-    # A second wave: only its files are read, and the newest version counts.
-    put(t.meetings.where("conv_id % 2 = 0"), " v2")
+    # A third of the files changes in place and loses half its meetings, a third goes.
+    put(t.meetings.where((third == 1) & (F.col("conv_id") % 2 == 0)), " v2")
+    gone = t.meetings.where(third == 2).select(
+        F.concat(F.floor(F.col("conv_id") / 20).cast("string"), F.lit(".json")).alias("name")
+    )
+    remove_files(gone.distinct(), folder)
     runs.ingest_library(t.spark, folder, table)
-    versions = t.spark.read.parquet(table).select("meeting_id", "title", "path", "modified")
-    return newest_file(versions).select("meeting_id", "title")
+    return runs.current_library(t.spark, table).select("meeting_id", "title")
 
 
 @query(

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +32,40 @@ def digest_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def put_files(named: DataFrame, folder: str) -> None:
+    """Writes each row (name, text) as a file of that name, in place of one that is there.
+
+    A task writes beside the file and moves it when it is whole.
+    """
+
+    def put(batches):
+        files, root = fs.FileSystem.from_uri(folder)
+        files.create_dir(root, recursive=True)
+        for batch in batches:
+            for name, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist()):
+                beside = f"{root}/_{uuid.uuid4().hex}"
+                with files.open_output_stream(beside) as out:
+                    out.write(text.encode())
+                files.move(beside, f"{root}/{name}")
+            yield batch.select(["name"])
+
+    named.select("name", "text").mapInArrow(put, "name string").write.format("noop").mode("overwrite").save()
+
+
+def remove_files(names: DataFrame, folder: str) -> None:
+    """Removes the files (name) of a folder; one that is not there is no failure."""
+
+    def remove(batches):
+        files, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for name in batch["name"].to_pylist():
+                if files.get_file_info(f"{root}/{name}").type == fs.FileType.File:
+                    files.delete_file(f"{root}/{name}")
+            yield batch
+
+    names.select("name").mapInArrow(remove, "name string").write.format("noop").mode("overwrite").save()
+
+
 def _bucket(buckets: int):
     return F.pmod(F.xxhash64("meeting_id"), F.lit(buckets))
 

@@ -8,8 +8,10 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from colloquy.operators.library import newest_file
 from colloquy.operators.translate import apply_lines, translate_with, untranslated_turns
 from colloquy.session import new_path
+from colloquy.sources.changes import ChangedFiles
 from colloquy.sources.documents import STORED_MEETING
 
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -42,27 +44,29 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{path}/emitted").drop("run")
 
 
-def ingest_library(
-    spark: SparkSession, folder: str, table: str, glob: str = "*.json", files_per_batch: int = 1000
-) -> None:
-    """Reads library files not seen before into a table of versions, one batch after another.
+def ingest_library(spark: SparkSession, folder: str, table: str, glob: str = "*.json", lines: bool = True) -> None:
+    """Reads library files that are new, changed in place or gone into a table of versions.
 
-    The file source remembers paths, so a rewritten meeting needs a new file
-    name; ``current_library`` keeps the newest version. A batch repeated after a
-    failure overwrites its own rows.
+    A file holds one meeting a line, or a single one where ``lines`` is false.
+    Every version of a file leaves a row, also one without a readable meeting:
+    it supersedes what the file held before. ``current_library`` is what counts
+    now. A batch repeated after a failure overwrites its own rows.
     """
+    spark.dataSource.register(ChangedFiles)
+    files = (
+        spark.readStream.format("changed_files")
+        .option("path", folder)
+        .option("glob", glob)
+        .option("log", f"{table}-log")
+        .load()
+    )
+    text = F.decode("content", "UTF-8")
+    documents = F.split(text, "\n") if lines else F.array(text)
+    some = F.filter(documents, lambda x: F.trim(x) != "")
     stream = (
-        spark.readStream.schema(STORED_MEETING)
-        .option("recursiveFileLookup", True)
-        .option("pathGlobFilter", glob)
-        .option("maxFilesPerTrigger", files_per_batch)
-        .json(folder)
-        .select(
-            "*",
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_modification_time").alias("modified"),
-        )
-        .where("id IS NOT NULL")
+        files.select("path", "modified", F.explode_outer(some).alias("_text"))
+        .withColumn("_meeting", F.from_json("_text", STORED_MEETING))
+        .select("path", "modified", "_meeting.*")
         .withColumnRenamed("id", "meeting_id")
     )
 
@@ -78,6 +82,18 @@ def ingest_library(
     query.awaitTermination()
 
 
+def current_library(spark: SparkSession, table: str) -> DataFrame:
+    """The meetings of all files as they are now, from the table of their versions.
+
+    Of a file its last version counts, of a meeting that several files hold the
+    newest file.
+    """
+    versions = spark.read.parquet(table)
+    last = versions.groupBy("path").agg(F.max("batch").alias("batch"))
+    now = versions.join(last, ["path", "batch"]).where("meeting_id IS NOT NULL").drop("batch")
+    return newest_file(now)
+
+
 def fill_translations(
     turns: DataFrame,
     meetings: DataFrame,
