@@ -55,10 +55,6 @@ def map_rows(df: DataFrame, shape: str, each: Callable[[pa.RecordBatch], dict[st
     return df.mapInArrow(run, shape)
 
 
-def _batches_of(spark, rows: int = 256) -> None:
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def _placed(column: pa.ListArray, name: str, length: int | None = None) -> pa.ListArray:
     """Lists of (at, value) as arrays of values by place, NaN where there is none."""
     flat = column.flatten()
@@ -82,7 +78,6 @@ def pack_samples(samples: DataFrame, size: int = SAMPLES) -> DataFrame:
 
     This is where single samples are shuffled, once, as they come in.
     """
-    _batches_of(samples.sparkSession)
     place = F.struct((F.col("idx") % size).cast("int").alias("at"), F.col("value").cast("double").alias("value"))
     grouped = samples.groupBy(
         "meeting_id", F.col("channel").cast("int").alias("channel"), F.floor(F.col("idx") / size).cast("long").alias("block")
@@ -111,7 +106,6 @@ def pack_frames(frames: DataFrame, size: int = FRAMES, halo: int = HALO) -> Data
     array goes on by ``halo`` frames, so lags up to it need no other block.
     The last frames are those of the block alone, null without any.
     """
-    _batches_of(frames.sparkSession)
     own = F.floor(F.col("frame") / size).cast("long")
     early = (F.col("side") == MICROPHONE) & (F.col("frame") % size < halo) & (F.col("frame") >= size)
     blocks = F.when(early, F.array(own - 1, own)).otherwise(F.array(own))
@@ -584,7 +578,6 @@ def word_side_energy(words: DataFrame, packed: DataFrame, frame_seconds: float,
     A block's words and its frames meet once; a word is two look-ups in the
     block's summed energies on each side.
     """
-    _batches_of(words.sparkSession)
     first = F.floor(F.col("start") / F.lit(frame_seconds)).cast("long")
     last = F.floor(F.col("end") / F.lit(frame_seconds)).cast("long")
     columns = [c for c in words.columns if c != "meeting_id"]
