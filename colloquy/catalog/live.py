@@ -127,6 +127,33 @@ def _(t):
     )
 
 
+@query(
+    "stream_turns",
+    """SELECT meeting_id AS recording_id, min(word_idx) AS first_word, min(role) AS speaker_id,
+              min_by(start, word_idx) AS started, max_by("end", word_idx) AS closed, count(*) AS n_words
+       FROM (SELECT *, sum(opens) OVER (PARTITION BY meeting_id ORDER BY word_idx) AS run FROM spoken_words)
+       GROUP BY meeting_id, run""",
+    """
+spoken_words AS (
+  SELECT meeting_id, word_idx, role, start, "end",
+         CASE WHEN lag(role) OVER w IS NULL OR lag(role) OVER w <> role
+                OR start - lag("end") OVER w > CAST(1.5 AS DOUBLE) THEN 1 ELSE 0 END AS opens
+  FROM words WINDOW w AS (PARTITION BY meeting_id ORDER BY word_idx)
+)""",
+)
+def _(t):
+    words = t.words.select(
+        F.col("meeting_id").alias("recording_id"), "word_idx", F.col("role").alias("speaker_id"), "start", "end",
+        F.lit(False).alias("ended"), F.timestamp_micros((F.col("end") * 1_000_000).cast("long")).alias("ts"),
+    )
+    ends = words.groupBy("recording_id").agg(
+        (F.max("word_idx") + 1).alias("word_idx"), F.lit(True).alias("ended"), F.max("ts").alias("ts")
+    )
+    # Files hold words from everywhere, and ends that come before their words.
+    spoken = as_stream(t, words.unionByName(ends, allowMissingColumns=True), "spoken-words")
+    return runs.run_to_table(live.live_turns(spoken, delay="60 days"), "append", "turns").drop("batch")
+
+
 @query(
     "stream_meter_decay",
     """SELECT meeting_id AS recording_id, idx AS tick, round(meter, 6) AS meter FROM metered""",

@@ -44,6 +44,7 @@ ALARM_SECONDS = 4.0
 #: Seconds without a row after which a recording is over.
 FORGET_SECONDS = 86_400.0
 SESSION_GAP = "1500 milliseconds"
+TURN_GAP = 1.5
 
 
 def align_sides(
@@ -317,6 +318,123 @@ def silence_alarm(
     )
 
 
+class _Turns(StatefulProcessor):
+    """Words in their order; another speaker's word, a gap or the end closes the turn before."""
+
+    def __init__(self, gap: float, forget: float):
+        self.gap, self.forget = gap, round(forget * 1000)
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        word = [("word_idx", T.LongType()), ("speaker_id", T.StringType()), ("start", T.DoubleType()), ("end", T.DoubleType())]
+        turn = [("first", T.LongType()), ("speaker_id", T.StringType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("n", T.LongType())]
+        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(n, t) for n, t in word]))
+        self.turn = handle.getValueState("turn", T.StructType([T.StructField(n, t) for n, t in turn]))
+        place = [("next", T.LongType()), ("last", T.LongType()), ("timer", T.LongType())]
+        self.place = handle.getValueState("place", T.StructType([T.StructField(n, t) for n, t in place]))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        names = ["word_idx", "speaker_id", "start", "end"]
+        new = pd.concat(list(rows))
+        after, last, timer = self.place.get() if self.place.exists() else (0, -1, -1)
+        marks = new.loc[new["ended"], "word_idx"]
+        last = int(marks.max()) if len(marks) else last
+        words = new.loc[~new["ended"], names]
+        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=names)
+        words = (pd.concat([held, words]) if len(held) else words).sort_values("word_idx", kind="stable")
+        words = words[words["word_idx"] >= after].drop_duplicates("word_idx")
+        index = words["word_idx"].to_numpy(dtype=np.int64)
+        n = int(np.argmin(np.r_[index == after + np.arange(len(index)), False]))
+        due, rest = words[:n], words[n:]
+        turn = tuple(self.turn.get()) if self.turn.exists() else None
+        closed, turn = self._closed(turn, due)
+        after += n
+        if timer >= 0:
+            self.handle.deleteTimer(timer)
+        if after == last:  # the end has come, and all before it
+            closed += [turn] if turn else []
+            for state in (self.waiting, self.turn, self.place):
+                state.clear()
+        else:
+            seen = int(new["ts"].to_numpy().astype("datetime64[ms]").astype("int64").max()) + self.forget
+            timer = max(timer, seen)
+            self.handle.registerTimer(timer)
+            self.place.update((after, last, timer))
+            if turn:
+                self.turn.update(turn)
+            if len(rest):
+                self.waiting.put([(int(r[0]), r[1], float(r[2]), float(r[3])) for r in rest.itertuples(index=False)])
+            else:
+                self.waiting.clear()
+        if closed:
+            yield self._rows(key, closed)
+
+    def _closed(self, turn, words: pd.DataFrame):
+        """The turns that ``words`` close, and the one they leave open."""
+        if not len(words):
+            return [], turn
+        index = words["word_idx"].to_numpy(dtype=np.int64)
+        speaker = words["speaker_id"].to_numpy(dtype=object)
+        start, end = words["start"].to_numpy(dtype=float), words["end"].to_numpy(dtype=float)
+        opens = np.r_[
+            turn is None or turn[1] != speaker[0] or start[0] - turn[3] > self.gap,
+            (speaker[1:] != speaker[:-1]) | (start[1:] - end[:-1] > self.gap),
+        ]
+        first = np.flatnonzero(opens)
+        after = np.r_[first[1:], len(index)] if len(first) else first
+        lead = int(first[0]) if len(first) else len(index)
+        if lead:  # these go on with the open turn
+            turn = (turn[0], turn[1], turn[2], float(end[lead - 1]), turn[4] + lead)
+        turns = [] if turn is None else [turn]
+        turns += [
+            (int(index[a]), speaker[a], float(start[a]), float(end[b - 1]), b - a) for a, b in zip(first.tolist(), after.tolist())
+        ]
+        return turns[:-1], turns[-1]
+
+    @staticmethod
+    def _rows(key, turns: list) -> pd.DataFrame:
+        columns = ["first_word", "speaker_id", "started", "closed", "n_words"]
+        out = pd.DataFrame(turns, columns=columns).astype(
+            {"first_word": "int64", "speaker_id": "object", "started": "float64", "closed": "float64", "n_words": "int64"}
+        )
+        out.insert(0, "recording_id", pd.Series([key[0]] * len(out), dtype=object))
+        return out
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        turn = tuple(self.turn.get()) if self.turn.exists() else None
+        held = pd.DataFrame(
+            list(self.waiting.get()) if self.waiting.exists() else [], columns=["word_idx", "speaker_id", "start", "end"]
+        ).sort_values("word_idx")
+        closed, turn = self._closed(turn, held)  # also words that waited for one that never came
+        for state in (self.waiting, self.turn, self.place):
+            state.clear()
+        closed += [turn] if turn else []
+        if closed:
+            yield self._rows(key, closed)
+
+    def close(self) -> None:
+        pass
+
+
+def live_turns(
+    words: DataFrame, gap: float = TURN_GAP, delay: str = "10 seconds", forget: float = FORGET_SECONDS
+) -> DataFrame:
+    """Turns as they close: the runs of one speaker's words without a gap, exactly.
+
+    ``(recording_id, word_idx, speaker_id, start, end, ended, ts)``, words
+    numbered from 0 and in any order of arrival within ``delay``; a row with
+    ``ended`` has the number of words as its index and ends the recording.
+    Without it, a recording's open turn closes and its state goes when the
+    watermark is ``forget`` seconds past its last row.
+    """
+    return words.withWatermark("ts", delay).groupBy("recording_id").transformWithStateInPandas(
+        statefulProcessor=_Turns(gap, forget),
+        outputStructType="recording_id string, first_word long, speaker_id string, started double, closed double, n_words long",
+        outputMode="append",
+        timeMode="EventTime",
+    )
+
+
 class _Enrol(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         voice = T.StructType(

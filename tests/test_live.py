@@ -70,3 +70,34 @@ def test_a_frame_has_one_row_however_late_its_other_side(spark, tmp_path):
     rows = runs.run_to_table(padded, "update", "padded-test")
     last = rows.groupBy("recording_id", "frame").agg(F.max("microphone"), F.max("system")).collect()
     assert [tuple(r) for r in last] == [("a", 1, 0.5, 0.25)]
+
+
+def test_turns_close_exactly_and_state_ends(spark, tmp_path):
+    rng = random.Random(6)
+    words, at = [], 0.0
+    for k in range(90):
+        at += rng.choice([0.1, 0.2, 2.5])
+        words.append(("a", k, rng.choice(["x", "x", "x", "y"]), at, at + 0.1, False))
+    rows = words + [("a", 90, None, None, None, True), ("gone", 0, "x", 0.0, 1.0, False), ("gone", 2, "y", 9.0, 9.5, False)]
+    shape = "recording_id string, word_idx long, speaker_id string, start double, `end` double, ended boolean"
+    df = spark.createDataFrame(rows, shape).withColumn("ts", F.timestamp_seconds(F.lit(1_000)))
+    path = str(tmp_path / "words")
+    for k in (2, 0, 1):
+        df.where(F.col("word_idx") % 3 == k).coalesce(1).write.mode("append").parquet(path)
+    # Two days later: the recording that never ended is over.
+    late = spark.createDataFrame([("late", 1, "x", 0.0, 1.0, False)], shape)
+    for day in (2, 3):
+        late.withColumn("ts", F.timestamp_seconds(F.lit(1_000 + day * 86_400))).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    got = runs.run_to_table(live.live_turns(stream), "append", "turns-test").collect()
+    want = []
+    for _, k, who, start, end, _ in words:
+        if want and want[-1][1] == who and start - want[-1][3] <= 1.5:
+            want[-1] = (*want[-1][:3], end, want[-1][4] + 1)
+        else:
+            want.append((k, who, start, end, 1))
+    found = sorted((r.first_word, r.speaker_id, r.started, r.closed, r.n_words) for r in got if r.recording_id == "a")
+    assert found == want
+    gone = sorted((r.first_word, r.speaker_id, r.n_words) for r in got if r.recording_id == "gone")
+    assert gone == [(0, "x", 1), (2, "y", 1)]  # without an end, the second without the word before
+    assert not [r for r in got if r.recording_id == "late"]  # waits for its first word
