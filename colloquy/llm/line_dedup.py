@@ -150,35 +150,42 @@ def deduplicate_lines(
     prepare(docs.sparkSession)
     lost = repeated_lines(docs, min_chars, min_docs, batches, fanout)
     own = docs if texts else docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    both = own.join(lost, "doc_id", "left").select(*own.columns, "_dropped")
-    names = own.columns
+    place = {n: f"_{k}" for k, n in enumerate(own.columns)}  # no clash with what is added
+    names = list(place.values())
+    doc_id, text_, n_chars = place["doc_id"], place["text"], place.get("n_chars")
+    both = (
+        own.toDF(*names)
+        .join(lost.select(F.col("doc_id").alias(doc_id), "_dropped"), doc_id, "left")
+        .select(*names, "_dropped")
+    )
 
     def drop(batches_):
         for batch in batches_:
             rows = [
                 without(text, set(dropped or ()), min_chars)
-                for text, dropped in zip(batch["text"].to_pylist(), batch["_dropped"].to_pylist())
+                for text, dropped in zip(batch[text_].to_pylist(), batch["_dropped"].to_pylist())
             ]
             if texts:
                 columns = {n: batch[n] for n in names}
-                olds = batch["text"].to_pylist()
+                olds = batch[text_].to_pylist()
                 news = [old if not n else new for old, (_, n, new) in zip(olds, rows)]
-                columns["text"] = pa.array(news, pa.string())
-                if "n_chars" in columns:
-                    olds = columns["n_chars"].to_pylist()
+                columns[text_] = pa.array(news, pa.string())
+                if n_chars:
+                    olds = columns[n_chars].to_pylist()
                     news = [len(new) if n else old for old, (_, n, new) in zip(olds, rows)]
-                    columns["n_chars"] = pa.array(news, columns["n_chars"].type)
+                    columns[n_chars] = pa.array(news, columns[n_chars].type)
                 yield pa.RecordBatch.from_pydict(columns)
             else:
                 digests = [hashlib.sha256(kept.encode()).hexdigest() for _, _, kept in rows]
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "doc_id": batch["doc_id"],
+                        "doc_id": batch[doc_id],
                         "n_lines": pa.array([r[0] for r in rows], pa.int64()),
                         "n_dropped": pa.array([r[1] for r in rows], pa.int64()),
                         "kept_sha256": pa.array(digests, pa.string()),
                     }
                 )
 
-    shape = own.schema if texts else "doc_id long, n_lines long, n_dropped long, kept_sha256 string"
-    return both.mapInArrow(drop, shape)
+    if texts:
+        return both.mapInArrow(drop, own.toDF(*names).schema).toDF(*own.columns)
+    return both.mapInArrow(drop, "doc_id long, n_lines long, n_dropped long, kept_sha256 string")

@@ -42,5 +42,15 @@ def test_texts_keep_all_columns(make_docs):
     assert got[0]["text"] == "own 0" and got[5]["text"] == f"{line}\nown 5" and got[0]["word"] == "c"
 
 
+def test_columns_named_like_those_inside(spark):
+    line = "a line that is quite long, longer than forty characters"
+    rows = [(k, f"{line}\nown {k}", "x", b"y", k, len(line) + 6) for k in range(6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _dropped string, key binary, _0 long, n_chars long")
+    out = deduplicate_lines(docs)
+    got = {r["doc_id"]: r for r in by_id(out)}
+    assert out.columns == docs.columns
+    assert got[1] == {"doc_id": 1, "text": "own 1", "_dropped": "x", "key": b"y", "_0": 1, "n_chars": 5}
+
+
 def test_no_documents(make_docs):
     assert deduplicate_lines(make_docs([])).collect() == []
