@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -109,6 +110,30 @@ _SUMMARY = (
 )
 
 
+def _last_breaks(times: np.ndarray) -> np.ndarray:
+    """The last sentence start that a turn beginning at each of them leads to.
+
+    A turn breaks at the first later start that is more than the limit after
+    its own. From right to left only starts later than all before them can be
+    that; they lie on a stack, the nearest and earliest on top, and the break is
+    found there by bisection.
+    """
+    exits = np.arange(len(times))
+    stack, place = [], []  # times, falling, and where they are
+    for j, began in reversed(list(enumerate(times.tolist()))):
+        found = bisect.bisect_left(stack, True, key=lambda t: not t - began > LONG_TURN_SECONDS)
+        if found:
+            exits[j] = exits[place[found - 1]]
+        if began != began:  # without a time it breaks nothing
+            continue
+        while stack and stack[-1] <= began:
+            stack.pop()
+            place.pop()
+        stack.append(began)
+        place.append(j)
+    return exits
+
+
 def _summarise_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     """What a chunk does to the state: a constant, or steps in the entry turn's start.
 
@@ -124,14 +149,9 @@ def _summarise_chunk(rows: pd.DataFrame) -> pd.DataFrame:
     hard = (who[1:] != who[:-1]) | (start[1:] - until[:-1] > PAUSE_SECONDS)
     hard_at = np.flatnonzero(hard) + 1
     base = int(hard_at[-1]) if len(hard_at) else 0
-    places = np.array([p for p in range(base + 1, len(rows)) if stops[p - 1]], dtype=int)
+    places = np.flatnonzero(stops[base:-1]) + base + 1
     times = start[places]
-
-    exits = np.arange(len(places))
-    for j in range(len(places) - 1, -1, -1):
-        later = np.flatnonzero(times[j + 1 :] - times[j] > LONG_TURN_SECONDS)
-        if len(later):
-            exits[j] = exits[j + 1 + later[0]]
+    exits = _last_breaks(times)
 
     def leave(began: float, position: int) -> tuple[float, int]:
         later = np.flatnonzero(times - began > LONG_TURN_SECONDS)

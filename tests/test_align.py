@@ -1,7 +1,9 @@
 """Word alignment and turns against plain loops, chunk borders included."""
 
 import random
+import time
 
+import numpy as np
 import pytest
 
 from colloquy.operators import align, blocks, sides, turns
@@ -181,3 +183,18 @@ def test_bleed_of_a_planted_echo(spark):
     assert [r.meeting_id for r in got] == ["echo"]
     assert got[0].lag == 1 and got[0].evidence > 0.9 and -46 < got[0].offset_db < -40
 
+
+def test_breaks_in_one_pass():
+    rng = random.Random(8)
+    for size in (0, 1, 2, 90):
+        times = np.cumsum([rng.choice([0.5, 9.0, 31.0, -40.0, 0.0]) for _ in range(size)])
+        times[rng.sample(range(size), size // 9)] = np.nan
+        want = list(range(size))
+        for j in range(size - 1, -1, -1):
+            later = [i for i in range(j + 1, size) if times[i] - times[j] > 30]
+            want[j] = want[later[0]] if later else j
+        assert turns._last_breaks(times).tolist() == want
+    began = time.monotonic()
+    turns._last_breaks(np.arange(65_536) * 0.001)
+    turns._last_breaks(np.arange(65_536)[::-1] * 0.001)
+    assert time.monotonic() - began < 2
