@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, Window
@@ -22,6 +24,12 @@ SUGGESTION_DISTANCE = 0.45
 PROFILE_BLOCK = 512
 PROFILE_SALTS = 32
 
+#: People whose directions divide the others, at most.
+PIVOTS = 64
+#: Width of a ring around a pivot, and what rounding may cost an angle.
+RING = np.pi / 18
+ANGLE_SLACK = 1e-6
+
 
 def _mean(vector: Column, weight: Column) -> Column:
     """Weighted mean of equally wide vectors, as an aggregate."""
@@ -375,39 +383,90 @@ def merge_profiles(profiles: DataFrame, merges: DataFrame, at: Column | None = N
     return now
 
 
-def suggest_profile(
-    speakers: DataFrame, profiles: DataFrame, limit: float = SUGGESTION_DISTANCE
-) -> DataFrame:
-    """The nearest enrolled person of each voice within ``limit``, first enrolled on ties.
+def _angles(pivots: list[list[float]]) -> Callable[[Column], Column]:
+    """Angles of a vector to each pivot, null where the widths differ."""
+    table = [np.asarray(p) / np.linalg.norm(p) for p in pivots]
+
+    @F.pandas_udf("array<double>")
+    def measured(vectors: pd.Series) -> pd.Series:
+        out = []
+        for v in vectors:
+            own = np.asarray([] if v is None else v, dtype=np.float64)
+            with np.errstate(all="ignore"):
+                own = own / np.linalg.norm(own)
+            out.append([np.arccos(np.clip(p @ own, -1, 1)) if len(p) == len(own) else None for p in table])
+        return pd.Series(out)
+
+    return measured
+
+
+def _nearest_pivot(angles: Column) -> Column:
+    """(angle, i) of the nearest pivot, null where none has the width."""
+    numbered = F.transform(angles, lambda a, i: F.struct(a.alias("angle"), i.alias("i")))
+    return F.array_min(F.filter(numbered, lambda x: x["angle"].isNotNull()))
+
+
+def _reach(distance: Column) -> Column:
+    """The angle within which a cosine distance of at most ``distance`` lies."""
+    cosine = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), 1.0 - distance))
+    return F.acos(cosine) + ANGLE_SLACK
+
+
+def _has_direction(vector: Column) -> Column:
+    length = vec.norm(vector)
+    return (length > 0) & (length < float("inf"))
+
+
+def _indexed_people(profiles: DataFrame) -> tuple[DataFrame, list[tuple[int, int, int]], list[list[float]]]:
+    """People packed by (pivot, ring, block), the blocks of each (pivot, ring), and the pivots.
 
-    Profiles are packed into blocks of about PROFILE_BLOCK. Every voice meets each
-    block once by an equi-join on the block number and a salt, and the best of
-    all blocks wins.
+    The pivots are at most PIVOTS people, those of the least hashes. A person
+    belongs to the nearest pivot and to the ring its angle falls in; one whose
+    width no pivot has belongs to pivot -1.
     """
-    # One row; the plan is the same for any number of people.
-    size = profiles.agg(F.greatest(F.lit(1), F.ceil(F.count("*") / PROFILE_BLOCK)).cast("int").alias("_blocks"))
-    size = F.broadcast(size)
-    entry = F.struct(
+    people = profiles.select(
         F.col("profile_pos").alias("pos"),
         "profile_id",
         "name",
         F.transform("embedding", lambda x: x.cast("double")).alias("vector"),
         vec.norm(F.col("embedding")).alias("norm"),
-    )
+    ).where(_has_direction(F.col("embedding")))
+    count = profiles.count()
+    wanted = min(PIVOTS, count // PROFILE_BLOCK)
+    if wanted == 0:
+        pivots = []
+        cells = [(-1, 0, 1)]
+        placed = people.withColumns({"_pivot": F.lit(-1), "_ring": F.lit(0)})
+    else:
+        first = people.orderBy(F.xxhash64("profile_id"), "profile_id").limit(wanted)
+        pivots = [r.vector for r in first.select("vector").collect()]
+        placed = (
+            people.withColumn("_angles", _angles(pivots)(F.col("vector")))
+            .withColumn("_near", _nearest_pivot(F.col("_angles")))
+            .withColumns(
+                {
+                    "_pivot": F.coalesce("_near.i", F.lit(-1)),
+                    "_ring": F.coalesce(F.floor(F.col("_near.angle") / RING).cast("int"), F.lit(0)),
+                }
+            )
+            .drop("_angles", "_near")
+        )
+        placed = settle(placed, "people")
+        held = placed.groupBy("_pivot", "_ring").agg(F.ceil(F.count("*") / PROFILE_BLOCK).cast("int").alias("n"))
+        cells = sorted((r["_pivot"], r["_ring"], r["n"]) for r in held.collect())  # at most 18 rings a pivot
+    sizes = placed.sparkSession.createDataFrame(cells, "_pivot int, _ring int, _blocks int")
     packed = (
-        profiles.crossJoin(size)
+        placed.join(F.broadcast(sizes), ["_pivot", "_ring"])
         .withColumn("_block", F.pmod(F.xxhash64("profile_id"), F.col("_blocks")).cast("int"))
-        .groupBy("_block")
-        .agg(F.collect_list(entry).alias("_people"))
+        .groupBy("_pivot", "_ring", "_block")
+        .agg(F.collect_list(F.struct("pos", "profile_id", "name", "vector", "norm")).alias("_people"))
         .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(PROFILE_SALTS - 1))))
     )
-    faced = (
-        speakers.crossJoin(size)
-        .withColumn("_salt", F.pmod(F.xxhash64("meeting_id", "speaker_id"), F.lit(PROFILE_SALTS)).cast("int"))
-        .withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1)))
-        .join(packed, ["_block", "_salt"], "left")
-    )
-    own = vec.norm(F.col("embedding"))
+    return packed, cells, pivots
+
+
+def _compared(voices: DataFrame, packed: DataFrame, probed: Column) -> DataFrame:
+    """Each voice with the best person of the cells ``probed`` and of ``_best`` before."""
     voice = F.col("embedding")
 
     def measured(person: Column) -> Column:
@@ -424,11 +483,95 @@ def suggest_profile(
             person["name"].alias("name"),
         )
 
-    nearest = (
-        faced.withColumn("_norm", own)
-        .withColumn("_best", F.array_min(F.transform("_people", measured)))
-        .select("meeting_id", "speaker_id", "_best")
+    def blocks(cell: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), cell["_blocks"] - 1),
+            lambda b: F.struct(cell["_pivot"].alias("_pivot"), cell["_ring"].alias("_ring"), b.alias("_block")),
+        )
+
+    faced = (
+        voices.withColumn("_probe", F.explode_outer(F.flatten(F.transform(probed, blocks))))
+        .select("*", "_probe.*")
+        .withColumn("_salt", F.pmod(F.xxhash64("meeting_id", "speaker_id"), F.lit(PROFILE_SALTS)).cast("int"))
+        .join(packed, ["_pivot", "_ring", "_block", "_salt"], "left")
     )
+    found = F.array_min(F.transform("_people", measured))
+    return (
+        faced.withColumns(
+            {
+                "_found": F.least(found, F.col("_best")),
+                "_n": F.when(F.col("_people").isNotNull(), F.size("_people")).otherwise(0),
+            }
+        )
+        .groupBy("meeting_id", "speaker_id", "embedding")
+        .agg(
+            F.any_value("_norm").alias("_norm"),
+            F.any_value("_angles").alias("_angles"),
+            F.min("_found").alias("_best"),
+            (F.any_value("_pairs") + F.sum("_n")).alias("_pairs"),
+        )
+    )
+
+
+def _nearest_people(speakers: DataFrame, profiles: DataFrame, limit: float) -> DataFrame:
+    """The best person of each voice among those the limit leaves possible, and the pairs compared."""
+    packed, cells, pivots = _indexed_people(profiles)
+    spark = speakers.sparkSession
+    index = spark.createDataFrame([(cells,)], "_cells array<struct<_pivot int, _ring int, _blocks int>>")
+    angles = _angles(pivots)(F.col("embedding")) if pivots else F.array().cast("array<double>")
+    best = "struct<distance: double, pos: {}, profile_id: {}, name: {}>".format(
+        *(profiles.schema[c].dataType.simpleString() for c in ("profile_pos", "profile_id", "name"))
+    )
+    voices = speakers.select("meeting_id", "speaker_id", "embedding").withColumns(
+        {
+            "_norm": vec.norm(F.col("embedding")),
+            "_angles": angles,
+            "_best": F.lit(None).cast(best),
+            "_pairs": F.lit(0).cast("long"),
+        }
+    )
+
+    def within(cell: Column, reach: Column) -> Column:
+        angle = F.get(F.col("_angles"), cell["_pivot"])
+        return (angle + reach >= cell["_ring"] * RING) & (angle - reach < (cell["_ring"] + 1) * RING)
+
+    home = F.coalesce(_nearest_pivot(F.col("_angles"))["i"], F.lit(-1))
+
+    def asked(rows: DataFrame, others: bool) -> DataFrame:
+        bound = F.least(F.lit(float(limit)), F.coalesce(F.col("_best.distance"), F.lit(float(limit))))
+
+        def wanted(cell: Column) -> Column:
+            near = within(cell, F.col("_reach"))
+            if others:
+                return F.col("_direction") & (cell["_pivot"] >= 0) & (cell["_pivot"] != F.col("_home")) & near
+            return F.col("_direction") & ((cell["_pivot"] < 0) | ((cell["_pivot"] == F.col("_home")) & near))
+
+        ready = (
+            rows.crossJoin(F.broadcast(index))  # one row
+            .withColumns({"_direction": _has_direction(F.col("embedding")), "_home": home, "_reach": _reach(bound)})
+            .withColumn("_probes", F.filter("_cells", wanted))
+            .drop("_cells", "_direction", "_home", "_reach")
+        )
+        return _compared(ready, packed, F.col("_probes"))
+
+    nearest = asked(voices, others=False)
+    return asked(nearest, others=True) if pivots else nearest
+
+
+def suggest_profile(
+    speakers: DataFrame, profiles: DataFrame, limit: float = SUGGESTION_DISTANCE
+) -> DataFrame:
+    """The nearest enrolled person of each voice within ``limit``, first enrolled on ties.
+
+    A cosine distance is an angle, and angles keep the triangle inequality: a
+    person whose angle to a pivot differs from the voice's by more than the angle
+    of the limit is too far. So people are kept by nearest pivot and ring around
+    it, and a voice meets, by a salted equi-join, the rings of its own pivot
+    within reach first, then those of the others within reach of the best it has.
+    Up to PROFILE_BLOCK people are one block without pivots. The result is the
+    same as of comparing all; ``limit`` is at most 2.
+    """
+    nearest = _nearest_people(speakers, profiles, limit)
     nearest = nearest.groupBy("meeting_id", "speaker_id").agg(F.min("_best").alias("_best"))
     near = F.col("_best.distance") <= limit
     return nearest.select(
@@ -440,6 +583,15 @@ def suggest_profile(
     )
 
 
+def suggestion_work(
+    speakers: DataFrame, profiles: DataFrame, limit: float = SUGGESTION_DISTANCE
+) -> DataFrame:
+    """One row: pairs of a voice and a person that suggestions compare."""
+    return _nearest_people(speakers, profiles, limit).agg(
+        F.coalesce(F.sum("_pairs"), F.lit(0)).alias("compared")
+    )
+
+
 def profile_detail(sample_count: Column, updated_at: Column) -> Column:
     meetings = F.when(sample_count == 1, F.lit("1 recording")).otherwise(
         F.concat(sample_count.cast("string"), F.lit(" recordings"))

@@ -207,6 +207,41 @@ def test_suggestions_do_not_depend_on_blocks(spark, monkeypatch):
     assert split["none"] is None and split["odd"] is None and any(split.values())
 
 
+def test_suggestions_by_pivots_are_those_of_all_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    hubs = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
+    near = lambda spread: [x + rng.gauss(0, spread) for x in rng.choice(hubs)]
+    people = [(i, f"p{i:03}", f"n{i}", near(0.1)) for i in range(300)]
+    people += [(300, "q", "again", people[7][3]), (301, "zero", "z", [0.0] * 16), (302, "none", "z", None)]
+    people += [(303, "narrow", "w", [1.0, 2.0]), (304, "big", "b", [float("inf")] * 16)]
+    voices = [("m", f"s{i}", near(0.2)) for i in range(80)] + [("m", f"far{i}", [rng.gauss(0, 1) for _ in range(16)]) for i in range(40)]
+    voices += [("m", "same", people[7][3]), ("m", "zero", [0.0] * 16), ("m", "none", None), ("m", "two", [1.0, 2.1]), ("m", "one", [1.0])]
+    df = spark.createDataFrame(voices, "meeting_id string, speaker_id string, embedding array<double>")
+    pf = spark.createDataFrame(people, "profile_pos int, profile_id string, name string, embedding array<double>")
+
+    def best(v):
+        if not v or not any(v):
+            return None
+        found = []
+        for pos, pid, _, p in people:
+            if p and len(p) == len(v) and any(p) and pid != "big":
+                dot = sum(a * b for a, b in zip(v, p))
+                found.append((round(1 - dot / (sum(a * a for a in v) ** 0.5 * sum(a * a for a in p) ** 0.5), 9), pos, pid))
+        d, _, pid = min(found, default=(9, 0, None))
+        return pid if d <= 0.45 else None
+
+    want = {s: best(v) for _, s, v in voices}
+    monkeypatch.setattr(speakers, "PROFILE_BLOCK", 10)
+    assert {r.speaker_id: r.profile_id for r in speakers.suggest_profile(df, pf).collect()} == want
+    assert want["same"] == "p007" and want["two"] == "narrow" and any(v is None for k, v in want.items() if k.startswith("far"))
+    compared = speakers.suggestion_work(df, pf).first().compared
+    assert 0 < compared < 0.4 * len(people) * len(voices)
+    monkeypatch.setattr(speakers, "PROFILE_BLOCK", 1000)
+    assert {r.speaker_id: r.profile_id for r in speakers.suggest_profile(df, pf).collect()} == want
+    none = speakers.suggest_profile(df, pf.limit(0)).collect()
+    assert len(none) == len(voices) and all(r.profile_id is None for r in none)
+
+
 def test_four_pairs_are_refused(spark):
     from colloquy.schema import language_pairs
 
