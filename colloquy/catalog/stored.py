@@ -10,6 +10,7 @@ from colloquy.schema import languages
 from colloquy.session import new_path
 from colloquy.sources import documents as docs
 from colloquy.sources import files as file_sources
+from colloquy.sources import versions
 
 # -- files -----------------------------------------------------------------------
 
@@ -193,6 +194,104 @@ def _(t):
     return file_sources.read_snapshot(t.spark, path).select("meeting_id", "lang")
 
 
+@query(
+    "store_versions",
+    """SELECT 'second' AS version, meeting_id, lang FROM second UNION ALL
+       SELECT 'newest', meeting_id, CASE WHEN doc_id % 4 = 0 THEN 'again' ELSE lang END FROM (
+         SELECT meeting_id, doc_id, lang FROM second UNION
+         SELECT meeting_id, doc_id, 'new' FROM library WHERE doc_id % 4 = 0
+           AND meeting_id NOT IN (SELECT meeting_id FROM second)) WHERE doc_id % 11 <> 3""",
+    """
+second AS (
+  SELECT meeting_id, doc_id, CASE WHEN doc_id % 7 = 0 THEN 'changed' ELSE lang END AS lang FROM library
+  WHERE doc_id % 5 <> 1 AND (doc_id % 3 <> 2 OR doc_id % 7 = 0)
+)""",
+)
+def _(t):
+    # Two changes, then buckets with more than one to merge are compacted; the second version is still there.
+    rows = t.library.select("meeting_id", "doc_id", "lang")
+    root = new_path(t.spark, "store")
+    versions.create_store(rows.where("doc_id % 3 <> 2"), root, buckets=8)
+    ids = rows.select("doc_id", "meeting_id")
+    changes = rows.where("doc_id % 7 = 0").withColumn("lang", F.lit("changed"))
+    second = versions.commit(root, changes, ids.where("doc_id % 5 = 1"))
+    again = rows.where("doc_id % 4 = 0").withColumn("lang", F.lit("again"))
+    versions.commit(root, again, ids.where("doc_id % 11 = 3"))
+    versions.compact(t.spark, root, most_changes=1)
+
+    def read(name, number=None):
+        found = versions.read_store(t.spark, root, number)
+        return found.select(F.lit(name).alias("version"), "meeting_id", "lang")
+
+    return read("second", second.number).unionByName(read("newest"))
+
+
+# -- trees of real files ---------------------------------------------------------------
+
+TREE = """
+tree AS (
+  SELECT source, lang, source || '/' || lang || '/' || doc_id || '.txt' AS path, doc_id,
+         strlen(text) AS length, sha256(text) AS digest FROM library
+)"""
+
+#: Bytes read at a time in these queries: many files are longer.
+SMALL_PIECE = 4096
+
+
+def tree(t) -> str:
+    """A folder of one file per document, by source and language."""
+    path = new_path(t.spark, "tree")
+    name = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt"))
+    file_sources.put_files(t.library.select(name.alias("name"), "text"), path)
+    return path
+
+
+@query("file_digests", "SELECT path, length, digest FROM tree", TREE)
+def _(t):
+    root = tree(t)
+    found = file_sources.digest_files(t.spark, root, SMALL_PIECE)
+    return found.select(file_sources.below(F.col("path"), root).alias("path"), "length", "digest")
+
+
+@query(
+    "tree_bytes",
+    """SELECT folder, CAST(sum(length) AS BIGINT) AS bytes, count(*) AS files FROM (
+         SELECT unnest([source, source || '/' || lang]) AS folder, length FROM tree) GROUP BY 1""",
+    TREE,
+)
+def _(t):
+    root = tree(t)
+    listed = file_sources.list_files(t.spark, root)
+    return library.folder_bytes(listed.select(file_sources.below(F.col("path"), root).alias("path"), "length"))
+
+
+@query(
+    "tree_audit",
+    """SELECT coalesce(f.path, w.path) AS path, component,
+              CASE WHEN w.path IS NULL THEN 'unlisted' WHEN f.path IS NULL THEN 'missing'
+                   WHEN doc_id % 50 = 3 THEN 'changed' ELSE 'ok' END AS status
+       FROM (SELECT path FROM tree WHERE doc_id % 10 <> 4) f
+       FULL JOIN (SELECT path, doc_id, source || '-' || lang AS component FROM tree WHERE doc_id % 9 <> 5) w
+         ON f.path = w.path""",
+    TREE,
+)
+def _(t):
+    # Files that were removed, changed in place, or are not in the manifest.
+    root = tree(t)
+    name = F.concat(F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string")), F.lit(".txt"))
+    manifest = t.library.where("doc_id % 9 <> 5").select(
+        F.concat_ws("-", "source", "lang").alias("component"),
+        name.alias("path"),
+        F.sha2(F.col("text").cast("binary"), 256).alias("expected"),
+    )
+    named = t.library.select("doc_id", name.alias("name"), F.concat("text", F.lit("!")).alias("text"))
+    file_sources.put_files(named.where("doc_id % 50 = 3"), root)
+    file_sources.remove_files(named.where("doc_id % 10 = 4"), root)
+    found = file_sources.digest_files(t.spark, root, SMALL_PIECE)
+    stored = found.select(file_sources.below(F.col("path"), root).alias("path"), "digest")
+    return library.checksum_audit(stored, manifest)
+
+
 # -- folders and order ---------------------------------------------------------------
 
 

@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
 import uuid
 
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.library import upserted
 from colloquy.session import new_path
 
+#: Bytes of a file that are in memory at a time.
+PIECE_BYTES = 4 << 20
+
 
 def list_files(spark: SparkSession, folder: str) -> DataFrame:
     """Paths and sizes of a tree; the content column is pruned, so nothing is read."""
@@ -22,27 +28,64 @@ def list_files(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def digest_files(spark: SparkSession, folder: str) -> DataFrame:
-    """SHA-256 of every file of a tree."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", F.sha2("content", 256).alias("digest"))
-    )
+def _absolute(uri: str) -> str:
+    """A URI's path, without scheme and host."""
+    return re.sub(r"^[^:/]+:(//[^/]*)?", "", uri).rstrip("/")
+
+
+def below(path: Column, folder: str) -> Column:
+    """A listed path as it lies below the folder that was listed."""
+    plain = F.regexp_replace(path, r"^[^:/]+:(//[^/]*)?", "")
+    return F.substring(plain, len(_absolute(folder)) + 2, 1 << 30)
+
+
+def digest_files(spark: SparkSession, folder: str, piece: int = PIECE_BYTES) -> DataFrame:
+    """SHA-256 and length of every file of a tree: path, digest, length.
+
+    Tasks get names, dealt by hash, and read the files in pieces of ``piece``
+    bytes, so no file is ever a row or whole in memory. A digest runs through its
+    file from front to back: a file is one task's work, however long.
+    """
+    listed = list_files(spark, folder).select("path", below(F.col("path"), folder).alias("name"))
+    # A number that is given is kept: names are few bytes, and would be coalesced.
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def digest(batches):
+        files, root = fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            digests, lengths = [], []
+            for name in batch["name"].to_pylist():
+                state, length = hashlib.sha256(), 0
+                with files.open_input_stream(f"{root}/{name}", buffer_size=0) as source:
+                    while read := source.read(piece):
+                        state.update(read)
+                        length += len(read)
+                digests.append(state.hexdigest())
+                lengths.append(length)
+            yield pa.RecordBatch.from_arrays(
+                [batch["path"], pa.array(digests, pa.string()), pa.array(lengths, pa.int64())],
+                ["path", "digest", "length"],
+            )
+
+    return listed.repartition(tasks, "name").mapInArrow(digest, "path string, digest string, length long")
 
 
 def put_files(named: DataFrame, folder: str) -> None:
     """Writes each row (name, text) as a file of that name, in place of one that is there.
 
-    A task writes beside the file and moves it when it is whole.
+    A task writes beside the file and moves it when it is whole. A name may have
+    folders in it.
     """
 
     def put(batches):
         files, root = fs.FileSystem.from_uri(folder)
-        files.create_dir(root, recursive=True)
+        made = set()
         for batch in batches:
             for name, text in zip(batch["name"].to_pylist(), batch["text"].to_pylist()):
+                parent = f"{root}/{name}".rpartition("/")[0]
+                if parent not in made:
+                    files.create_dir(parent, recursive=True)
+                    made.add(parent)
                 beside = f"{root}/_{uuid.uuid4().hex}"
                 with files.open_output_stream(beside) as out:
                     out.write(text.encode())
