@@ -3,40 +3,57 @@
 from __future__ import annotations
 
 import hashlib
-import re
 import uuid
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from colloquy.operators.library import upserted
-from colloquy.session import new_path
+from colloquy.session import new_path, settle
 
 #: Bytes of a file that are in memory at a time.
 PIECE_BYTES = 4 << 20
 
 
-def list_files(spark: SparkSession, folder: str) -> DataFrame:
-    """Paths and sizes of a tree; the content column is pruned, so nothing is read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", True)
-        .load(folder)
-        .select("path", "length", F.col("modificationTime").alias("modified"))
-    )
+def _tasks(spark: SparkSession) -> int:
+    # A number that is given is kept: names are few bytes, and would be coalesced.
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _absolute(uri: str) -> str:
-    """A URI's path, without scheme and host."""
-    return re.sub(r"^[^:/]+:(//[^/]*)?", "", uri).rstrip("/")
+def list_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Files of a tree, empty ones too: path below the folder, length, modified.
 
+    (Spark's file sources leave out empty files.) Executors list the folders of
+    one depth at a time. Names that begin with a dot or an underscore are not listed.
+    """
 
-def below(path: Column, folder: str) -> Column:
-    """A listed path as it lies below the folder that was listed."""
-    plain = F.regexp_replace(path, r"^[^:/]+:(//[^/]*)?", "")
-    return F.substring(plain, len(_absolute(folder)) + 2, 1 << 30)
+    def listing(batches):
+        files, root = fs.FileSystem.from_uri(folder)
+        root = root.rstrip("/")
+        for batch in batches:
+            for at in batch["path"].to_pylist():
+                found = files.get_file_info(fs.FileSelector(f"{root}/{at}".rstrip("/")))
+                found = [f for f in found if not f.base_name.startswith((".", "_"))]
+                changed = pa.array([f.mtime_ns // 1000 for f in found], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array([f"{at}/{f.base_name}".lstrip("/") for f in found], pa.string()),
+                        pa.array([f.type == fs.FileType.Directory for f in found], pa.bool_()),
+                        pa.array([f.size for f in found], pa.int64()),
+                        changed.cast(pa.timestamp("us", "UTC")),
+                    ],
+                    ["path", "is_folder", "length", "modified"],
+                )
+
+    schema = "path string, is_folder boolean, length long, modified timestamp"
+    folders, found = spark.createDataFrame([("",)], "path string"), None
+    while found is None or not folders.isEmpty():
+        level = settle(folders.repartition(_tasks(spark), "path").mapInArrow(listing, schema), "listing")
+        found = level if found is None else found.unionByName(level)
+        folders = level.where("is_folder").select("path")
+    return found.where(~F.col("is_folder")).drop("is_folder")
 
 
 def digest_files(spark: SparkSession, folder: str, piece: int = PIECE_BYTES) -> DataFrame:
@@ -46,15 +63,14 @@ def digest_files(spark: SparkSession, folder: str, piece: int = PIECE_BYTES) ->
     bytes, so no file is ever a row or whole in memory. A digest runs through its
     file from front to back: a file is one task's work, however long.
     """
-    listed = list_files(spark, folder).select("path", below(F.col("path"), folder).alias("name"))
-    # A number that is given is kept: names are few bytes, and would be coalesced.
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    listed = list_files(spark, folder).select("path")
 
     def digest(batches):
         files, root = fs.FileSystem.from_uri(folder)
+        root = root.rstrip("/")
         for batch in batches:
             digests, lengths = [], []
-            for name in batch["name"].to_pylist():
+            for name in batch["path"].to_pylist():
                 state, length = hashlib.sha256(), 0
                 with files.open_input_stream(f"{root}/{name}", buffer_size=0) as source:
                     while read := source.read(piece):
@@ -67,7 +83,7 @@ def digest_files(spark: SparkSession, folder: str, piece: int = PIECE_BYTES) ->
                 ["path", "digest", "length"],
             )
 
-    return listed.repartition(tasks, "name").mapInArrow(digest, "path string, digest string, length long")
+    return listed.repartition(_tasks(spark), "path").mapInArrow(digest, "path string, digest string, length long")
 
 
 def put_files(named: DataFrame, folder: str) -> None:
