@@ -230,6 +230,57 @@ def _(t):
     )
 
 
+ACTIONS = """
+actions AS (
+  SELECT vec_id AS seq, label, CASE WHEN vec_id % 13 = 5 THEN 'nobody' ELSE 'p' || label END AS profile_id,
+         CASE WHEN vec_id % 9 = 7 AND label % 5 = 4 THEN 'delete'
+              ELSE ['accept', 'rename', 'note', 'other'][vec_id % 4 + 1] END AS kind,
+         CASE WHEN vec_id % 3 = 1 THEN '  ' ELSE ' New ' || vec_id || ' ' END AS text, embedding,
+         make_timestamp((1714067200 + CAST(vec_id AS BIGINT) * 60) * 1000000) AS done
+  FROM observations
+),
+changes AS (
+  SELECT profile_id, max_by(trim(text), seq) FILTER (WHERE kind = 'rename' AND trim(text) <> '') AS new_name,
+         max(seq) FILTER (WHERE kind = 'note') AS noted,
+         max_by(done, seq) FILTER (WHERE kind = 'accept' OR kind = 'rename' AND trim(text) <> '') AS new_at,
+         bool_or(kind = 'delete') AS gone, count(*) FILTER (WHERE kind = 'accept') AS k
+  FROM actions GROUP BY 1
+)"""
+
+
+@query(
+    "edit_profiles",
+    f"""SELECT p.profile_id, coalesce(new_name, name) AS name,
+               CASE WHEN noted IS NULL THEN note ELSE nullif(trim(n.text), '') END AS note,
+               CAST(p.sample_count + coalesce(k, 0) AS BIGINT) AS sample_count,
+               coalesce(new_at, updated_at) AS updated_at,
+               {", ".join(f'''round((p.embedding[{i + 1}] * p.sample_count + coalesce(
+                 (SELECT sum(a.embedding[{i + 1}]) FROM actions a
+                  WHERE a.profile_id = p.profile_id AND a.kind = 'accept'), 0))
+                 / (p.sample_count + coalesce(k, 0)), 6) AS x{i}''' for i in PLACES)}
+        FROM profiles p LEFT JOIN changes l ON l.profile_id = p.profile_id
+        LEFT JOIN actions n ON n.profile_id = p.profile_id AND n.seq = l.noted
+        WHERE NOT coalesce(gone, false)""",
+    ACTIONS,
+)
+def _(t):
+    seq, label = F.col("vec_id"), F.col("label")
+    kinds = F.array(*[F.lit(k) for k in ("accept", "rename", "note", "other")])
+    actions = t.observations.select(
+        seq.alias("seq"),
+        F.when(seq % 13 == 5, "nobody").otherwise(F.concat(F.lit("p"), label.cast("string"))).alias("profile_id"),
+        F.when((seq % 9 == 7) & (label % 5 == 4), "delete")
+        .otherwise(F.get(kinds, (seq % 4).cast("int")))
+        .alias("kind"),
+        F.when(seq % 3 == 1, "  ").otherwise(F.concat(F.lit(" New "), seq.cast("string"), F.lit(" "))).alias("text"),
+        "embedding",
+        F.timestamp_seconds(F.lit(1_714_067_200) + seq.cast("long") * 60).alias("at"),
+    )
+    return sp.edit_profiles(t.profiles, actions).select(
+        "profile_id", "name", "note", "sample_count", "updated_at", *_numbers("embedding")
+    )
+
+
 @query(
     "suggest_profile",
     """SELECT meeting_id, speaker_id, CASE WHEN d <= 0.45 THEN profile_id END AS profile_id,

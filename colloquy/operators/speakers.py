@@ -383,6 +383,44 @@ def merge_profiles(profiles: DataFrame, merges: DataFrame, at: Column | None = N
     return now
 
 
+def edit_profiles(profiles: DataFrame, actions: DataFrame) -> DataFrame:
+    """Profiles after a log of ``actions(seq, profile_id, kind, text, embedding, at)``.
+
+    ``accept`` folds the voice of an accepted suggestion into the mean; ``rename``
+    takes the name, trimmed, unless it is blank; ``note`` replaces the note, a
+    blank one removes it; ``delete`` ends the profile, whatever else the log says
+    of it. Names and accepted voices set the time of the last update, notes do
+    not: writing about someone is not hearing them. Unknown profiles and kinds
+    change nothing. Each profile's last action of a kind is an aggregate, so no
+    log is ordered as a whole.
+    """
+    kind, text, seq = F.col("kind"), trimmed(F.coalesce("text", F.lit(""))), F.col("seq")
+    named, noted, accepted = (kind == "rename") & (text != ""), kind == "note", kind == "accept"
+    last = actions.groupBy("profile_id").agg(
+        F.max_by(text, F.when(named, seq)).alias("_name"),
+        F.max_by(F.when(text != "", text), F.when(noted, seq)).alias("_note"),
+        F.max(F.when(noted, seq)).isNotNull().alias("_noted"),
+        F.max_by("at", F.when(named | accepted, seq)).alias("_at"),
+        F.coalesce(F.bool_or(kind == "delete"), F.lit(False)).alias("_gone"),
+    )
+    if "updated_at" not in profiles.columns:
+        profiles = profiles.withColumn("updated_at", F.lit(None).cast("timestamp"))
+    kept = (
+        profiles.join(last, "profile_id", "left")
+        .where(~F.coalesce("_gone", F.lit(False)))
+        .withColumns(
+            {
+                "name": F.coalesce("_name", "name"),
+                "note": F.when(F.col("_noted"), F.col("_note")).otherwise(F.col("note")),
+            }
+        )
+        .drop("_name", "_note", "_noted", "_gone")
+    )
+    voices = actions.where(accepted).select("profile_id", F.col("embedding").alias("vector"), "seq")
+    heard = _reinforced(kept, voices, F.col("_at"))
+    return heard.withColumn("updated_at", F.coalesce("_at", "updated_at")).drop("_at")
+
+
 def _angles(pivots: list[list[float]]) -> Callable[[Column], Column]:
     """Angles of a vector to each pivot, null where the widths differ."""
     table = [np.asarray(p) / np.linalg.norm(p) for p in pivots]

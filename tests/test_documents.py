@@ -207,6 +207,30 @@ def test_suggestions_do_not_depend_on_blocks(spark, monkeypatch):
     assert split["none"] is None and split["odd"] is None and any(split.values())
 
 
+def test_profiles_are_edited_in_the_order_of_the_log(spark):
+    from datetime import datetime
+
+    day = lambda d: datetime(2024, 1, d)
+    people = [("a", "Anna", [1.0, 0.0], 1, day(1), None), ("b", "Bo", [0.0, 1.0], 3, day(1), "old"), ("c", "Cy", [], 1, day(1), None), ("d", "Di", [1.0], 1, day(1), "d")]
+    pf = spark.createDataFrame(people, "profile_id string, name string, embedding array<double>, sample_count long, updated_at timestamp, note string")
+    log = [
+        (1, "a", "rename", " Anna L ", None, day(2)), (2, "a", "note", " lead ", None, day(3)), (3, "a", "rename", "  ", None, day(4)),
+        (4, "b", "note", "   ", None, day(5)), (5, "b", "accept", None, [1.0, 0.0], day(6)), (6, "b", "accept", None, [1.0], day(7)),
+        (7, "c", "accept", None, [0.5, 0.5], day(8)), (8, "d", "delete", None, None, day(9)), (9, "d", "rename", "Back", None, day(9)),
+        (10, "x", "rename", "Nobody", None, day(9)), (11, "a", "sing", "la", None, day(9)), (12, "c", "note", None, None, day(9)),
+    ]
+    actions = spark.createDataFrame(log, "seq long, profile_id string, kind string, text string, embedding array<double>, at timestamp")
+    want = [
+        ("a", "Anna L", [1.0, 0.0], 1, day(2), "lead"),
+        ("b", "Bo", [0.25, 0.75], 4, day(7), None),
+        ("c", "Cy", [0.5, 0.5], 1, day(8), None),
+    ]
+    got = speakers.edit_profiles(pf, actions).select(*pf.columns).orderBy("profile_id").collect()
+    assert [tuple(r) for r in got] == want
+    same = speakers.edit_profiles(pf, actions.limit(0)).select(*pf.columns).orderBy("profile_id").collect()
+    assert [tuple(r) for r in same] == people
+
+
 def test_suggestions_by_pivots_are_those_of_all_pairs(spark, monkeypatch):
     rng = random.Random(11)
     hubs = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(12)]
