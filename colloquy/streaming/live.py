@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -436,6 +437,8 @@ def live_turns(
 
 
 class _Enrol(StatefulProcessor):
+    """Adds partial sums to a voice; the first observation says how long its vectors are."""
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         voice = T.StructType(
             [T.StructField("mean", T.ArrayType(T.DoubleType())), T.StructField("n", T.LongType())]
@@ -443,17 +446,23 @@ class _Enrol(StatefulProcessor):
         self.voice = handle.getValueState("voice", voice)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        mean, n = (None, 0)
-        if self.voice.exists():
-            stored, n = self.voice.get()
-            mean = np.array(stored, dtype=float)
-        seen = _in_order(rows, "obs_id")
-        for vector in seen["embedding"]:
-            vector = np.asarray(vector, dtype=float)
-            if mean is None:
-                mean, n = vector, 1
-            elif len(vector) == len(mean):
-                mean, n = (mean * n + vector) / (n + 1), n + 1
+        totals: dict[int, np.ndarray] = {}
+        counts: dict[int, int] = {}
+        first = (math.inf, 0)
+        for part in rows:
+            for total, n, obs in zip(part["total"], part["n"].tolist(), part["first"].tolist()):
+                size = len(total)
+                totals[size] = totals[size] + total if size in totals else np.array(total, dtype=float)
+                counts[size] = counts.get(size, 0) + n
+                obs = math.inf if obs is None or obs != obs else obs
+                first = min(first, (obs, size)) if first[1] else (obs, size)
+        stored = self.voice.get()
+        if stored is None:
+            mean, n = totals[first[1]] / counts[first[1]], counts[first[1]]
+        else:
+            mean, n = np.array(stored[0], dtype=float), stored[1]
+            if more := counts.get(len(mean)):
+                mean, n = (mean * n + totals[len(mean)]) / (n + more), n + more
         self.voice.update((mean.tolist(), int(n)))
         yield pd.DataFrame(
             {"person": [key[0]], "sample_count": [int(n)], "embedding": [mean.tolist()]}
@@ -463,14 +472,39 @@ class _Enrol(StatefulProcessor):
         pass
 
 
+_SUMS = pa.schema(
+    [("person", pa.string()), ("first", pa.int64()), ("n", pa.int64()), ("total", pa.list_(pa.float64()))]
+)
+
+
+def _voice_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One partial sum for each person and length of vectors in a batch."""
+    for batch in batches:
+        vectors = batch["embedding"]
+        places = pa.table(
+            {"person": batch["person"], "size": vectors.value_lengths(), "at": np.arange(len(batch)), "first": batch["obs_id"]}
+        )
+        sums = []
+        for group in places.group_by(["person", "size"]).aggregate([("at", "list"), ("first", "min")]).to_pylist():
+            values = vectors.take(pa.array(group["at_list"])).flatten().to_numpy(zero_copy_only=False)
+            total = values.reshape(-1, group["size"]).sum(axis=0).tolist()
+            sums.append({"person": group["person"], "first": group["first_min"], "n": len(group["at_list"]), "total": total})
+        yield pa.RecordBatch.from_pylist(sums, _SUMS)
+
+
 def enrol(observations: DataFrame) -> DataFrame:
-    """Running mean voice per name as confirmations arrive; ``(name, obs_id, embedding)``."""
+    """Running mean voice per name as confirmations arrive; ``(name, obs_id, embedding)``.
+
+    What is shuffled are partial sums, so a name may have any number of
+    observations in a micro-batch.
+    """
     named = (
         observations.withColumn("person", F.lower(F.trim("name")))
         .where((F.col("person") != "") & (F.size("embedding") > 0))
-        .select("person", "obs_id", F.col("embedding").cast("array<double>").alias("embedding"))
+        .select("person", F.col("obs_id").cast("long").alias("obs_id"), F.col("embedding").cast("array<double>").alias("embedding"))
     )
-    return named.groupBy("person").transformWithStateInPandas(
+    sums = named.mapInArrow(_voice_sums, "person string, first long, n long, total array<double>")
+    return sums.groupBy("person").transformWithStateInPandas(
         statefulProcessor=_Enrol(),
         outputStructType="person string, sample_count long, embedding array<double>",
         outputMode="update",

@@ -27,6 +27,8 @@ def run_to_table(stream: DataFrame, mode: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     path = new_path(spark, name)
     schema = stream.withColumn("batch", F.lit(0).cast("long")).schema
+    # A stream without any files has no batch; its table is there all the same.
+    spark.createDataFrame([], schema).write.parquet(f"{path}/emitted/run=-1")
 
     def store(rows: DataFrame, batch: int) -> None:
         rows.withColumn("batch", F.lit(batch).cast("long")).write.mode("overwrite").parquet(

@@ -5,6 +5,9 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from colloquy.catalog.live import stream
+from colloquy.catalog.registry import QUERIES
+from colloquy.sources.adapters import DriverTables
 from colloquy.streaming import live, runs
 
 
@@ -101,3 +104,40 @@ def test_turns_close_exactly_and_state_ends(spark, tmp_path):
     gone = sorted((r.first_word, r.speaker_id, r.n_words) for r in got if r.recording_id == "gone")
     assert gone == [(0, "x", 1), (2, "y", 1)]  # without an end, the second without the word before
     assert not [r for r in got if r.recording_id == "late"]  # waits for its first word
+
+
+def test_a_table_in_a_folder_streams_like_one_in_a_file(spark, tmp_path):
+    df = spark.range(6).selectExpr("id as vec_id", "array(id * 1f, 2f) as embedding", "cast(id % 2 as int) as label")
+    df.repartition(3).write.parquet(str(tmp_path / "folder" / "embeddings.parquet"))
+    df.coalesce(1).write.parquet(str(tmp_path / "parts"))
+    (tmp_path / "file").mkdir()
+    next((tmp_path / "parts").glob("*.parquet")).rename(tmp_path / "file" / "embeddings.parquet")
+    df.where("false").write.parquet(str(tmp_path / "none" / "embeddings.parquet"))
+    enroll = QUERIES["stream_enroll"]
+    for at in ("folder", "file"):
+        table = DriverTables(spark, str(tmp_path / at))
+        rows = runs.run_to_table(stream(table, "embeddings"), "append", "read").collect()
+        assert sorted(r.vec_id for r in rows) == list(range(6)), at
+    assert enroll(spark, str(tmp_path / "none")).columns[:2] == ["person", "sample_count"]
+    no_files = spark.readStream.schema(df.schema).parquet(str(tmp_path / "file")).where("false")
+    assert runs.run_to_table(no_files, "append", "nothing").count() == 0
+
+
+def test_voices_are_means_of_vectors_as_long_as_the_first(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(" Ann", k, [rng.random(), rng.random()]) for k in range(2, 40)] + [("ann ", 50, [1.0]), ("Bo", 1, [2.0]), ("bo", 0, [3.0, 4.0])]
+    rows += [("Bo", 60, [5.0, 6.0]), ("", 3, [1.0]), (None, 4, [1.0]), ("Cy", 5, None), ("Cy", 6, []), ("Di", 7, [1.0, None])]
+    df = spark.createDataFrame(rows, "name string, obs_id long, embedding array<float>")
+    path = str(tmp_path / "said")
+    for low, high in ((0, 30), (30, 99)):
+        df.where(F.col("obs_id").between(low, high - 1)).repartition(2).write.mode("append").parquet(path)
+    said = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(path)
+    got = runs.run_to_table(live.enrol(said), "update", "voices-test").groupBy("person").agg(
+        F.max_by(F.struct("sample_count", "embedding"), "batch").alias("v")
+    )
+    voices = {r.person: (r.v.sample_count, r.v.embedding) for r in got.collect()}
+    assert set(voices) == {"ann", "bo", "di"}
+    assert voices["ann"][0] == 38
+    np.testing.assert_allclose(voices["ann"][1], np.mean([np.float32(r[2]) for r in rows[:38]], axis=0), rtol=1e-6)
+    assert voices["bo"] == (2, [4.0, 5.0])
+    assert voices["di"][0] == 1 and voices["di"][1][0] == 1.0
