@@ -189,24 +189,18 @@ def overlap_window_stitch(
 def vad_mask(regions: DataFrame, meetings: DataFrame, frame: float = MASK_FRAME) -> DataFrame:
     """Speech flag per 0.1 s frame of every meeting; all true where no region exists.
 
-    The spine is cut by time bucket before it is exploded, and so are the
-    regions; both meet on ``(meeting, bucket)``.
+    The spine and the regions are cut by time bucket and meet on ``(meeting,
+    bucket)``; frames are made after that. Buckets are hidden in a length until
+    they are exploded, so neither side may be taken for a small one and sent.
     """
     per_bucket = round(BUCKET_SECONDS / frame)
     count = F.ceil(F.col("duration") / F.lit(frame)).cast("long")
-    lengths = meetings.select("meeting_id", count.alias("_n")).where("_n > 0")
+    any_region = regions.select("meeting_id").distinct().withColumn("_known", F.lit(True))
+    lengths = meetings.select("meeting_id", count.alias("_n")).where("_n > 0").join(any_region, "meeting_id", "left")
     begin, until = F.col("_bucket") * per_bucket, (F.col("_bucket") + 1) * per_bucket - 1
-    spine = (
-        lengths.withColumn(
-            "_bucket",
-            F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / per_bucket))),
-        )
-        .repartition("meeting_id", "_bucket")
-        .select(
-            "meeting_id",
-            "_bucket",
-            F.explode(F.sequence(begin, F.least(until, F.col("_n") - 1))).alias("frame"),
-        )
+    spine = lengths.withColumn(
+        "_bucket",
+        F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("_n") - 1) / per_bucket))),
     )
     first = F.greatest(F.lit(0).cast("long"), F.floor(F.col("start") / F.lit(frame)).cast("long"))
     last = F.ceil(F.col("end") / F.lit(frame)).cast("long")
@@ -219,22 +213,15 @@ def vad_mask(regions: DataFrame, meetings: DataFrame, frame: float = MASK_FRAME)
                 F.sequence(F.floor(F.col("_first") / per_bucket), F.floor(F.col("_last") / per_bucket))
             ),
         )
-        .select(
-            "meeting_id",
-            F.explode(
-                F.sequence(F.greatest("_first", begin), F.least("_last", until))
-            ).alias("frame"),
-        )
-        .distinct()
-        .withColumn("_speech", F.lit(True))
+        .groupBy("meeting_id", "_bucket", F.greatest("_first", begin).alias("a"))
+        .agg(F.max(F.least("_last", until)).alias("b"))
+        .groupBy("meeting_id", "_bucket")
+        .agg(F.collect_list(F.struct("a", "b")).alias("_ranges"))  # one a frame at most
     )
-    any_region = regions.select("meeting_id").distinct().withColumn("_known", F.lit(True))
+    at = F.explode(F.sequence(begin, F.least(until, F.col("_n") - 1))).alias("frame")
+    inside = F.exists("_ranges", lambda r: F.col("frame").between(r["a"], r["b"]))
     return (
-        spine.join(spoken, ["meeting_id", "frame"], "left")
-        .join(any_region, "meeting_id", "left")
-        .select(
-            "meeting_id",
-            "frame",
-            (F.col("_speech").isNotNull() | F.col("_known").isNull()).alias("speech"),
-        )
+        spine.join(spoken.hint("merge"), ["meeting_id", "_bucket"], "left")
+        .select("meeting_id", "_known", "_ranges", at)
+        .select("meeting_id", "frame", (F.coalesce(inside, F.lit(False)) | F.col("_known").isNull()).alias("speech"))
     )
