@@ -127,35 +127,44 @@ class _Ticks:
 
     A tick is due when all before it have come, or when one more than ``late``
     ticks after it has; later ones wait in the state. What comes after its
-    place has passed is dropped.
+    place has passed is dropped. State is one value, read and written once a
+    batch: the next tick, those that wait, and what the caller keeps in ``kept``.
     """
 
     def __init__(self, handle: StatefulProcessorHandle, columns: list[str], late: int):
         self.columns, self.late = columns, late
-        fields = [T.StructField("tick", T.LongType())] + [T.StructField(c, T.DoubleType()) for c in columns]
-        self.waiting = handle.getListState("waiting", T.StructType(fields))
-        self.next = handle.getValueState("next", T.StructType([T.StructField("tick", T.LongType())]))
-
-    def due(self, batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-        names = ["tick", *self.columns]
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=names)
-        new = pd.concat([b[names] for b in batches])
-        rows = (pd.concat([held, new]) if len(held) else new).sort_values("tick", kind="stable")
-        after = self.next.get()[0] if self.next.exists() else 0
-        rows = rows[rows["tick"] >= after].drop_duplicates("tick")
-        tick = rows["tick"].to_numpy(dtype=np.int64)
-        if not len(tick):
-            return rows
-        n = int(np.searchsorted(tick, tick[-1] - self.late))
-        after = int(tick[n - 1]) + 1 if n else after
-        rest = tick[n:]
-        n += int(np.argmin(np.r_[rest == after + np.arange(len(rest)), False]))
-        self.next.update((int(tick[n - 1]) + 1 if n else after,))
-        if n < len(rows):
-            self.waiting.put([(int(r[0]), *map(float, r[1:])) for r in rows[n:].itertuples(index=False)])
-        else:
-            self.waiting.clear()
-        return rows[:n]
+        fields = [T.StructField("next", T.LongType()), *[T.StructField(n, T.BinaryType()) for n in ("ticks", "values", "kept")]]
+        self.state = handle.getValueState("ticks", T.StructType(fields))
+
+    def due(self, batches: Iterator[pd.DataFrame]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ticks that are due, a row of values each, and what was kept."""
+        width, state = len(self.columns), self.state.get()
+        self.after, held, values, kept = state or (0, b"", b"", b"")
+        parts = []
+        for b in batches:
+            if b["tick"].dtype != np.int64:  # with nulls, which are never due
+                b = b[b["tick"].notna()]
+            parts.append((b["tick"].to_numpy(dtype=np.int64), b[self.columns].to_numpy(dtype=float)))
+        if held:
+            parts.insert(0, (np.frombuffer(held, np.int64), np.frombuffer(values).reshape(-1, width)))
+        tick = np.concatenate([p[0] for p in parts])
+        tick, first = np.unique(tick, return_index=True)  # the first of a tick counts
+        rows = np.concatenate([p[1] for p in parts])[first]
+        begin = int(np.searchsorted(tick, self.after))
+        tick, rows = tick[begin:], rows[begin:]
+        n = 0
+        if len(tick):
+            n = int(np.searchsorted(tick, tick[-1] - self.late))
+            after = int(tick[n - 1]) + 1 if n else self.after
+            rest = tick[n:]
+            n += int(np.argmin(np.r_[rest == after + np.arange(len(rest)), False]))
+            self.after = int(tick[n - 1]) + 1 if n else after
+        self.waiting = tick[n:], rows[n:]
+        return tick[:n], rows[:n], np.frombuffer(kept)
+
+    def keep(self, kept: np.ndarray) -> None:
+        tick, rows = self.waiting
+        self.state.update((self.after, tick.tobytes(), rows.tobytes(), np.asarray(kept, dtype=float).tobytes()))
 
 
 class _MeterDecay(StatefulProcessor):
@@ -163,18 +172,18 @@ class _MeterDecay(StatefulProcessor):
         self.late = late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.level = handle.getValueState("level", T.StructType([T.StructField("v", T.DoubleType())]))
         self.ticks = _Ticks(handle, ["peak"], self.late)
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        ticks = self.ticks.due(rows)
-        level = self.level.get()[0] if self.level.exists() else 0.0
+        ticks, peaks, kept = self.ticks.due(rows)
+        level = float(kept[0]) if len(kept) else 0.0
         meters = []
-        for peak in ticks["peak"]:
+        for peak in peaks[:, 0].tolist():
             level = max(peak, METER_DECAY * level)
             meters.append(level)
-        self.level.update((level,))
-        yield pd.DataFrame({"recording_id": key[0], "tick": ticks["tick"], "meter": meters})
+        self.ticks.keep([level])
+        if meters:
+            yield pd.DataFrame({"recording_id": key[0], "tick": ticks, "meter": meters})
 
     def close(self) -> None:
         pass
@@ -217,26 +226,21 @@ class _BleedWatch(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.ticks = _Ticks(handle, ["microphone", "system"], self.late)
-        pair = T.StructType([T.StructField("m", T.DoubleType()), T.StructField("s", T.DoubleType())])
-        self.recent = handle.getListState("recent", pair)
-        self.found = handle.getValueState("found", T.StructType([T.StructField("b", T.BooleanType())]))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        if self.found.exists():
+        ticks, new, kept = self.ticks.due(rows)
+        if len(kept) == 1:  # it was found
             return
-        ticks = self.ticks.due(rows)
-        before = np.array(list(self.recent.get()) if self.recent.exists() else [], dtype=float).reshape(-1, 2)
-        levels = np.r_[before, ticks[["microphone", "system"]].to_numpy(dtype=float)]
-        for k, tick in enumerate(ticks["tick"].to_numpy(dtype=np.int64), len(before) + 1):
+        before = kept.reshape(-1, 2)
+        levels = np.r_[before, new]
+        for k, tick in enumerate(ticks, len(before) + 1):
             window = levels[max(0, k - self.size) : k]
             if len(window) == self.size and window_is_coupled(window[:, 0], window[:, 1]):
-                self.found.update((True,))
-                self.recent.clear()
-                self.ticks.waiting.clear()
+                self.ticks.waiting = ticks[:0], new[:0]
+                self.ticks.keep([1.0])
                 yield pd.DataFrame({"recording_id": [key[0]], "tick": [int(tick)]})
                 return
-        if len(levels):
-            self.recent.put([tuple(map(float, r)) for r in levels[-self.size :]])
+        self.ticks.keep(levels[-self.size :])
 
     def close(self) -> None:
         pass
