@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from colloquy.catalog.live import stream
@@ -141,3 +142,35 @@ def test_voices_are_means_of_vectors_as_long_as_the_first(spark, tmp_path):
     np.testing.assert_allclose(voices["ann"][1], np.mean([np.float32(r[2]) for r in rows[:38]], axis=0), rtol=1e-6)
     assert voices["bo"] == (2, [4.0, 5.0])
     assert voices["di"][0] == 1 and voices["di"][1][0] == 1.0
+
+
+def test_a_recording_reads_and_writes_its_state_once_a_batch():
+    class State:
+        value, calls = None, 0
+
+        def get(self):
+            self.calls += 1
+            return self.value
+
+        def update(self, value):
+            self.calls += 1
+            self.value = value
+
+    class Handle:
+        def __init__(self):
+            self.states = []
+
+        def getValueState(self, *_):
+            self.states.append(State())
+            return self.states[-1]
+
+        getListState = getValueState
+
+    handle, meter = Handle(), live._MeterDecay(100)
+    meter.init(handle)
+    out = []
+    for ticks in ([2, 1], [0, 4, None], [3, 1]):
+        rows = pd.DataFrame({"recording_id": "a", "tick": ticks, "peak": [0.5 if k == 0 else 0.0 for k in ticks]})
+        out += [p for p in meter.handleInputRows(("a",), iter([rows]), None) if len(p)]
+    assert len(handle.states) == 1 and handle.states[0].calls == 6
+    assert [k for p in out for k in p["tick"]] == [0, 1, 2, 3, 4]
