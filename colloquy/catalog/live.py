@@ -29,11 +29,12 @@ def stream(t, table: str):
     return rows.withColumn("ts", F.col("ts").cast("timestamp")) if "ts" in rows.columns else rows
 
 
-def as_stream(t, df, name: str, files: int = 3):
-    """A derived table as a stream of a few files."""
+def as_stream(t, df, name: str, batches: int = 3):
+    """A derived table as a stream of a few batches, each of so many files that all cores write them."""
     path = new_path(t.spark, name)
-    df.repartition(files).write.parquet(path)
-    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    files = -(-t.spark.sparkContext.defaultParallelism // batches)
+    df.repartition(batches * files).write.parquet(path)
+    return t.spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(path)
 
 
 def channel_events(t):

@@ -324,63 +324,85 @@ def silence_alarm(
 
 
 class _Turns(StatefulProcessor):
-    """Words in their order; another speaker's word, a gap or the end closes the turn before."""
+    """Words in their order; another speaker's word, a gap or the end closes the turn before.
+
+    State is one value, read and written once a batch: the next word, the end
+    and the timer if there are any, the open turn, and the words that wait for
+    one before them, as packed columns (speakers as places in a list of names).
+    """
 
     def __init__(self, gap: float, forget: float):
         self.gap, self.forget = gap, round(forget * 1000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        word = [("word_idx", T.LongType()), ("speaker_id", T.StringType()), ("start", T.DoubleType()), ("end", T.DoubleType())]
         turn = [("first", T.LongType()), ("speaker_id", T.StringType()), ("start", T.DoubleType()), ("end", T.DoubleType()), ("n", T.LongType())]
-        self.waiting = handle.getListState("waiting", T.StructType([T.StructField(n, t) for n, t in word]))
-        self.turn = handle.getValueState("turn", T.StructType([T.StructField(n, t) for n, t in turn]))
-        place = [("next", T.LongType()), ("last", T.LongType()), ("timer", T.LongType())]
-        self.place = handle.getValueState("place", T.StructType([T.StructField(n, t) for n, t in place]))
+        place = [("next", T.LongType()), ("last", T.LongType()), ("timer", T.LongType()), ("open", T.BooleanType())]
+        held = [("names", T.ArrayType(T.StringType())), *[(n, T.BinaryType()) for n in ("index", "speakers", "starts", "ends")]]
+        self.state = handle.getValueState("turns", T.StructType([T.StructField(n, t) for n, t in place + turn + held]))
+
+    def _stored(self, state):
+        """(next, last, timer), the open turn, and the waiting words' columns."""
+        after, last, timer, is_open, *turn = state[:9]
+        names, index, speakers, starts, ends = state[9:]
+        held = (
+            np.frombuffer(index, np.int64),
+            np.array([*names, None], dtype=object)[np.frombuffer(speakers, np.int32)],  # -1: none
+            np.frombuffer(starts),
+            np.frombuffer(ends),
+        )
+        return (after, last, timer), tuple(turn) if is_open else None, held
+
+    def _store(self, place, turn, rest) -> None:
+        index, speaker, start, end = rest
+        codes, names = pd.factorize(speaker)
+        packed = (index.tobytes(), codes.astype(np.int32).tobytes(), start.tobytes(), end.tobytes())
+        self.state.update((*place, turn is not None, *(turn or (None,) * 5), names.tolist(), *packed))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        names = ["word_idx", "speaker_id", "start", "end"]
-        new = pd.concat(list(rows))
-        after, last, timer = self.place.get() if self.place.exists() else (0, -1, -1)
-        marks = new.loc[new["ended"], "word_idx"]
+        state = self.state.get()
+        place, turn, held = self._stored(state) if state else ((0, -1, -1), None, None)
+        after, last, timer = place
+        seen, marks, parts = [], [], [] if held is None else [held]
+        for b in rows:
+            seen.append(int(b["ts"].to_numpy().astype("datetime64[ms]").astype("int64").max()))
+            index, ended = b["word_idx"].to_numpy(), b["ended"].to_numpy(dtype=bool)
+            marks.append(index[ended])
+            mine = ~ended if index.dtype == np.int64 else ~ended & ~b["word_idx"].isna().to_numpy()
+            parts.append((
+                index[mine].astype(np.int64), b["speaker_id"].to_numpy(dtype=object)[mine],
+                b["start"].to_numpy(dtype=float)[mine], b["end"].to_numpy(dtype=float)[mine],
+            ))
+        marks = np.concatenate(marks)
         last = int(marks.max()) if len(marks) else last
-        words = new.loc[~new["ended"], names]
-        held = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=names)
-        words = (pd.concat([held, words]) if len(held) else words).sort_values("word_idx", kind="stable")
-        words = words[words["word_idx"] >= after].drop_duplicates("word_idx")
-        index = words["word_idx"].to_numpy(dtype=np.int64)
+        words = [np.concatenate(c) for c in zip(*parts)]
+        index, first = np.unique(words[0], return_index=True)  # the first of a place counts
+        begin = int(np.searchsorted(index, after))
+        index, first = index[begin:], first[begin:]
         n = int(np.argmin(np.r_[index == after + np.arange(len(index)), False]))
-        due, rest = words[:n], words[n:]
-        turn = tuple(self.turn.get()) if self.turn.exists() else None
-        closed, turn = self._closed(turn, due)
+        words = [index, *(c[first] for c in words[1:])]
+        closed, turn = self._closed(turn, *(c[:n] for c in words))
         after += n
-        if timer >= 0:
-            self.handle.deleteTimer(timer)
         if after == last:  # the end has come, and all before it
             closed += [turn] if turn else []
-            for state in (self.waiting, self.turn, self.place):
-                state.clear()
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            if state:
+                self.state.clear()
         else:
-            seen = int(new["ts"].to_numpy().astype("datetime64[ms]").astype("int64").max()) + self.forget
-            timer = max(timer, seen)
-            self.handle.registerTimer(timer)
-            self.place.update((after, last, timer))
-            if turn:
-                self.turn.update(turn)
-            if len(rest):
-                self.waiting.put([(int(r[0]), r[1], float(r[2]), float(r[3])) for r in rest.itertuples(index=False)])
-            else:
-                self.waiting.clear()
+            wake = max(timer, max(seen) + self.forget)
+            if timer < 0 or wake > timer:
+                if timer >= 0:
+                    self.handle.deleteTimer(timer)
+                self.handle.registerTimer(wake)
+            self._store((after, last, wake), turn, [c[n:] for c in words])
         if closed:
             yield self._rows(key, closed)
 
-    def _closed(self, turn, words: pd.DataFrame):
-        """The turns that ``words`` close, and the one they leave open."""
-        if not len(words):
+    def _closed(self, turn, index: np.ndarray, speaker: np.ndarray, start: np.ndarray, end: np.ndarray):
+        """The turns that the words close, and the one they leave open."""
+        if not len(index):
             return [], turn
-        index = words["word_idx"].to_numpy(dtype=np.int64)
-        speaker = words["speaker_id"].to_numpy(dtype=object)
-        start, end = words["start"].to_numpy(dtype=float), words["end"].to_numpy(dtype=float)
         opens = np.r_[
             turn is None or turn[1] != speaker[0] or start[0] - turn[3] > self.gap,
             (speaker[1:] != speaker[:-1]) | (start[1:] - end[:-1] > self.gap),
@@ -398,21 +420,23 @@ class _Turns(StatefulProcessor):
 
     @staticmethod
     def _rows(key, turns: list) -> pd.DataFrame:
-        columns = ["first_word", "speaker_id", "started", "closed", "n_words"]
-        out = pd.DataFrame(turns, columns=columns).astype(
-            {"first_word": "int64", "speaker_id": "object", "started": "float64", "closed": "float64", "n_words": "int64"}
+        first, speaker, started, closed, n = zip(*turns)
+        return pd.DataFrame(
+            {
+                "recording_id": np.array([key[0]] * len(turns), dtype=object),
+                "first_word": np.array(first, np.int64),
+                "speaker_id": np.array(speaker, dtype=object),
+                "started": np.array(started, float),
+                "closed": np.array(closed, float),
+                "n_words": np.array(n, np.int64),
+            }
         )
-        out.insert(0, "recording_id", pd.Series([key[0]] * len(out), dtype=object))
-        return out
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        turn = tuple(self.turn.get()) if self.turn.exists() else None
-        held = pd.DataFrame(
-            list(self.waiting.get()) if self.waiting.exists() else [], columns=["word_idx", "speaker_id", "start", "end"]
-        ).sort_values("word_idx")
-        closed, turn = self._closed(turn, held)  # also words that waited for one that never came
-        for state in (self.waiting, self.turn, self.place):
-            state.clear()
+        state = self.state.get()
+        _, turn, held = self._stored(state)
+        closed, turn = self._closed(turn, *held)  # also words that waited for one that never came
+        self.state.clear()
         closed += [turn] if turn else []
         if closed:
             yield self._rows(key, closed)

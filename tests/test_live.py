@@ -107,6 +107,75 @@ def test_turns_close_exactly_and_state_ends(spark, tmp_path):
     assert not [r for r in got if r.recording_id == "late"]  # waits for its first word
 
 
+class _Value:
+    def __init__(self, calls):
+        self.calls, self.value = calls, None
+
+    def exists(self):
+        self.calls.n += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls.n += 1
+        return self.value
+
+    def update(self, value):
+        self.calls.n += 1
+        self.value = value
+
+    put = update
+
+    def clear(self):
+        self.update(None)
+
+
+class _Calls:
+    """A handle whose calls to the state store are counted."""
+
+    def __init__(self):
+        self.n, self.states, self.timers = 0, {}, set()
+
+    def getValueState(self, name, schema):
+        return self.states.setdefault(name, _Value(self))
+
+    getListState = getValueState
+
+    def registerTimer(self, at):
+        self.n += 1
+        self.timers.add(at)
+
+    def deleteTimer(self, at):
+        self.n += 1
+        self.timers.remove(at)
+
+
+def test_a_batch_of_words_reads_and_writes_one_value():
+    words = pd.DataFrame(
+        {
+            "word_idx": range(9), "speaker_id": ["x", None, None, "y", "y", "x", None, "z", "z"],
+            "start": [float(k) for k in range(9)], "end": [k + 0.5 for k in range(9)], "ended": False,
+            "ts": pd.to_datetime(["2024-01-01"] * 9),
+        }
+    )
+    end = words[8:].assign(word_idx=9, ended=True)
+    spoken = [words[5:8], pd.concat([words[3:5], end]), words[1:3], words[:2], words[8:]]
+    calls, turns = _Calls(), live._Turns(live.TURN_GAP, live.FORGET_SECONDS)
+    turns.init(calls)
+    got, counts = [], []
+    # The first word comes in the fourth batch, one of the third a second time; no batch brings a later time.
+    for batch in spoken:
+        before = calls.n
+        for out in turns.handleInputRows(("a",), iter([batch]), None):
+            got += out.itertuples(index=False, name=None)
+        counts.append(calls.n - before)
+    # One read, one write, and the timer where it changes.
+    assert counts == [3, 2, 2, 2, 3]
+    assert not calls.timers and all(s.value is None for s in calls.states.values())
+    want = [(0, "x", 0.0, 0.5, 1), (1, None, 1.0, 2.5, 2), (3, "y", 3.0, 4.5, 2), (5, "x", 5.0, 5.5, 1)]
+    want += [(6, None, 6.0, 6.5, 1), (7, "z", 7.0, 8.5, 2)]
+    assert got == [("a", *row) for row in want]
+
+
 def test_a_table_in_a_folder_streams_like_one_in_a_file(spark, tmp_path):
     df = spark.range(6).selectExpr("id as vec_id", "array(id * 1f, 2f) as embedding", "cast(id % 2 as int) as label")
     df.repartition(3).write.parquet(str(tmp_path / "folder" / "embeddings.parquet"))
